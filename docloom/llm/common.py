@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -58,7 +59,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 4
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = pa.compute.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
+        sizes = pc.binary_length(batch.column(text)).fill_null(0).to_numpy(zero_copy_only=False)
         part = np.cumsum(sizes) // most
         at = 0
         for end in [*(np.flatnonzero(np.diff(part)) + 1), batch.num_rows]:
