@@ -12,11 +12,12 @@ other columns are kept as they are, save those named like an output column, whic
 
 from __future__ import annotations
 
-import heapq
 import json
 import re
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -30,8 +31,8 @@ _BLANK = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 #: Fixed value: the pre-token pattern of the published byte-level vocabularies.
 _PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
-#: Chunks kept in a worker's cache, and the longest chunk kept.
-CACHE_CHUNKS, CACHE_CHARS = 300_000, 48
+#: Chunks and pre-tokens in a generation of a worker's caches, and the longest kept.
+CACHE_CHUNKS, CACHE_PIECES, CACHE_CHARS = 250_000, 150_000, 48
 
 
 def byte_characters() -> list[str]:
@@ -53,10 +54,15 @@ class Coder(dict):
         chars = byte_characters()
         of_char = {c: bytes([b]) for b, c in enumerate(chars)}
         self.first = [vocab[c] for c in chars]
-        self.merges: dict[tuple[int, int], tuple[int, int]] = {}
+        self.ranks: dict[int, int] = {}
+        self.joined: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.merges.setdefault((vocab[left], vocab[right]), (rank, vocab[left + right]))
+            self.ranks.setdefault(vocab[left] << 32 | vocab[right], rank)
+            self.joined.append(vocab[left + right])
+        self.old: dict[str, bytes] = {}  # the caches have two generations each
+        self.of_piece: dict[str, list[int]] = {}
+        self.old_pieces: dict[str, list[int]] = {}
         added = {t["content"]: t["id"] for t in loaded.get("added_tokens") or []}
         self.strings = [b""] * (max([*vocab.values(), *added.values()]) + 1)
         for token, number in [*vocab.items(), *added.items()]:
@@ -66,36 +72,50 @@ class Coder(dict):
         self.pieces = regex.compile(_PIECE).findall
 
     def merged(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token. The queue holds (rank, place, left id, right id, merged id); an entry whose symbols have changed since is stale and skipped."""
-        ids = [self.first[b] for b in piece]
-        n, merges = len(ids), self.merges
-        if n == 1:
+        """The ids of one pre-token. Queue entries pack (rank, place); one whose pair no longer has that rank is stale and skipped."""
+        first, ranks, joined = self.first, self.ranks, self.joined
+        ids = [first[b] for b in piece]
+        n = len(ids)
+        queue = [ranks[pair] << 32 | i for i, pair in enumerate([a << 32 | b for a, b in zip(ids, ids[1:])]) if pair in ranks]  # noqa: B905
+        if not queue:
             return ids
-        after = [*range(1, n), -1]
-        before = [*range(-1, n - 1)]
-        queue = [(m[0], i, ids[i], ids[i + 1], m[1]) for i in range(n - 1) if (m := merges.get((ids[i], ids[i + 1])))]
-        heapq.heapify(queue)
+        heapify(queue)
+        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
         while queue:
-            _, i, left, right, new = heapq.heappop(queue)
+            entry = heappop(queue)
+            i, r = entry & 0xFFFFFFFF, entry >> 32
             j = after[i]
-            if j < 0 or ids[i] != left or ids[j] != right:
+            if j < 0 or ids[i] < 0 or ranks.get(ids[i] << 32 | ids[j]) != r:
                 continue
-            ids[i], ids[j] = new, -1
-            k = after[i] = after[j]
+            ids[i] = new = joined[r]
+            ids[j] = -1
+            after[i] = k = after[j]
             if k >= 0:
                 before[k] = i
-                if m := merges.get((new, ids[k])):
-                    heapq.heappush(queue, (m[0], i, new, ids[k], m[1]))
-            h = before[i]
-            if h >= 0 and (m := merges.get((ids[h], new))):
-                heapq.heappush(queue, (m[0], h, ids[h], new, m[1]))
+                if (pair := new << 32 | ids[k]) in ranks:
+                    heappush(queue, ranks[pair] << 32 | i)
+            if (h := before[i]) >= 0 and (pair := ids[h] << 32 | new) in ranks:
+                heappush(queue, ranks[pair] << 32 | h)
         return [x for x in ids if x >= 0]
 
+    def piece(self, piece: str) -> list[int]:
+        if (ids := self.of_piece.get(piece)) is None:
+            if (ids := self.old_pieces.get(piece)) is None:
+                ids = self.merged(piece.encode())
+            if len(piece) <= CACHE_CHARS:
+                if len(self.of_piece) >= CACHE_PIECES:
+                    self.old_pieces, self.of_piece = self.of_piece, {}
+                self.of_piece[piece] = ids
+        return ids
+
     def __missing__(self, chunk: str) -> bytes:
-        ids = [x for piece in self.pieces(chunk) for x in self.merged(piece.encode())]
-        packed = np.array(ids, "<u4").tobytes()
+        if (packed := self.old.get(chunk)) is None:
+            pieces = self.pieces(chunk)
+            ids = self.piece(chunk) if len(pieces) == 1 else [x for piece in pieces for x in self.piece(piece)]
+            packed = struct.pack(f"<{len(ids)}I", *ids)
         if len(chunk) <= CACHE_CHARS:
             if len(self) >= CACHE_CHUNKS:
+                self.old = dict(self)
                 self.clear()
             self[chunk] = packed
         return packed
