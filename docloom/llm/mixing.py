@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from docloom.llm.common import JAVA_WORD, staged
+from docloom.llm.common import JAVA_WORD, row_keyed, staged
 
 #: A source's target is at most so many times its size.
 MOST_EPOCHS = 3
@@ -61,7 +61,7 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], total_share: fl
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), id_col: str = "doc_id", seed: int = 17) -> DataFrame:
-    """(doc_id, size, source, source_size, target, epochs, taken) for every document of (doc_id, text, source)."""
+    """(doc_id, size, source, source_size, target, epochs, copies, taken) for every document of (doc_id, text, source)."""
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(str(seed)))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     rows = staged(docs.select(F.col(id_col).alias("doc_id"), word_count(F.col("text")).alias("size"), F.col("source").cast("string").alias("source"), (-F.log(u) / quality_weight(F.col("text"))).alias("key")), "mix")
     sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
@@ -78,4 +78,12 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), id_col: str = "
     ahead = F.col("ahead") + F.coalesce(F.sum("size").over(order), F.lit(0))
     # the document on which the budget ends is drawn if that ends nearer to the budget
     last = placed.where(open_bin).withColumn("drawn", (ahead + F.col("size") / 2 <= F.col("rest")).cast("long"))
-    return settled.unionByName(last).select("doc_id", "size", "source", "source_size", "target", "epochs", (F.col("size") * (F.col("epochs") + F.col("drawn"))).cast("long").alias("taken"))
+    copies = F.col("epochs") + F.col("drawn")
+    return settled.unionByName(last).select("doc_id", "size", "source", "source_size", "target", "epochs", copies.cast("long").alias("copies"), (F.col("size") * copies).cast("long").alias("taken"))
+
+
+def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), id_col: str = "doc_id", seed: int = 17) -> DataFrame:
+    """docs as the mix takes them: each row as often as it is drawn, rows not drawn left out."""
+    keyed = row_keyed(docs, id_col)
+    drawn = mix(keyed.select("row_key", "text", "source"), weights, "row_key", seed).where("copies > 0").select(F.col("doc_id").alias("row_key"), "copies")
+    return keyed.join(drawn, "row_key").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
