@@ -4,7 +4,7 @@ from importlib import import_module
 from types import ModuleType
 
 #: Modules whose import registers queries.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = ("retrieval",)
 
 
 def load_catalogue() -> ModuleType:
