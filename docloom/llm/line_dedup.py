@@ -92,5 +92,5 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", tex
         .withColumns({"n_lines": F.when(F.length(text) > 0, F.size(lines)).otherwise(0).cast("long"), "n_deleted": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "n_runs": F.coalesce("n_runs", F.lit(0)).cast("long")})
         .withColumn("n_deleted", F.greatest("n_deleted", F.lit(0)).cast("long"))
         .withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept))
-        .drop("_gone", "row_key")
+        .select(*docs.columns, "n_lines", "n_deleted", "n_runs")
     )
