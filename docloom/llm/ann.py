@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 
 from docloom.llm.blocks import search, top_of_block
 
-TABLES, FUNCTIONS, WIDTH, PROBES, SEED = 12, 10, 2.0, 3000, 11
+TABLES, FUNCTIONS, WIDTH, PROBES, SEED = 16, 10, 2.0, 5000, 11
 
 
 @lru_cache(maxsize=8)
