@@ -88,7 +88,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", tex
     lines = F.split(text, "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
     return (
-        keyed.join(gone, "row_key", "left")
+        keyed.join(gone.hint("merge"), "row_key", "left")  # gone grows with the documents: never broadcast
         .withColumns({"n_lines": F.when(F.length(text) > 0, F.size(lines)).otherwise(0).cast("long"), "n_deleted": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "n_runs": F.coalesce("n_runs", F.lit(0)).cast("long")})
         .withColumn("n_deleted", F.greatest("n_deleted", F.lit(0)).cast("long"))
         .withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept))
