@@ -79,31 +79,49 @@ def table_structure(reference: Column, candidate: Column) -> Column:
     return F.greatest(F.lit(0.0), (row_score + column_score) / 2)
 
 
+def _ordered(rows: list[list[str]]) -> list[tuple[str, str, int]]:
+    """(kind, text, leftmost leaf) of a table's tree, children before parents."""
+    out: list[tuple[str, str, int]] = []
+    for row in rows:
+        left = len(out)
+        out.extend(("td", cell, left + i) for i, cell in enumerate(row))
+        out.append(("tr", "", left))
+    return [*out, ("table", "", 0)]
+
+
 def table_tree_distance(a: list[list[str]], b: list[list[str]], contents: bool) -> float:
-    """Tree edit distance of two tables (table, rows, cells).
+    """Edit distance of the ordered trees (table, rows, cells) of two tables, by Zhang and Shasha's keyroots.
 
-    A tree of this shape has rows of leaves under one root, so rows align in order, a row costs its
-    cells and itself to insert or delete, and two rows cost the edit distance of their cells. Cells cost their
-    normalised edit distance to rename, or nothing if only structure counts.
+    Inserting or deleting a node costs 1, as does renaming across kinds; a cell costs its normalised edit distance to
+    rename, or nothing if only structure counts.
     """
+    p, q = _ordered(a), _ordered(b)
 
-    def rename(x: str, y: str) -> float:
-        if not contents:
+    def rename(x: tuple, y: tuple) -> float:
+        if x[0] != y[0]:
+            return 1.0
+        if x[0] != "td" or not contents:
             return 0.0
-        x, y = "".join(str(x).split()), "".join(str(y).split())
-        return sequence_distance(list(x), list(y)) / max(len(x), len(y), 1)
-
-    def aligned(x: list, y: list, alone, both) -> float:
-        row = np.concatenate([[0.0], np.cumsum([alone(v) for v in y])])
-        for u in x:
-            last, row = row, np.empty_like(row)
-            row[0] = last[0] + alone(u)
-            for j, v in enumerate(y, 1):
-                row[j] = min(last[j] + alone(u), row[j - 1] + alone(v), last[j - 1] + both(u, v))
-        return float(row[-1])
-
-    cells = lambda x, y: aligned(x, y, lambda _: 1.0, rename)
-    return aligned(a, b, lambda r: 1.0 + len(r), cells)
+        s, t = ("".join(str(v[1]).split()) for v in (x, y))
+        return sequence_distance(list(s), list(t)) / max(len(s), len(t), 1)
+
+    change = [[rename(x, y) for y in q] for x in p]
+    keyroots = lambda t: sorted({left: i for i, (_, _, left) in enumerate(t)}.values())
+    whole = np.zeros((len(p), len(q)))
+    for i in keyroots(p):
+        for j in keyroots(q):
+            x0, y0 = p[i][2], q[j][2]
+            forest = np.zeros((i - x0 + 2, j - y0 + 2))
+            forest[:, 0], forest[0, :] = np.arange(len(forest)), np.arange(forest.shape[1])
+            for x in range(x0, i + 1):
+                for y in range(y0, j + 1):
+                    u, v = x - x0 + 1, y - y0 + 1
+                    alone = min(forest[u - 1, v], forest[u, v - 1]) + 1
+                    if p[x][2] == x0 and q[y][2] == y0:
+                        forest[u, v] = whole[x, y] = min(alone, forest[u - 1, v - 1] + change[x][y])
+                    else:
+                        forest[u, v] = min(alone, forest[p[x][2] - x0, q[y][2] - y0] + whole[x, y])
+    return float(whole[-1, -1])
 
 
 def table_similarity(a: list[list[str]], b: list[list[str]], contents: bool = True) -> float:

@@ -30,6 +30,7 @@ PERCENT = r"(\d+(?:\.\d+)?)\s*%"
 RANGE = r"\d\s*(?:~|∼|～|–|—|-)\s*\d"
 LIMIT_WORDS = "최대|최소|이상|이하|초과|미만|까지"
 SPEND_PHRASE = r"전월\s*(?:이용\s*)?(?:실적|이용금액|이용\s*실적)"
+SPEND_PHRASE_REVERSED = r"(?:적실|액금용이|적실\s*용이)\s*(?:용이\s*)?월전"
 SPEND_CEILING = r"이용\s*금액|이용액|결제\s*금액|결제액|승인\s*금액|매출\s*(?:금액|액|건당)"
 MONTH_WORDS = r"매월|월간|월별|당월|해당월|월한도|월최대|월통합|(?:^|[^가-힣])월\d"
 DAY_WORDS = r"하루|일일|1일최대|1일한도|1일1회|(?:^|[^가-힣])일(?:최대|한도|\d)"
@@ -117,10 +118,10 @@ def spend_column(condition: Column, literals: Column) -> Column:
     """
     text = F.coalesce(condition, F.lit(""))
     typed = _decimals(literals, "KRW")
-    window = f"(?:(?<={SPEND_PHRASE_BEHIND}).{{0,{AFTER}}}|.{{0,{BEFORE}}}(?={SPEND_PHRASE}))"
-    parts = F.regexp_extract_all(text, F.lit(f"(?s){window}"), F.lit(0))
-    bounded = F.flatten(F.transform(parts, lambda p: F.regexp_extract_all(p, F.lit(rf"(?s){MONEY}(?:.{{0,{BOUND}}})"), F.lit(0))))
-    pairs = F.filter(F.transform(bounded, lambda b: F.struct(money(b).alias("amount"), F.when(b.contains("이상"), "gte").when(b.contains("이하"), "lte").otherwise("unknown").alias("operator"))), lambda x: x["amount"].isNotNull())
+    behind = F.regexp_extract_all(text, F.lit(f"(?s){SPEND_PHRASE}(?=(.{{0,{AFTER}}}))"), F.lit(1))
+    ahead = F.transform(F.regexp_extract_all(F.reverse(text), F.lit(f"(?s){SPEND_PHRASE_REVERSED}(?=(.{{0,{BEFORE}}}))"), F.lit(1)), F.reverse)
+    told = lambda p: F.zip_with(F.regexp_extract_all(p, F.lit(MONEY), F.lit(0)), F.regexp_extract_all(p, F.lit(f"(?s){MONEY}(?=(.{{0,{BOUND}}}))"), F.lit(3)), lambda token, tail: F.struct(money(token).alias("amount"), F.when(tail.contains("이상"), "gte").when(tail.contains("이하"), "lte").otherwise("unknown").alias("operator")))
+    pairs = F.filter(F.flatten(F.transform(F.concat(behind, ahead), told)), lambda x: x["amount"].isNotNull())
     distinct = F.array_distinct(pairs)
     one = F.get(distinct, F.lit(0))
     known = (F.size(distinct) == 1) & (one["operator"] == "gte") & F.array_contains(typed, one["amount"].cast("decimal(30,6)"))
@@ -128,10 +129,6 @@ def spend_column(condition: Column, literals: Column) -> Column:
     return F.struct(F.when(state == "known", one["amount"]).alias("value"), F.when(F.size(distinct) == 1, one["operator"]).alias("operator"), state.alias("state"))
 
 
-#: The phrase with bounded blanks, as a look-behind needs it.
-SPEND_PHRASE_BEHIND = r"전월\s{0,4}(?:이용\s{0,4})?(?:실적|이용금액|이용\s{0,4}실적)"
-
-
 def cap_column(cap: Column, literals: Column) -> Column:
     """struct(value, state): known if the one typed amount is the one written, and no ceiling on spending."""
     text = F.coalesce(cap, F.lit(""))

@@ -14,19 +14,19 @@ def _facts(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("document_id"), "l_linenumber", "l_discount", "l_quantity", "l_tax", "l_returnflag", "l_shipdate")
 
 
-CHEAP = F.expr("l_discount >= 0.05D AND l_quantity <= 20")
-RETURNED = F.expr("l_returnflag = 'R' AND l_tax < 0.03D")
-LARGE = F.expr("l_quantity >= 45")
+CHEAP = "l_discount >= 0.05D AND l_quantity <= 20"
+RETURNED = "l_returnflag = 'R' AND l_tax < 0.03D"
+LARGE = "l_quantity >= 45"
 
 
 @query("structured_and", "SELECT l_orderkey AS document_id FROM lineitem GROUP BY 1 HAVING bool_or(l_discount >= 0.05 AND l_quantity <= 20) AND bool_or(l_returnflag = 'R' AND l_tax < 0.03)")
 def structured_and(spark: SparkSession, sf: str) -> DataFrame:
-    return structured.divided(_facts(spark, sf), "document_id", [[CHEAP, RETURNED]])
+    return structured.divided(_facts(spark, sf), "document_id", [[F.expr(CHEAP), F.expr(RETURNED)]])
 
 
 @query("structured_or_groups", "SELECT l_orderkey AS document_id FROM lineitem GROUP BY 1 HAVING (bool_or(l_discount >= 0.05 AND l_quantity <= 20) AND bool_or(l_returnflag = 'R' AND l_tax < 0.03)) OR (bool_or(l_quantity >= 45) AND bool_or(l_returnflag = 'R' AND l_tax < 0.03))")
 def structured_or_groups(spark: SparkSession, sf: str) -> DataFrame:
-    return structured.divided(_facts(spark, sf), "document_id", [[CHEAP, RETURNED], [LARGE, RETURNED]])
+    return structured.divided(_facts(spark, sf), "document_id", [[F.expr(CHEAP), F.expr(RETURNED)], [F.expr(LARGE), F.expr(RETURNED)]])
 
 
 _LADDER = """CASE WHEN l_returnflag = 'N' THEN 'false' WHEN l_linestatus IS NULL THEN 'unknown' WHEN l_discount < 0.03 THEN 'false' WHEN l_quantity > 40 THEN 'false' WHEN l_tax = 0 THEN 'unknown' ELSE 'true' END"""

@@ -8,8 +8,6 @@ from pyspark.sql import types as T
 
 from docloom.functions.markup import marked_pages
 
-PAGE = T.StructType.fromDDL("page int, text string, status string, is_blank boolean")
-BLOCK = "struct<block_id:string,reading_order:int,type:string,text:string,bbox:struct<x1:double,y1:double,x2:double,y2:double>,source_id:string>"
 
 
 def documents_in(spark: SparkSession, root: str, pattern: str = "*.pdf", issuers: list[str] | None = None, names: list[str] | None = None, limit: int | None = None) -> DataFrame:

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import json
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docloom.operators import lexical
 from docloom.operators.lineage import fingerprint
@@ -115,9 +117,7 @@ def read_postings(spark: SparkSession, root: str) -> lexical.Index:
 
 def embed_missing(rows: DataFrame, embed, model: str, dims: int, text: str = "text") -> DataFrame:
     """rows with embeddings made for those that have none or another model's. ``embed``: a list of texts to a list of vectors, called a batch at a time."""
-    import pandas as pd
-
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def made(texts: pd.Series) -> pd.Series:
         out = embed(texts.tolist())
         if len(out) != len(texts) or any(len(v) != dims for v in out):
