@@ -14,10 +14,10 @@ from __future__ import annotations
 
 import json
 import re
-import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +31,8 @@ _BLANK = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 #: Fixed value: the pre-token pattern of the published byte-level vocabularies.
 _PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
-#: Chunks and pre-tokens in a generation of a worker's caches, and the longest kept.
-CACHE_CHUNKS, CACHE_PIECES, CACHE_CHARS = 250_000, 150_000, 48
+#: Chunks and pre-tokens in a generation of a worker's cache, and the longest kept.
+CACHE, CACHE_CHARS = 350_000, 48
 
 
 def byte_characters() -> list[str]:
@@ -54,15 +54,16 @@ class Coder(dict):
         chars = byte_characters()
         of_char = {c: bytes([b]) for b, c in enumerate(chars)}
         self.first = [vocab[c] for c in chars]
+        #: Rank by pair (left << 16 | right, symbols below 65536 as a rule; more bits if not), and by pair of bytes.
+        self.bits = max(16, max(vocab.values()).bit_length())
         self.ranks: dict[int, int] = {}
         self.joined: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             left, right = pair.split(" ") if isinstance(pair, str) else pair
-            self.ranks.setdefault(vocab[left] << 32 | vocab[right], rank)
+            self.ranks.setdefault(vocab[left] << self.bits | vocab[right], rank)
             self.joined.append(vocab[left + right])
-        self.old: dict[str, bytes] = {}  # the caches have two generations each
-        self.of_piece: dict[str, list[int]] = {}
-        self.old_pieces: dict[str, list[int]] = {}
+        self.of_bytes = [self.ranks.get(a << self.bits | b, -1) for a in self.first for b in self.first]
+        self.old: dict[str, bytes] = {}  # the cache has two generations
         added = {t["content"]: t["id"] for t in loaded.get("added_tokens") or []}
         self.strings = [b""] * (max([*vocab.values(), *added.values()]) + 1)
         for token, number in [*vocab.items(), *added.items()]:
@@ -72,49 +73,45 @@ class Coder(dict):
         self.pieces = regex.compile(_PIECE).findall
 
     def merged(self, piece: bytes) -> list[int]:
-        """The ids of one pre-token. Queue entries pack (rank, place); one whose pair no longer has that rank is stale and skipped."""
-        first, ranks, joined = self.first, self.ranks, self.joined
+        """The ids of one pre-token. Queue entries pack (rank, place); one whose pair no longer has that rank is stale and skipped. Behind the last symbol and in place of merged ones stands -1, which pairs with nothing."""
+        first, of_bytes, ranks, joined, bits = self.first, self.of_bytes, self.ranks, self.joined, self.bits
+        n = len(piece)
+        shift = 14 if n <= 1 << 14 else 40  # short entries are the faster ones
+        queue = [rank << shift | i for i, rank in enumerate([of_bytes[a << 8 | b] for a, b in zip(piece, piece[1:])]) if rank >= 0]  # noqa: B905
         ids = [first[b] for b in piece]
-        n = len(ids)
-        queue = [ranks[pair] << 32 | i for i, pair in enumerate([a << 32 | b for a, b in zip(ids, ids[1:])]) if pair in ranks]  # noqa: B905
         if not queue:
             return ids
         heapify(queue)
-        after, before = [*range(1, n), -1], [*range(-1, n - 1)]
+        ids.append(-1)
+        after, before, place = [*range(1, n + 1)], [*range(-1, n)], (1 << shift) - 1
         while queue:
             entry = heappop(queue)
-            i, r = entry & 0xFFFFFFFF, entry >> 32
+            i = entry & place
             j = after[i]
-            if j < 0 or ids[i] < 0 or ranks.get(ids[i] << 32 | ids[j]) != r:
+            pair = ids[i] << bits | ids[j]
+            if pair not in ranks or ranks[pair] != entry >> shift:
                 continue
-            ids[i] = new = joined[r]
+            ids[i] = new = joined[entry >> shift]
             ids[j] = -1
             after[i] = k = after[j]
-            if k >= 0:
-                before[k] = i
-                if (pair := new << 32 | ids[k]) in ranks:
-                    heappush(queue, ranks[pair] << 32 | i)
-            if (h := before[i]) >= 0 and (pair := ids[h] << 32 | new) in ranks:
-                heappush(queue, ranks[pair] << 32 | h)
+            before[k] = i
+            if (pair := new << bits | ids[k]) in ranks:
+                heappush(queue, ranks[pair] << shift | i)
+            h = before[i]
+            if (pair := ids[h] << bits | new) in ranks:
+                heappush(queue, ranks[pair] << shift | h)
         return [x for x in ids if x >= 0]
 
-    def piece(self, piece: str) -> list[int]:
-        if (ids := self.of_piece.get(piece)) is None:
-            if (ids := self.old_pieces.get(piece)) is None:
-                ids = self.merged(piece.encode())
-            if len(piece) <= CACHE_CHARS:
-                if len(self.of_piece) >= CACHE_PIECES:
-                    self.old_pieces, self.of_piece = self.of_piece, {}
-                self.of_piece[piece] = ids
-        return ids
-
     def __missing__(self, chunk: str) -> bytes:
         if (packed := self.old.get(chunk)) is None:
-            pieces = self.pieces(chunk)
-            ids = self.piece(chunk) if len(pieces) == 1 else [x for piece in pieces for x in self.piece(piece)]
-            packed = struct.pack(f"<{len(ids)}I", *ids)
+            whole = chunk.isascii() and (chunk.isalpha() or (chunk[0] == " " and chunk[1:].isalpha()))  # one pre-token, seen at a glance
+            if whole or len(pieces := self.pieces(chunk)) == 1:
+                ids = self.merged(chunk.encode())
+                packed = pack(f"<{len(ids)}I", *ids)
+            else:
+                packed = b"".join([self[piece] for piece in pieces])
         if len(chunk) <= CACHE_CHARS:
-            if len(self) >= CACHE_CHUNKS:
+            if len(self) >= CACHE:
                 self.old = dict(self)
                 self.clear()
             self[chunk] = packed
