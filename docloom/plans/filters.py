@@ -83,7 +83,7 @@ def explicit_scope_longest_match(spark: SparkSession, sf: str) -> DataFrame:
     return structured.explicit_scope(asked, names)
 
 
-@query("query_classify", "SELECT conv_id, turn, CASE WHEN regexp_matches(t, '^(?:the|le|la|der) ') THEN 'proper_noun' WHEN regexp_matches(t, '(?:^| )(?:un|une|ein|a)(?: |$)') THEN 'numeric_condition' ELSE 'semantic' END AS query_class FROM (SELECT *, trim(regexp_replace(lower(text), '\\s+', ' ', 'g')) AS t FROM conversations WHERE role = 'user')")
+@query("query_classify", "SELECT conv_id, turn, CASE WHEN regexp_matches(t, '^(?:the|le|la|der) ') THEN 'proper_noun' WHEN regexp_matches(t, '(?:^| )(?:un|une|ein|a)(?: |$)') THEN 'numeric_condition' ELSE 'semantic' END AS query_class FROM (SELECT *, regexp_replace(trim(regexp_replace(lower(text), '\\s+', ' ', 'g')), '[ ?.!,。？！]+$', '') AS t FROM conversations WHERE role = 'user')")
 def query_classify(spark: SparkSession, sf: str) -> DataFrame:
     """The driver's texts ask in invented words: articles stand for the endings that tell the classes."""
     rows = read(spark, sf, "conversations").where("role = 'user'")
