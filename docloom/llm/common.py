@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -31,11 +32,25 @@ def shared_dir(spark: SparkSession) -> str:
     return own
 
 
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
+    """Hand rows to Python in batches of so many at most: texts and sets are long, and a batch is held on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df to a table of its own in the shared folder and read it back: lineage ends here, and rows stay as they are when tasks are rerun."""
-    path = f"{shared_dir(df.sparkSession)}/docloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
+    with arrow_rows(spark):
+        df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def row_keyed(docs: DataFrame, id_col: str = "doc_id", key: str = "row_key") -> DataFrame:
@@ -46,6 +61,12 @@ def row_keyed(docs: DataFrame, id_col: str = "doc_id", key: str = "row_key") ->
     return staged(docs.withColumn(key, F.monotonically_increasing_id()), "keys")
 
 
+def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
+    """docs with columns of these names (an operator's own) renamed, and a function that gives them their names back."""
+    aside = {n: f"_given_{n}" for n in docs.columns if n in names}
+    return docs.withColumnsRenamed(aside), lambda out: out.withColumnsRenamed({new: n for n, new in aside.items()})
+
+
 def utf8(column: pa.Array) -> Iterator[bytes]:
     """The values of a string column as UTF-8; null: empty."""
     column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
