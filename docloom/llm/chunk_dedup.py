@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from docloom.llm.common import row_keyed, slices, staged, utf8
+from docloom.llm.common import row_keyed, set_aside, slices, staged, utf8
 from docloom.llm.shingles import mixed, powers
 
 LEAST, BITS, MOST, MIN_BYTES = 16, 5, 256, 128
@@ -129,7 +129,7 @@ def _without(text: bytes, spans: list[tuple[int, int]]) -> tuple[bytes, list[tup
 
 def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str = "doc_id", **cut: int) -> DataFrame:
     """docs with ``text`` less copied stretches, ``removed_bytes``, ``spans`` (array of start, end in UTF-8 bytes of the given text) and ``copied_from``, the sorted ids whose texts hold the originals."""
-    docs = docs.drop("row_key", "removed_bytes", "spans", "copied_from", "_spans")
+    docs, restored = set_aside(docs.drop("removed_bytes", "spans", "copied_from"), "row_key", "_spans", "_source")
     keyed = row_keyed(docs, id_col)
     found = copied_spans(keyed.select("row_key", "text"), min_bytes, **cut)
     ids = keyed.select(F.col("row_key").alias("source_key"), F.col(id_col).alias("_source"))
@@ -156,4 +156,5 @@ def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str =
             made = [pa.array(texts, pa.string()), pa.array(removed, pa.int64()), pa.array(spans, pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])))]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), batch.column("copied_from"), *made], [*kept, "copied_from", "text", "removed_bytes", "spans"])
 
-    return wide.mapInArrow(run, schema).withColumn("copied_from", F.coalesce("copied_from", F.array().cast(schema["copied_from"].dataType))).select(*docs.columns, "removed_bytes", "spans", "copied_from")
+    out = wide.mapInArrow(run, schema).withColumn("copied_from", F.coalesce("copied_from", F.array().cast(schema["copied_from"].dataType)))
+    return restored(out.select(*docs.columns, "removed_bytes", "spans", "copied_from"))

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import slices, utf8
+from docloom.llm.common import set_aside, slices, utf8
 
 LABELLED, POOL, THRESHOLD = 20_000, 20_000, 0.5
 ROUNDS, CONFIDENT = 5, 0.97
@@ -184,7 +184,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: in
 
 def score(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> DataFrame:
     """docs with quality_score, text_score, meta_score and keep."""
-    docs = docs.drop("quality_score", "text_score", "meta_score", "keep")
+    docs, restored = set_aside(docs.drop("quality_score", "text_score", "meta_score", "keep"), "_text", "_meta")
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.columns
     rows = featurized(docs)
@@ -200,4 +200,4 @@ def score(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> Da
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(made[:, i]) for i in range(3))], [*kept, *scores])
 
     scored = rows.mapInArrow(run, schema)
-    return scored.withColumn("keep", (F.col("quality_score") >= threshold) | F.lit(not model.fitted))
+    return restored(scored.withColumn("keep", (F.col("quality_score") >= threshold) | F.lit(not model.fitted)))

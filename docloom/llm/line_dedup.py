@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from docloom.llm.common import row_keyed, staged
+from docloom.llm.common import row_keyed, set_aside, staged
 
 
 def ranked(keys: DataFrame, columns: list[str], name: str) -> DataFrame:
@@ -81,16 +81,17 @@ def copied_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, min_lines: int = 2, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with ``text`` less its later copies of repeated runs, and n_lines, n_deleted, n_runs."""
-    docs = docs.drop("row_key", "n_lines", "n_deleted", "n_runs", "_gone")
+    docs, restored = set_aside(docs.drop("n_lines", "n_deleted", "n_runs"), "row_key", "_gone")
     keyed = row_keyed(docs, id_col)
     gone = copied_lines(keyed.select("row_key", F.col(text).alias("text")), min_lines).groupBy("row_key").agg(F.collect_set("line_no").alias("_gone"), F.count_distinct("run").cast("long").alias("n_runs"))
     gone = staged(gone, "gone")
     lines = F.split(text, "\n")
     kept = F.array_join(F.filter(lines, lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    return (
+    out = (
         keyed.join(gone.hint("merge"), "row_key", "left")  # gone grows with the documents: never broadcast
         .withColumns({"n_lines": F.when(F.length(text) > 0, F.size(lines)).otherwise(0).cast("long"), "n_deleted": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"), "n_runs": F.coalesce("n_runs", F.lit(0)).cast("long")})
         .withColumn("n_deleted", F.greatest("n_deleted", F.lit(0)).cast("long"))
         .withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(kept))
         .select(*docs.columns, "n_lines", "n_deleted", "n_runs")
     )
+    return restored(out)

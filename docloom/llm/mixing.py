@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from docloom.llm.common import JAVA_WORD, row_keyed, staged
+from docloom.llm.common import JAVA_WORD, row_keyed, set_aside, staged
 
 #: A source's target is at most so many times its size.
 MOST_EPOCHS = 3
@@ -84,6 +84,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), id_col: str = "
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), id_col: str = "doc_id", seed: int = 17) -> DataFrame:
     """docs as the mix takes them: each row as often as it is drawn, rows not drawn left out."""
+    docs, restored = set_aside(docs, "row_key", "copies", "_copy")
     keyed = row_keyed(docs, id_col)
     drawn = mix(keyed.select("row_key", "text", "source"), weights, "row_key", seed).where("copies > 0").select(F.col("doc_id").alias("row_key"), "copies")
-    return keyed.join(drawn, "row_key").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns)
+    return restored(keyed.join(drawn.hint("merge"), "row_key").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select(docs.columns))
