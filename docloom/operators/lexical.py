@@ -27,10 +27,13 @@ class Index:
     corpus: DataFrame
 
 
-def build_index(docs: DataFrame, id_col: str, tokens: Column) -> Index:
-    tokenised = docs.select(F.col(id_col).alias("doc"), tokens.alias("tokens"))
-    sized = tokenised.withColumn("dl", F.size("tokens"))
-    postings = sized.select("doc", "dl", F.explode("tokens").alias("term")).groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf"))
+def build_index(docs: DataFrame, id_col: str, tokens: Column, only: DataFrame | None = None) -> Index:
+    """The index of a corpus. With ``only`` (term) postings and document frequencies of these terms alone: tokens of no query are dropped at the scan, before any shuffle; lengths and the corpus still cover everything."""
+    sized = docs.select(F.col(id_col).alias("doc"), tokens.alias("tokens")).withColumn("dl", F.size("tokens"))
+    spread = sized.select("doc", "dl", F.explode("tokens").alias("term"))
+    if only is not None:
+        spread = spread.join(only.select("term").distinct(), "term", "left_semi")
+    postings = spread.groupBy("term", "doc", "dl").agg(F.count(F.lit(1)).alias("tf"))
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     corpus = sized.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avg_dl"))
     return Index(postings, terms, corpus)

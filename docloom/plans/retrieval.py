@@ -17,7 +17,7 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf: str) -> lexical.Index:
-    return lexical.build_index(_docs(spark, sf), "doc_id", lexical.ascii_tokens(F.col("text")))
+    return lexical.build_index(_docs(spark, sf), "doc_id", lexical.ascii_tokens(F.col("text")), _terms(spark, sf))
 
 
 def _terms(spark: SparkSession, sf: str) -> DataFrame:
