@@ -3,7 +3,7 @@
 The gear hash at a byte depends on the 32 bytes up to it; a chunk ends where its lowest ``bits`` bits are zero, at
 least ``least`` and at most ``most`` bytes after the last end. An insertion moves only the ends near
 it, so a passage shared by two texts is cut alike save at its rims. Chunks are numbered rows of digests;
-the first by (row key, place) of each digest is the original, and later ones are copies. A run of copies is deleted
+the first by (row key, start) of each digest is the original, and later ones are copies. A run of copies is deleted
 if it has at least ``min_bytes`` bytes; single chunks that agree by chance stay.
 
 Rows of chunks hold a digest of 8 bytes and numbers, never texts; digests are first reduced to
@@ -67,7 +67,7 @@ def ends(h: np.ndarray, first: int, last: int, least: int, bits: int, most: int)
 
 
 def chunks(docs: DataFrame, least: int = LEAST, bits: int = BITS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """(row_key, place, start, size, digest) of the chunks of (row_key, text)."""
+    """(row_key, start, size, digest) of the chunks of (row_key, text); ``most`` is below 2**20."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -92,21 +92,29 @@ def chunks(docs: DataFrame, least: int = LEAST, bits: int = BITS, most: int = MO
             total = np.zeros(len(joined) + 1, np.uint64)
             np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * up[: len(joined)], out=total[1:])
             digest = mixed(mixed((total[end] - total[start]) * down[start]) + (end - start).astype(np.uint64))
-            yield pa.RecordBatch.from_pydict({"row_key": pa.array(np.repeat(keys, many)), "place": pa.array(place.astype(np.int32)), "start": pa.array((start - base).astype(np.int32)), "size": pa.array((end - start).astype(np.int32)), "digest": pa.array(digest.view(np.int64))})
+            yield pa.RecordBatch.from_pydict({"row_key": pa.array(np.repeat(keys, many)), "start": pa.array((start - base).astype(np.int32)), "size": pa.array((end - start).astype(np.int32)), "digest": pa.array(digest.view(np.int64))})
 
-    return docs.select("row_key", "text").mapInArrow(run, "row_key long, place int, start int, size int, digest long")
+    return docs.select("row_key", "text").mapInArrow(run, "row_key long, start int, size int, digest long")
 
 
 def copied_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, **cut: int) -> DataFrame:
-    """(row_key, start, end, source_key): stretches of copied chunks of min_bytes or more, and the row of the first chunk's original."""
-    table = staged(chunks(docs, **cut), "chunks")
-    first = table.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "place")).alias("first")).where("n > 1")
-    copies = table.join(first, "digest").where((F.col("row_key") != F.col("first.row_key")) | (F.col("place") != F.col("first.place"))).select("row_key", "place", "start", "size", F.col("first.row_key").alias("source_key"))
-    run = F.col("place") - F.row_number().over(W.partitionBy("row_key").orderBy("place"))
+    """(row_key, start, end, source_key): stretches of copied chunks of min_bytes or more, and the row of the first chunk's original.
+
+    What is shuffled of a chunk is its digest, its row and one number for start and size.
+    """
+    span = F.shiftleft(F.col("start").cast("long"), 20).bitwiseOR(F.col("size").cast("long"))
+    table = staged(chunks(docs, **cut), "chunks").select("digest", "row_key", span.alias("span"))
+    first = table.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "span")).alias("first")).where("n > 1").select("digest", "first")
+    copies = table.join(first, "digest").where((F.col("row_key") != F.col("first.row_key")) | (F.col("span") != F.col("first.span"))).select("row_key", "span", F.col("first.row_key").alias("source_key"))
+    start = F.shiftright("span", 20).cast("int")
+    ordered = W.partitionBy("row_key").orderBy("start")
+    placed = copies.select("row_key", "source_key", start.alias("start"), (start + F.col("span").bitwiseAND((1 << 20) - 1)).cast("int").alias("end"))
+    opens = (F.col("start") != F.coalesce(F.lag("end").over(ordered), F.lit(-1))).cast("int")
     return (
-        copies.withColumn("run", run)
+        placed.withColumn("opens", opens)
+        .withColumn("run", F.sum("opens").over(ordered))
         .groupBy("row_key", "run")
-        .agg(F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"), F.min_by("source_key", "place").alias("source_key"))
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("source_key", "start").alias("source_key"))
         .where(F.col("end") - F.col("start") >= min_bytes)
         .drop("run")
     )
