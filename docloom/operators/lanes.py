@@ -125,3 +125,33 @@ def document_verdicts(pages: DataFrame, document: str = "document_id") -> DataFr
     """(document, pages, review_pages, verdict) of pages (document, issues)."""
     rough = F.size("issues") > 0
     return pages.groupBy(document).agg(F.count(F.lit(1)).alias("pages"), F.count_if(rough).alias("review_pages"), F.when(F.bool_or(rough), "review_required").otherwise("pass").alias("verdict"))
+
+
+def group_statuses(pairs: DataFrame, keys: list[str], statuses: str = "statuses") -> DataFrame:
+    """(keys, group, status) of paired facts' field statuses: difference before unresolved before pass."""
+    from docloom.functions.amounts import GROUPS
+
+    of = {f: g for g, fields in GROUPS.items() for f in fields}
+    group = F.create_map(*(F.lit(x) for pair in of.items() for x in pair))
+    rows = pairs.select(*keys, F.explode(statuses).alias("field", "status")).withColumn("group", group[F.col("field")]).where("group IS NOT NULL")
+    worst = F.max(F.array_position(F.array(*map(F.lit, ("pass", "unresolved", "difference"))), F.col("status")).cast("int"))
+    return rows.groupBy(*keys, "group").agg(worst.alias("w")).select(*keys, "group", F.element_at(F.array(*map(F.lit, ("pass", "unresolved", "difference"))), F.col("w")).alias("status"))
+
+
+def group_counts(statuses: DataFrame) -> DataFrame:
+    """A row for each group with the number of pairs of each status."""
+    return statuses.groupBy("group").pivot("status", ["pass", "unresolved", "difference"]).count().na.fill(0)
+
+
+def best_tables(labels: DataFrame, candidates: DataFrame, page: list[str], label: str) -> DataFrame:
+    """(page, label, candidate, content, structure): the candidate table of a label's page with the best sum of both similarities, the first of equals.
+
+    labels: (page, label, rows), candidates: (page, ordinal, rows); rows are arrays of arrays of strings. Labels without a candidate score 0.
+    """
+    from docloom.functions.measures import table_content, table_structure
+
+    met = labels.select(*page, label, F.col("rows").alias("_want")).join(candidates.select(*page, "ordinal", F.col("rows").alias("_have")), page, "left")
+    none = F.col("ordinal").isNull()
+    scored = met.select(*page, label, "ordinal", F.when(none, 0.0).otherwise(table_content(F.col("_want"), F.col("_have"))).alias("content"), F.when(none, 0.0).otherwise(table_structure(F.col("_want"), F.col("_have"))).alias("structure"))
+    best = F.max_by(F.struct("ordinal", "content", "structure"), F.struct((F.col("content") + F.col("structure")).alias("s"), -F.coalesce("ordinal", F.lit(0))))
+    return scored.groupBy(*page, label).agg(best.alias("b")).select(*page, label, F.col("b.ordinal").alias("candidate"), "b.content", "b.structure")

@@ -162,3 +162,21 @@ def test_corpus_violations(spark):
     parents = spark.createDataFrame([("p1", "d", 1, 2, "text"), ("p2", "d", 3, 2, " ")], "parent_id string, document_id string, page_start int, page_end int, text string")
     children = spark.createDataFrame([("c1", "p1", "d", 1, 1, "x", False), ("c1", "p1", "e", 1, 3, "y" * 1601, False), ("c3", "p9", "d", 1, 1, "", True)], "chunk_id string, parent_id string, document_id string, page_start int, page_end int, text string, atomic boolean")
     assert set(rows(validation.corpus_violations(parents, children), "id", "rule")) == {("p2", "parent_blank"), ("p2", "parent_pages"), ("p2", "parent_without_child"), ("c1", "child_twice"), ("c1", "child_too_long"), ("c1", "other_document"), ("c1", "outside_parent"), ("c3", "orphan"), ("c3", "child_blank")}
+
+
+def test_best_tables(spark):
+    rows = "array<array<string>>"
+    labels = spark.createDataFrame([(1, "a", [["x", "y"], ["1", "2"]]), (2, "b", [["q"]])], f"page int, label string, rows {rows}")
+    tables = spark.createDataFrame([(1, 0, [["no"]]), (1, 1, [["x", "y"], ["1", "3"]]), (1, 2, [["x", "y"], ["1", "3"]])], f"page int, ordinal int, rows {rows}")
+    assert rows_of(lanes.best_tables(labels, tables, ["page"], "label")) == [("a", 1, 0.75, 1.0), ("b", None, 0.0, 0.0)]
+
+
+def rows_of(df):
+    return sorted((r["label"], r["candidate"], r["content"], r["structure"]) for r in df.collect())
+
+
+def test_benefit_windows(spark):
+    paragraphs = spark.createDataFrame([("d", 1, i, t) for i, t in enumerate(["intro", "coffee 10%", "movie 5%", "x" * 3000])], "document string, page int, paragraph int, text string")
+    needles = spark.createDataFrame([("d", 1, 0, "coffee"), ("d", 1, 0, "10%"), ("d", 1, 1, "coffee"), ("d", 1, 2, "%"), ("d", 1, 3, "none"), ("d", 1, 4, "movie")], "document string, page int, label int, needle string")
+    got = {tuple(r["labels"]): r["text"] for r in lines.benefit_windows(paragraphs, needles, "document").collect()}
+    assert got == {(0, 1): "intro\n\ncoffee 10%\n\nmovie 5%", (4,): "coffee 10%\n\nmovie 5%"}
