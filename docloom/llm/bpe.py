@@ -32,7 +32,7 @@ _CHUNK = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 #: Fixed value: the pre-token pattern of the published byte-level vocabularies.
 _PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
 #: Chunks and pre-tokens in a generation of a worker's cache, and the longest kept.
-CACHE, CACHE_CHARS = 350_000, 48
+CACHE, CACHE_CHARS = 250_000, 48
 
 
 def byte_characters() -> list[str]:

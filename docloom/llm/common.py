@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -75,6 +76,15 @@ def utf8(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+def released() -> None:
+    """Give memory that is free back to the system: a Python worker outlives its task, and a task of another operator follows."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # other C libraries
+        pass
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """Cut record batches so that each holds about ``most`` bytes of the text column (or one row)."""
     for batch in batches:
@@ -87,3 +97,5 @@ def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1
             if end > at:
                 yield batch.slice(at, end - at)
             at = end
+        del batch
+    released()
