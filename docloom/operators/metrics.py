@@ -42,9 +42,9 @@ def group_metrics(ranked: DataFrame, gold: DataFrame, group: str, k: int, digits
     return met.select("query", (F.col("found") > 0).cast("int").alias("hit"), F.round(F.col("found") / F.col("wanted"), digits).alias("recall"), F.round(F.coalesce(1.0 / F.col("first"), F.lit(0.0)), digits).alias("rr"))
 
 
-def percentile(value: Column, fraction: float) -> Column:
+def percentile(column: str, fraction: float) -> Column:
     """Nearest rank: a value that occurs."""
-    return F.expr(f"percentile_disc({fraction}D) WITHIN GROUP (ORDER BY {value._jc.toString()})")  # noqa: SLF001
+    return F.expr(f"percentile_disc({float(fraction)}D) WITHIN GROUP (ORDER BY `{column}`)")
 
 
 def weighted_mean(value: Column, weight: Column) -> Column:

@@ -46,8 +46,7 @@ def range_relevance(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("latency_percentiles", "SELECT event_type, median(value) AS p50, quantile_disc(value, 0.95) AS p95, count(*) AS n FROM events GROUP BY 1")
 def latency_percentiles(spark: SparkSession, sf: str) -> DataFrame:
-    disc = F.expr("percentile_disc(0.95D) WITHIN GROUP (ORDER BY value)")
-    return read(spark, sf, "events").groupBy("event_type").agg(F.median("value").alias("p50"), disc.alias("p95"), F.count(F.lit(1)).alias("n"))
+    return read(spark, sf, "events").groupBy("event_type").agg(F.median("value").alias("p50"), metrics.percentile("value", 0.95).alias("p95"), F.count(F.lit(1)).alias("n"))
 
 
 _VALUE = "CASE WHEN l_linestatus = 'O' AND l_tax > 0.07 THEN NULL ELSE l_extendedprice END"

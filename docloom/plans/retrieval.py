@@ -28,7 +28,6 @@ def _keyword(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.bm25(_index(spark, sf), _terms(spark, sf))
 
 
-
 def _vector(spark: SparkSession, sf: str, measure: str = "l2") -> DataFrame:
     """The vector of the same number stands for the embedding of a query text."""
     items = read(spark, sf, "benchmark").select(F.col("item_id").alias("query"))
