@@ -15,7 +15,6 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
 from struct import pack
 
@@ -25,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import slices
+from docloom.llm.common import kept, slices
 
 _BLANK = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
@@ -127,11 +126,6 @@ class Coder(dict):
         return b"".join(map(self.strings.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@lru_cache(maxsize=2)
-def _coder(spec: str) -> Coder:
-    return Coder(spec)
-
-
 def _vocabulary(df: DataFrame, path: str):
     with open(path, encoding="utf-8") as f:
         return df.sparkSession.sparkContext.broadcast(f.read())
@@ -144,8 +138,8 @@ def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, make, spe
     arrow_type = pa.binary() if isinstance(kind, T.BinaryType) else pa.string()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        do = make(_coder(spec.value))
-        for batch in slices(batches, source):
+        do = make(kept(spec.value, Coder))
+        for batch in slices(batches, source, keeps=True):
             made = pa.array([do(v) for v in batch.column(source).to_pylist()], arrow_type)
             yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, target])
 

@@ -76,6 +76,17 @@ def utf8(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+#: The one object that a Python worker keeps between tasks, and what it was made from.
+_kept: list[tuple[str, object]] = []
+
+
+def kept(source: str, make: Callable[[str], object]) -> object:
+    """make(source), kept by the worker until it makes another or runs another operator."""
+    if not _kept or _kept[0][0] != source:
+        _kept[:] = [(source, make(source))]
+    return _kept[0][1]
+
+
 def released() -> None:
     """Give memory that is free back to the system: a Python worker outlives its task, and a task of another operator follows."""
     pa.default_memory_pool().release_unused()
@@ -85,8 +96,10 @@ def released() -> None:
         pass
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each holds about ``most`` bytes of the text column (or one row)."""
+def slices(batches: Iterator[pa.RecordBatch], text: str = "text", most: int = 1 << 19, keeps: bool = False) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that each holds about ``most`` bytes of the text column (or one row). What another operator kept in this worker is dropped unless ``keeps``."""
+    if not keeps:
+        _kept.clear()
     for batch in batches:
         if not batch.num_rows:
             continue

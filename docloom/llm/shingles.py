@@ -28,7 +28,7 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(20, (n - 1).bit_length()))
+    return _powers(1 << max(19, (n - 1).bit_length()))
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
