@@ -43,8 +43,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each text, packed as little-endian 32-bit integers, and the digest of what they decode to."""
     path = public_tokenizers.path(VOCABULARY)
-    coded = bpe.encode(docs, path).select("doc_id", "lang", "source", "ids")
-    return bpe.decode(coded, path).select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    return bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), path).select("doc_id", "lang", "source", (F.length("ids") / 4).cast("long").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
 STAGES = [("quality", quality), ("line_dedup", lines), ("near_duplicates", near_duplicates), ("mixing", mix), ("bpe", tokens)]

@@ -31,7 +31,7 @@ _CHUNK = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 #: Fixed value: the pre-token pattern of the published byte-level vocabularies.
 _PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
 #: Chunks and pre-tokens in a generation of a worker's cache, and the longest kept.
-CACHE, CACHE_CHARS = 250_000, 48
+CACHE, CACHE_CHARS = 200_000, 48
 
 
 def byte_characters() -> list[str]:
@@ -131,29 +131,42 @@ def _vocabulary(df: DataFrame, path: str):
         return df.sparkSession.sparkContext.broadcast(f.read())
 
 
-def _mapped(df: DataFrame, source: str, target: str, kind: T.DataType, make, spec) -> DataFrame:
-    """df with column ``target`` made from ``source`` by make(coder)(value), in small Arrow batches."""
-    df = df.drop(target) if target != source else df
-    schema = T.StructType([*df.schema.fields, T.StructField(target, kind)])
-    arrow_type = pa.binary() if isinstance(kind, T.BinaryType) else pa.string()
+def _mapped(df: DataFrame, source: str, targets: dict[str, T.DataType], make, spec) -> DataFrame:
+    """df with the columns ``targets`` made from ``source`` by make(coder)(value), a tuple, in small Arrow batches."""
+    df = df.drop(*(t for t in targets if t != source))
+    schema = T.StructType([*df.schema.fields, *(T.StructField(t, kind) for t, kind in targets.items())])
+    kinds = [pa.binary() if isinstance(kind, T.BinaryType) else pa.string() for kind in targets.values()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         do = make(kept(spec.value, Coder))
         for batch in slices(batches, source, keeps=True):
-            made = pa.array([do(v) for v in batch.column(source).to_pylist()], arrow_type)
-            yield pa.RecordBatch.from_arrays([*batch.columns, made], [*batch.schema.names, target])
+            made = zip(*map(do, batch.column(source).to_pylist()), strict=True)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(m, kind) for m, kind in zip(made, kinds, strict=True))], [*batch.schema.names, *targets])
 
     return df.mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids") -> DataFrame:
     """docs with ``ids``: the token ids of the whole text, packed as little-endian unsigned 32-bit integers."""
-    return _mapped(docs, text, ids, T.BinaryType(), lambda coder: lambda v: coder.encode(v or ""), _vocabulary(docs, vocabulary))
+    return _mapped(docs, text, {ids: T.BinaryType()}, lambda coder: lambda v: (coder.encode(v or ""),), _vocabulary(docs, vocabulary))
 
 
 def decode(docs: DataFrame, vocabulary: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
     """docs with ``decoded``: the concatenated vocabulary strings of packed ids (null: empty), read as UTF-8."""
-    return _mapped(docs, ids, decoded, T.StringType(), lambda coder: lambda v: coder.decode(v or b""), _vocabulary(docs, vocabulary))
+    return _mapped(docs, ids, {decoded: T.StringType()}, lambda coder: lambda v: (coder.decode(v or b""),), _vocabulary(docs, vocabulary))
+
+
+def encode_and_decode(docs: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", decoded: str = "decoded") -> DataFrame:
+    """docs with ``ids`` of the text and ``decoded`` from these ids, in one pass: one worker a task, not two."""
+
+    def make(coder: Coder):
+        def do(value: str | None) -> tuple[bytes, str]:
+            packed = coder.encode(value or "")
+            return packed, coder.decode(packed)
+
+        return do
+
+    return _mapped(docs, text, {ids: T.BinaryType(), decoded: T.StringType()}, make, _vocabulary(docs, vocabulary))
 
 
 def id_array(ids: str = "ids"):

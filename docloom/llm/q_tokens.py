@@ -15,8 +15,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every whole text; digests of both."""
     path = public_tokenizers.path(VOCABULARY)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    coded = bpe.encode(docs, path).select("doc_id", "ids")
-    return bpe.decode(coded, path).select(
+    return bpe.encode_and_decode(docs, path).select(
         "doc_id",
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -64,7 +64,9 @@ def test_odd_rows_and_clashing_names(spark, odd, odd_rows, empty):
     assert out.columns == ["doc_id", "text", "n_chars", "ids", "decoded"]
     got = sorted((r["doc_id"] or -1, r["decoded"]) for r in out.collect())
     assert got == sorted((i if i is not None else -1, t or "") for i, t, *_ in odd_rows)
-    assert bpe.encode(empty, PATH).count() == 0
+    both = bpe.encode_and_decode(named, PATH)
+    assert both.columns == out.columns and sorted((r["doc_id"] or -1, r["decoded"], r["ids"]) for r in both.collect()) == sorted((r["doc_id"] or -1, r["decoded"], r["ids"]) for r in out.collect())
+    assert bpe.encode(empty, PATH).count() == 0 and bpe.encode_and_decode(empty, PATH).count() == 0
 
 
 def test_id_array(spark):
