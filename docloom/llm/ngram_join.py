@@ -56,6 +56,10 @@ class Threshold:
     def prefix(self, n: int) -> int:
         return n - (self.p * n + self.q - 1) // self.q + 1
 
+    def reachable(self, n: int) -> bool:
+        """An unlike set can be similar: a smaller or equal one if the prefix has more than one token, or one with an element more."""
+        return n > 0 and (self.prefix(n) > 1 or self.q * n >= self.p * (n + 1))
+
     def sizes(self, a: Column, b: Column) -> Column:
         return F.least(a, b) * self.q >= F.greatest(a, b) * self.p
 
@@ -177,8 +181,7 @@ def prefixes(docs: DataFrame, keys: DataFrame, words: int, limit: Threshold, lev
 
     def make(row_keys: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
         own = shared.value
-        # with a prefix of one token nothing but an equal set is similar
-        at = [i for i, s in enumerate(sets) if len(s) and limit.prefix(len(s)) > 1]
+        at = [i for i, s in enumerate(sets) if limit.reachable(len(s))]
         firsts, anchors = [], []
         for s in (sets[i] for i in at):
             first = in_order(s, own)[: limit.prefix(len(s))]

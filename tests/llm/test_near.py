@@ -79,6 +79,27 @@ def test_large_buckets(spark, monkeypatch):
     assert got == brute(rows, 3, 80, 100)
 
 
+@pytest.mark.parametrize(("words", "p", "n"), [(3, 90, 11), (5, 80, 8), (1, 50, 1)])
+def test_one_word_more(spark, words, p, n):
+    """A set whose prefix is one token links with one that holds an element more: 9 of 10 shingles at 0.9, 4 of 5 at 0.8."""
+    text = [f"w{i}" for i in range(n)]
+    rows = [(1, " ".join([*text, "after"])), (2, " ".join(text)), (3, " ".join(["before", *text])), (4, "quite another text of some eleven words that share nothing here")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = sorted(map(tuple, similar_documents(docs, words, p, 100).collect()), key=str)
+    assert got == brute(rows, words, p, 100)
+    assert [c for _, _, c in got] == [1, 1, 1, 4]
+    assert sorted(r["doc_id"] for r in one_of_each(docs, words, p, 100).collect()) == [1, 4]
+
+
+def test_reachable():
+    """Sizes left out of the join are those of which no unlike set can be similar."""
+    for p in (1, 50, 77, 80, 90, 99, 100):
+        limit = ngram_join.Threshold(p, 100)
+        for n in range(1, 130):
+            unlike = [(n, n + 1)] + ([(n - 1, n)] if n > 1 else [])  # least differences: a superset and a subset of one element
+            assert limit.reachable(n) == any(100 * a >= p * b for a, b in unlike)
+
+
 def test_odd_rows(spark, odd, odd_rows, empty):
     got = sorted(map(tuple, similar_documents(odd, 3, 90, 100).collect()), key=str)
     assert got == brute([(i, t) for i, t, *_ in odd_rows], 3, 90, 100)
