@@ -82,18 +82,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-_GENERATORS: tuple[tuple[str, re.Pattern], ...] = (
-    ("address", re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}\s?(?:\[at\]|\(at\)|(?<=\s)at(?=\s))\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\[dot\]|\(dot\)|(?<=\s)dot(?=\s)|\.)\s?[A-Za-z]{2,24})+", re.I)),
-    ("number", re.compile(r"(?<![\w.+])\(?[0-9]{2,4}\)?(?:[-. /][0-9]{2,4}){1,4}(?![\w])")),
-    ("number", re.compile(r"(?<![\w.+])0[0-9]{8,11}(?!\w)")),
-    ("identity", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
-    ("identity", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
-    ("identity", re.compile(r"(?<![\w-])[0-9](?:[ -]?[0-9]){11,18}(?![\w-])")),
-    ("secret", re.compile(r"(?<!\w)(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,200}", re.I)),
-    ("secret", re.compile(r"(?<![A-Za-z0-9])[A-Z]{4}[A-Z0-9]{16}(?![A-Za-z0-9])")),
-    ("secret", re.compile(r"(?<![A-Za-z0-9/+_-])(?=[A-Za-z/+_-]{0,40}[0-9])[A-Za-z0-9/+_-]{24,200}={0,2}(?![A-Za-z0-9/+_=-])")),
+#: Kind, what a text must hold for the pattern to match at all, and the pattern. Tokens run to their end, however long.
+_GENERATORS: tuple[tuple[str, str, re.Pattern], ...] = (
+    ("address", "at", re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}\s?(?:\[at\]|\(at\)|(?<=\s)at(?=\s))\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\[dot\]|\(dot\)|(?<=\s)dot(?=\s)|\.)\s?[A-Za-z]{2,24})+", re.I)),
+    ("number", "digit", re.compile(r"(?<![\w.+])\(?[0-9]{2,4}\)?(?:[-. /][0-9]{2,4}){1,4}(?![\w])")),
+    ("number", "digit", re.compile(r"(?<![\w.+])0[0-9]{8,11}(?!\w)")),
+    ("identity", "digit", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
+    ("identity", "digit", re.compile(r"(?<!\w)[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")),
+    ("identity", "digit", re.compile(r"(?<![\w-])[0-9](?:[ -]?[0-9]){11,18}(?![\w-])")),
+    ("secret", "sign", re.compile(r"(?<!\w)(?:password|passwd|pwd|token|secret|api[_-]?key|access[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[^\s\"']{6,}+", re.I)),
+    ("secret", "", re.compile(r"(?<![A-Za-z0-9])[A-Z]{4}[A-Z0-9]{16}(?![A-Za-z0-9])")),
+    ("secret", "digit", re.compile(r"(?<![A-Za-z0-9/+_-])(?=[A-Za-z/+_-]*+[0-9])[A-Za-z0-9/+_-]{24,}+={0,2}(?![A-Za-z0-9/+_=-])")),
 )
-_AT = re.compile(r"\[at\]|\(at\)|\sdot\s|\[dot\]", re.I)
+_AT = re.compile(r"\[at\]|\(at\)|\sat\s", re.I)
 _CUES = tuple(tuple(x.split()) for x in ("phone tel call mobile fax contact ring", "ssn social tax iban passport id account", "password passwd pwd token secret key access credential login", "mail email write reach contact", "version release section page chapter isbn order invoice part ref build"))
 _KIND_CUE = {"number": 0, "identity": 1, "secret": 2, "address": 3}
 CONTEXT = 40
@@ -101,11 +102,8 @@ CONTEXT = 40
 
 def proposed(text: str) -> list[tuple[str, int, int]]:
     """Candidates of the wide generators; they may overlap."""
-    digit = bool(_DIGIT.search(text))
-    at = bool(_AT.search(text)) if ("[" in text or "(" in text or " dot " in text) else False
-    if not digit and not at:
-        return []
-    return [(kind, *m.span()) for kind, p in _GENERATORS if (at if kind == "address" else digit) for m in p.finditer(text)]
+    holds = {"": True, "digit": bool(_DIGIT.search(text)), "at": bool(_AT.search(text)), "sign": "=" in text or ":" in text}
+    return [(kind, *m.span()) for kind, cue, p in _GENERATORS if holds[cue] for m in p.finditer(text)]
 
 
 def entropy(s: str) -> float:

@@ -70,6 +70,20 @@ def test_added_kinds_and_clean_text():
         assert not found(clean), clean
 
 
+def test_proposals_are_whole_and_gated_by_their_own_cues():
+    proposed = lambda t: {(k, t[s:e]) for k, s, e in pii.proposed(t)}
+    for n in (199, 201, 5000):
+        token = "aB3" * n
+        assert ("secret", f"token={token}") in proposed(f"the token={token} was left")
+        assert ("secret", token) in proposed(f"see {token} there")
+    late = "x" * 60 + "7"
+    assert ("secret", late) in proposed(f"see {late} there")
+    for more in ("", " and 7"):
+        assert ("secret", "password: correcthorsebattery") in proposed(f"password: correcthorsebattery{more}")
+        assert ("address", "john at example.com") in proposed(f"write to john at example.com{more}") | proposed(f"john at example.com{more}")
+        assert ("secret", "ABCDEFGHIJKLMNOPQRST") in proposed(f"key ABCDEFGHIJKLMNOPQRST{more}")
+
+
 def test_odd_rows_and_redaction(spark, odd, odd_rows, empty):
     out = pii.find(odd.withColumnRenamed("lang", "spans"))
     assert out.columns == ["doc_id", "text", "source", "n_chars", "spans"]
