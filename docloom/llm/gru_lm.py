@@ -6,8 +6,8 @@
    frequency, and one more class holds all other tokens, which follow their unigram within it. So
    P(token) = P(class | state) * P(token | class, state), a distribution over all tokens and one unknown.
 3. The network starts as the unigram and is trained by truncated backpropagation: in each round every
-   task trains on its part of a fixed share of the training documents, and the weights are averaged by tokens. The
-   share is of documents, so what is learnt from grows with the input.
+   task trains on its part of that round's training documents, and the weights are averaged by tokens. Each
+   training document is learnt from once; a larger ``share`` takes one document in so many.
 4. Every document is scored whole: documents run in lanes, a window of steps at a time, the
    state carried across windows and reset at a document's start.
 
@@ -34,7 +34,7 @@ from docloom.llm.common import row_keyed, slices, staged, utf8
 
 HEAD, KNOWN, CLASSES, HIDDEN = 1 << 17, 2048, 48, 16
 #: One document in SHARE is trained on, dealt over ROUNDS rounds.
-SHARE, ROUNDS = 6, 2
+SHARE, ROUNDS = 1, 2
 LANES, WINDOW, RATE = 64, 16, 0.01
 #: Windows of training text after which the state starts anew, so that a long text doesn't leave lanes empty.
 PIECE = 24

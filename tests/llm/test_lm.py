@@ -39,6 +39,14 @@ def test_small_head_joins_the_rest(spark, sf):
     check_base([tuple(r) for r in docs.collect()], score(docs, head=50, known=20, classes=5).collect())
 
 
+def test_learns_from_every_training_document(spark, monkeypatch):
+    taught: list[str] = []
+    monkeypatch.setattr(gru_lm, "averaged", lambda docs, net: taught.extend(r["text"] for r in docs.collect()))
+    texts = [f"w{i % 7} own{i}" for i in range(40)]
+    gru_lm.language_model(spark.createDataFrame(list(enumerate(texts)), "row_key long, text string"))
+    assert sorted(taught) == sorted(texts)
+
+
 def test_odd_rows(spark, odd, odd_rows, empty):
     got = score(odd.withColumnRenamed("lang", "score"), share=1).collect()
     check_base([(i, t) for i, t, *_ in odd_rows], got)
