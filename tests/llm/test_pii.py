@@ -19,7 +19,7 @@ PATTERNS = {
 def holds(kind: str, s: str) -> bool:
     digits = re.sub("[^0-9]", "", s)
     if kind == "ip":
-        return all(int(p) <= 255 for p in s.split("."))
+        return all(len(part := p.lstrip("0")) <= 3 and int(part or 0) <= 255 for p in s.split("."))
     if kind == "card":
         double = [int(d) * (1 + i % 2) for i, d in enumerate(digits[::-1])]
         return 13 <= len(digits) <= 19 and sum(x // 10 + x % 10 for x in double) % 10 == 0
@@ -44,6 +44,29 @@ def test_base_rules_on_made_up_data():
         assert pii.base_spans(text) == plain(text)
 
 
+def test_parts_of_any_length():
+    """Digits beyond what int() takes, in any part of an address and in the other kinds."""
+    zeros, ones = "0" * 5000, "1" * 5000
+    for text in (f"{zeros}.1.1.1", f"1.{zeros}255.3.4", f"1.2.3.{ones}", f"{ones}.{ones}.{ones}.{ones}", f"+{ones}", f"{zeros} 4111 1111 1111 1111", f"x {zeros}.0.0.{zeros}7 y"):
+        assert pii.base_spans(text) == plain(text)
+        pii.all_spans(text, pii.default_model())
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(st.text(alphabet="0123456789.@+- aZ", max_size=12), st.integers(1, 6).flatmap(lambda k: st.sampled_from("019").map(lambda c: c * 10**k))), max_size=6).map("".join).filter(lambda t: len(t) < 30_000))
+def test_base_rules_on_long_runs_of_digits(text):
+    assert pii.base_spans(text) == plain(text)
+
+
+def test_an_unrelated_suffix_changes_no_span():
+    model = pii.default_model()
+    for text in ("my password: correcthorsebattery", "token=abcdefghij", "write to john at example.com", "call (555) 010-4477", "ssn 123-45-6789", "a.b@c.de", "nothing here"):
+        alone = pii.all_spans(text, model)
+        for more in ("\n\n" + "plain words follow in a long row " * 3 + "7", "\n\n" + "plain words follow in a long row " * 3 + "=", "\n\n" + "plain words follow in a long row " * 3 + "he sat at a table"):
+            longer = [x for x in pii.all_spans(text + more, model) if x[2] <= len(text)]
+            assert [x[:3] for x in longer] == [x[:3] for x in alone], (text, more)
+
+
 def test_linear_time():
     for unit in ("a", "1", "1.", "1-", "+1", "a@", "@", ". ", "a.", "0 ", "+1 (", "password=", "Ab1/"):
         pii.all_spans(unit * 100_000, pii.default_model())
