@@ -30,8 +30,8 @@ _BLANK = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 #: Fixed value: the pre-token pattern of the published byte-level vocabularies.
 _PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
-#: Chunks and pre-tokens in a generation of a worker's cache, and the longest kept.
-CACHE, CACHE_CHARS = 200_000, 48
+#: Chunks and pre-tokens in a generation of a worker's cache, and the longest kept: an entry has some 300 bytes, and there are two generations.
+CACHE, CACHE_CHARS = 100_000, 48
 
 
 def byte_characters() -> list[str]:
@@ -41,6 +41,18 @@ def byte_characters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+def refuse_others(spec: dict) -> None:
+    """An error for a file whose settings this coder doesn't follow: ids of another normaliser, pre-tokenizer or model would be wrong ones."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    odd = [f"normalizer {spec['normalizer']}"] if spec.get("normalizer") else []
+    odd += [] if pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and pre.get("use_regex", True) else [f"pre_tokenizer {pre}"]
+    odd += [] if model.get("type", "BPE") == "BPE" else [f"model {model['type']}"]
+    odd += [f"{k} {model[k]}" for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += [f"added token {t['content']!r}" for t in spec.get("added_tokens") or [] if t.get("single_word") or t.get("lstrip") or t.get("rstrip") or t.get("normalized")]
+    if odd:
+        raise ValueError("not a plain byte-level BPE vocabulary: " + ", ".join(odd))
+
+
 class Coder(dict):
     """Maps a chunk of text to its packed ids (little-endian uint32), computing what is not cached."""
 
@@ -49,6 +61,7 @@ class Coder(dict):
 
         loaded = json.loads(spec)
         model = loaded["model"]
+        refuse_others(loaded)
         vocab: dict[str, int] = model["vocab"]
         chars = byte_characters()
         of_char = {c: bytes([b]) for b, c in enumerate(chars)}

@@ -9,8 +9,8 @@ documents. A document is kept if its combined probability of good quality is at
 
 Defined cases: a document without words is scored by its metadata alone; null metadata are a value of their
 own; several labels of one id: the lowest counts; labels of null quality don't count; without labels
-of both classes every document scores the share of good labels (1.0 without any) and is kept; repeated ids
-are scored row by row; an empty table gives no rows; extra columns stay, save those named like the
+of both classes every document scores the share of good labels (1.0 without any) and is kept; rows of a repeated
+id are scored one by one, and one of them is learnt from; an empty table gives no rows; extra columns stay, save those named like the
 output's.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import set_aside, slices, utf8
+from docloom.llm.common import slices, utf8
 
 LABELLED, POOL, THRESHOLD = 20_000, 20_000, 0.5
 ROUNDS, CONFIDENT = 5, 0.97
@@ -61,19 +61,24 @@ def metadata_features(lang: str | None, source: str | None, n_chars: int | None)
     return row
 
 
+def views_of(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """Feature rows of the two views, float32. Columns lang, source and n_chars may be missing."""
+    names = batch.schema.names
+    lang, source, n_chars = (batch.column(c).to_pylist() if c in names else [None] * batch.num_rows for c in ("lang", "source", "n_chars"))
+    X = np.array([text_features(t) for t in utf8(batch.column("text"))], "<f4")
+    M = np.array([metadata_features(*row) for row in zip(lang, source, n_chars, strict=True)], "<f4")
+    return X, M
+
+
 def featurized(docs: DataFrame) -> DataFrame:
-    """docs with ``_text`` and ``_meta``: packed float32 features of the two views. Columns lang, source and n_chars may be missing."""
+    """docs with ``_text`` and ``_meta``: packed float32 features of the two views."""
     docs = docs.drop("_text", "_meta")
     schema = T.StructType([*docs.schema.fields, T.StructField("_text", T.BinaryType()), T.StructField("_meta", T.BinaryType())])
-    names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            texts = list(utf8(batch.column("text")))
-            lang, source, n_chars = (batch.column(c).to_pylist() if c in names else [None] * batch.num_rows for c in ("lang", "source", "n_chars"))
-            x = [np.array(text_features(t), "<f4").tobytes() for t in texts]
-            m = [np.array(metadata_features(*row), "<f4").tobytes() for row in zip(lang, source, n_chars, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(x, pa.binary()), pa.array(m, pa.binary())], [*batch.schema.names, "_text", "_meta"])
+            made = (pa.array([x.tobytes() for x in view], pa.binary()) for view in views_of(batch))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *made], [*batch.schema.names, "_text", "_meta"])
 
     return docs.mapInArrow(run, schema)
 
@@ -175,29 +180,27 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: in
     chosen = ids.join(given, "_id").orderBy(first, "_id").limit(labelled)
     others = ids.join(given, "_id", "left_anti").orderBy(first, "_id").limit(pool).withColumn("_y", F.lit(None).cast(given.schema["_y"].dataType))
     sample = chosen.unionByName(others)
-    rows = featurized(named.join(F.broadcast(sample), "_id")).select("_id", "_y", "_text", "_meta").collect()  # the sample has labelled + pool ids at most
-    rows.sort(key=lambda r: (zlib.crc32(str(r["_id"]).encode()), r["_id"], r["_text"], r["_meta"]))
+    # labelled + pool rows at most: of several rows of an id the least features count
+    rows = featurized(named.join(F.broadcast(sample), "_id")).groupBy("_id", "_y").agg(F.min(F.struct("_text", "_meta")).alias("_x")).select("_id", "_y", "_x.*").collect()
+    rows.sort(key=lambda r: (zlib.crc32(str(r["_id"]).encode()), r["_id"]))
     known, unknown = [r for r in rows if r["_y"] is not None], [r for r in rows if r["_y"] is None]
     width = LANGS + SOURCES + 3
     return CoTrained((_packed(known, "_text", N_TEXT), _packed(known, "_meta", width)), np.array([float(r["_y"] > 0) for r in known]), (_packed(unknown, "_text", N_TEXT), _packed(unknown, "_meta", width)))
 
 
 def score(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> DataFrame:
-    """docs with quality_score, text_score, meta_score and keep."""
-    docs, restored = set_aside(docs.drop("quality_score", "text_score", "meta_score", "keep"), "_text", "_meta")
+    """docs with quality_score, text_score, meta_score and keep, in one pass over the texts."""
+    docs = docs.drop("quality_score", "text_score", "meta_score", "keep")
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.columns
-    rows = featurized(docs)
     scores = ("quality_score", "text_score", "meta_score")
     schema = T.StructType([*docs.schema.fields, *(T.StructField(c, T.DoubleType()) for c in scores)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
-        for batch in batches:
-            if batch.num_rows:
-                X, M = (np.stack([np.frombuffer(v, "<f4") for v in batch.column(c).to_pylist()]).astype(float) for c in ("_text", "_meta"))
-                made = own.score(X, M)
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *(pa.array(made[:, i]) for i in range(3))], [*kept, *scores])
-
-    scored = rows.mapInArrow(run, schema)
-    return restored(scored.withColumn("keep", (F.col("quality_score") >= threshold) | F.lit(not model.fitted)))
+        for batch in slices(batches):
+            X, M = views_of(batch)
+            made = own.score(X.astype(float), M.astype(float))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(made[:, i]) for i in range(3))], [*batch.schema.names, *scores])
+
+    scored = docs.mapInArrow(run, schema)
+    return scored.withColumn("keep", (F.col("quality_score") >= threshold) | F.lit(not model.fitted))

@@ -1,9 +1,11 @@
 import hashlib
+import json
 import random
 import struct
 
 import public_tokenizers
 import pyarrow.parquet as pq
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
@@ -46,6 +48,20 @@ def test_one_very_long_word():
     check("a" * 20_000)
 
 
+def test_other_vocabularies_are_refused():
+    spec = json.load(open(PATH, encoding="utf-8"))
+    for change in ({"normalizer": {"type": "NFC"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": {"type": "ByteLevel", "add_prefix_space": True}}, {"model": spec["model"] | {"byte_fallback": True}}):
+        with pytest.raises(ValueError, match="not a plain"):
+            bpe.refuse_others(spec | change)
+
+
+def test_a_small_cache_changes_no_id(monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE", 7)
+    coder = bpe.Coder(open(PATH, encoding="utf-8").read())
+    text = " ".join(f"word{i % 23} été{i % 5}!" for i in range(500))
+    assert coder.encode(text) == real(text)[0] and len(coder) <= 7
+
+
 def test_query_agrees_with_the_library(spark, sf):
     got = {r["doc_id"]: r for r in op1_bpe(spark, sf).collect()}
     rows = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pylist()

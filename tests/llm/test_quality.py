@@ -1,7 +1,10 @@
+import zlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from docloom.llm import cotrain
+from docloom.llm.q_quality import op3_quality
 
 SF = "/root/testdata/sf0.01"
 
@@ -26,6 +29,36 @@ def test_reruns_agree(spark, sf):
     assert run(docs) == run(docs.repartition(7))
 
 
+def test_query_against_plain_rows(spark, sf):
+    """The sample is the whole of a small table: features, fit and scores by loops over its rows."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet").collect() for t in ("documents", "labels"))
+    label = {}
+    for r in labels:
+        if r["quality"] is not None:
+            label[r["doc_id"]] = min(r["quality"], label.get(r["doc_id"], 9))
+    X = {r["doc_id"]: np.array(cotrain.text_features((r["text"] or "").encode()), np.float32) for r in docs}
+    M = {r["doc_id"]: np.array(cotrain.metadata_features(r["lang"], r["source"], r["n_chars"]), np.float32) for r in docs}
+    assert len(X) == len(docs)
+    order = sorted(X, key=lambda i: (zlib.crc32(str(i).encode()), i))
+    views = lambda ids: tuple(np.array([v[i] for i in ids], float) for v in (X, M))
+    known, free = [i for i in order if i in label], [i for i in order if i not in label]
+    model = cotrain.CoTrained(views(known), np.array([float(label[i] > 0) for i in known]), views(free))
+    want = dict(zip(order, model.score(*views(order)), strict=True))
+    got = op3_quality(spark, sf).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert np.allclose([r["quality_score"], r["text_score"], r["meta_score"]], want[r["doc_id"]], atol=1e-9)
+        assert r["keep"] == (r["quality_score"] >= 0.5)
+
+
+def test_repeated_ids_give_one_row_to_learn_from(spark):
+    rows = [(i % 8, f"text {i} " * (i % 5 + 1), "en", "a", 10) for i in range(400)]
+    some = spark.createDataFrame([(i, i % 2, 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    model = cotrain.fit(docs, some)
+    assert model.prior == 0.5 and cotrain.score(docs, model).count() == 400
+
+
 def test_odd_rows_and_labels(spark, odd, odd_rows, empty):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     out = cotrain.score(odd.withColumnRenamed("source", "keep"), cotrain.fit(odd, none))
