@@ -58,10 +58,15 @@ def row_keyed(docs: DataFrame, id_col: str = "doc_id", key: str = "row_key") ->
     """docs with a long ``key`` unique to each row: the id itself where ids are whole, else a number written beside the row."""
     n, distinct = docs.agg(F.count(F.lit(1)), F.count_distinct(id_col)).first()
     if n == distinct and docs.schema[id_col].dataType == T.LongType():
-        return docs.withColumn(key, F.col(id_col))
+        return docs.withColumn(key, F.col(id_col).alias(key, metadata={"by_id": True}))
     return staged(docs.withColumn(key, F.monotonically_increasing_id()), "keys")
 
 
+def by_id(keyed: DataFrame, key: str = "row_key") -> bool:
+    """The keys that row_keyed() gave are the rows' own ids."""
+    return bool(keyed.schema[key].metadata.get("by_id"))
+
+
 def set_aside(docs: DataFrame, *names: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
     """docs with columns of these names (an operator's own) renamed, and a function that gives them their names back."""
     aside = {n: f"_given_{n}" for n in docs.columns if n in names}

@@ -14,7 +14,8 @@
    bucket only groups outside its largest component are paired with the others, in salted parts.
 
 So no link between components is lost, and a group of thousands of near copies gives a few pairs
-for each member. Rows of pairs are made only where all filters pass.
+for each member. Rows of pairs are made only where all filters pass. Joins of a bucket, class or
+component with what is known of it read that from a written table, so that rows of a hot one can be split.
 
 Whole sets are shuffled only for documents in a pair, found at the scan by a bit set of fixed size.
 
@@ -33,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import arrow_rows, row_keyed, set_aside, slices, staged, utf8
+from docloom.llm.common import arrow_rows, by_id, row_keyed, set_aside, slices, staged, utf8
 from docloom.llm.components import components
 from docloom.llm.shingles import shingle_sets
 
@@ -67,9 +68,8 @@ class Threshold:
         """If the shared tokens at places i and j are the sets' first, they can still share enough."""
         return F.least(n - i, m - j) * (self.p + self.q) >= (n + m) * self.p
 
-    def parities(self, n: Column, m: Column, a: list[Column], b: list[Column]) -> Column:
+    def parities(self, n: Column, m: Column, differ: Column) -> Column:
         """The sets differ in at least as many elements as their parity bits do."""
-        differ = sum((F.bit_count(x.bitwiseXOR(y)) for x, y in zip(a, b, strict=True)), F.lit(0))
         return differ * (self.p + self.q) <= (n + m) * (self.q - self.p)
 
     def similar(self, shared: int, n: int, m: int) -> bool:
@@ -161,9 +161,13 @@ def texts_in(docs: DataFrame, keys: DataFrame, words: int, schema: str, make) ->
 SKETCH = ["s0", "s1", "s2", "s3"]
 
 
+#: Sets of more hashes than SPARSE have FINE parity bits at least, besides the 256 of SKETCH.
+SPARSE, FINE = 64, 1024
+
+
 def parity_bits(s: np.ndarray) -> np.ndarray:
-    """Parities of a set's hashes as bytes: about as many bits as hashes, a power of two from 256 on. The parities of fewer bits are those of more, folded."""
-    bits = 1 << min(20, max(8, (len(s) - 1).bit_length()))
+    """Parities of a set's hashes as bytes: 256 bits for small sets, else FINE or four times as many as hashes, a power of two. The parities of fewer bits are those of more, folded."""
+    bits = 256 if len(s) <= SPARSE else 1 << min(20, max(FINE.bit_length() - 1, (4 * len(s) - 1).bit_length()))
     return np.packbits((np.bincount((s >> np.uint64(40)).astype(np.int64) & bits - 1, minlength=bits) & 1).astype(np.uint8), bitorder="little")
 
 
@@ -173,9 +177,9 @@ def fold(parities: np.ndarray, size: int) -> np.ndarray:
 
 
 def prefixes(docs: DataFrame, keys: DataFrame, words: int, limit: Threshold, levels: np.ndarray) -> DataFrame:
-    """(row_key, n, prefix, anchors, parities, s0..s3) of documents in keys that can be similar to an unlike set.
+    """(row_key, n, prefix, anchors, parities, fine, s0..s3) of documents in keys that can be similar to an unlike set.
 
-    prefix: packed int64 tokens in order; anchors: the first two of the highest level in it; s0..s3: the parities folded to 256 bits.
+    prefix: packed int64 tokens in order; anchors: the first two of the highest level in it; s0..s3: the parities folded to 256 bits; fine: to FINE bits, null for sets up to SPARSE.
     """
     shared = docs.sparkSession.sparkContext.broadcast(levels)
 
@@ -197,11 +201,12 @@ def prefixes(docs: DataFrame, keys: DataFrame, words: int, limit: Threshold, lev
                 "prefix": pa.array(firsts, pa.binary()),
                 "anchors": pa.array(anchors, pa.list_(pa.int64())),
                 "parities": pa.array([x.tobytes() for x in parities], pa.binary()),
+                "fine": pa.array([fold(x, FINE // 8).view(np.int64) if len(x) > 32 else None for x in parities], pa.list_(pa.int64())),
             }
             | {name: pa.array(np.ascontiguousarray(bits[:, i])) for i, name in enumerate(SKETCH)}
         )
 
-    return texts_in(docs, keys, words, "row_key long, n long, prefix binary, anchors array<long>, parities binary, s0 long, s1 long, s2 long, s3 long", make)
+    return texts_in(docs, keys, words, "row_key long, n long, prefix binary, anchors array<long>, parities binary, fine array<long>, s0 long, s1 long, s2 long, s3 long", make)
 
 
 def tokens_of(prefixed: DataFrame, only: np.ndarray | None = None) -> DataFrame:
@@ -311,21 +316,22 @@ def led(rows: DataFrame, labels: DataFrame | None, turn: int, limit: Threshold)
     now = (rows if labels is None else rows.join(labels, rows["key"] == labels["node"], "left")).select("token", "key", "n", "copies", own.alias("label"))
     drawn = F.xxhash64("key", F.lit(turn))
     first = F.min(F.struct((F.struct(-F.col("copies"), drawn) if turn == 0 else F.struct(F.lit(0).cast("long"), drawn)).alias("h"), "key", "n", "label"))
-    state = now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), first.alias("lead")).where("low <> high")
+    # written, so that the join deals rows anew and a frequent token's can be split
+    state = staged(now.groupBy("token").agg(F.min("label").alias("low"), F.max("label").alias("high"), first.alias("lead")).where("low <> high"), "leads")
     lead = state.select("token", *(F.col(f"lead.{c}").alias(f"lead_{c}") for c in ("h", "key", "n", "label")))
     both = now.join(lead, "token").where((F.col("label") != F.col("lead_label")) & limit.sizes(F.col("n"), F.col("lead_n")))
     return both.groupBy("key").agg(F.min(F.struct("lead_h", "lead_key")).alias("lead")).select("key", F.col("lead.lead_key").alias("lead_key")).select(*_pair("key", "lead_key"))
 
 
 def crossing(rows: DataFrame, limit: Threshold) -> DataFrame:
-    """Pairs (g, h) of keys of (bucket, key, n, place, low, high, kept, s0..s3) in one large bucket that may be similar and are of different components.
+    """Pairs (g, h) of keys of (bucket, key, n, place, low, high, kept, fine, s0..s3) in one large bucket that may be similar and are of different components.
 
     low and high: the least and greatest component of the key's members; s0 is null where they have several sets; kept: the
     key's buckets in order, or null: a pair is made in the first bucket common to both.
     Rows outside the bucket's largest component meet all rows of the bucket, in parts of about SALT_ROWS.
     """
     counts = rows.groupBy("bucket", "low", "high").agg(F.count(F.lit(1)).alias("k"))
-    state = counts.groupBy("bucket").agg(F.max(F.when(F.col("low") == F.col("high"), F.struct("k", "low"))).alias("main"), F.ceil(F.sum("k") / SALT_ROWS).alias("parts"))
+    state = staged(counts.groupBy("bucket").agg(F.max(F.when(F.col("low") == F.col("high"), F.struct("k", "low"))).alias("main"), F.ceil(F.sum("k") / SALT_ROWS).alias("parts")), "buckets")
     known = rows.join(state.select("bucket", F.coalesce("main.low", F.lit(-1)).alias("main"), "parts"), "bucket")
     known = known.withColumn("outside", (F.col("low") != F.col("main")) | (F.col("high") != F.col("main")))
     l = known.where("outside").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).alias("l")
@@ -334,14 +340,20 @@ def crossing(rows: DataFrame, limit: Threshold) -> DataFrame:
     once = (a("key") < b("key")) | (~b("outside") & (a("key") != b("key")))
     earlier = lambda x: F.slice(x("kept"), 1, F.array_position(x("kept"), x("bucket")).cast("int") - 1)
     first = ~F.coalesce(F.arrays_overlap(earlier(a), earlier(b)), F.lit(False))
-    met = l.join(r, (a("bucket") == b("bucket")) & (a("part") == b("part")) & once & unlike(a, b) & close(a, b, limit) & first)
+    met = l.join(r, (a("bucket") == b("bucket")) & (a("part") == b("part")) & once & unlike(a, b) & close(a, b, limit) & finely_close(a, b, limit) & first)
     return met.select(a("key").alias("g"), b("key").alias("h"))
 
 
 def close(a, b, limit: Threshold) -> Column:
     """Size, position and parity filters; groups of several sets have no parity bits."""
-    bits = [a(c) for c in SKETCH], [b(c) for c in SKETCH]
-    return limit.sizes(a("n"), b("n")) & limit.positions(a("n"), a("place"), b("n"), b("place")) & (a("s0").isNull() | b("s0").isNull() | limit.parities(a("n"), b("n"), *bits))
+    differ = sum((F.bit_count(a(c).bitwiseXOR(b(c))) for c in SKETCH), F.lit(0))
+    return limit.sizes(a("n"), b("n")) & limit.positions(a("n"), a("place"), b("n"), b("place")) & F.coalesce(limit.parities(a("n"), b("n"), differ), F.lit(True))
+
+
+def finely_close(a, b, limit: Threshold) -> Column:
+    """The filter of the FINE parities, which is nearly exact for sets of some hundred hashes: 256 bits let many unlike pairs pass there."""
+    differ = F.aggregate(F.zip_with(a("fine"), b("fine"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return F.coalesce(limit.parities(a("n"), b("n"), differ), F.lit(True))
 
 
 def unlike(a, b) -> Column:
@@ -352,8 +364,9 @@ def unlike(a, b) -> Column:
 def links(docs: DataFrame, words: int, limit: Threshold) -> tuple[DataFrame, DataFrame]:
     """(row_key, n, rep) of every document of (row_key, text), and (node, label) components of linked representatives. Representatives are the smallest keys of equal sets."""
     sets, levels = measured(docs, words)
-    reps = sets.where("n > 0").groupBy("digest").agg(F.min("row_key").alias("rep"))
-    classes = staged(sets.join(reps, "digest", "left").select("row_key", "n", "rep"), "classes")
+    # only copies need their representative looked up; written, so that the join deals rows anew and those of one text can be split
+    reps = staged(sets.where("n > 0").groupBy("digest").agg(F.min("row_key").alias("rep"), F.count(F.lit(1)).alias("many")).where("many > 1").select("digest", "rep"), "reps")
+    classes = staged(sets.join(reps, "digest", "left").select("row_key", "n", F.when(F.col("n") > 0, F.coalesce("rep", "row_key")).alias("rep")), "classes")
     own = classes.where("row_key = rep").select("row_key")
     # the few rows beyond own that the bit set lets pass are copies, which link with what they copy
     prefixed = staged(prefixes(docs, own, words, limit, levels), "prefixes")
@@ -369,8 +382,8 @@ def links(docs: DataFrame, words: int, limit: Threshold) -> tuple[DataFrame, Dat
     marked = prefixed.select("row_key", F.xxhash64("prefix", "n").alias("mark"))
     shared_marks = marked.groupBy("mark").agg(F.count(F.lit(1)).alias("k"), F.min("row_key").alias("gid")).where("k > 1").select("mark", "gid")
     of_group = staged(marked.join(shared_marks, "mark").select("gid", F.col("row_key").alias("member")), "groups")
-    state = prefixed.select("row_key", "n", *SKETCH).join(of_group.select("gid", F.col("member").alias("row_key")), "row_key", "left").join(labels, F.col("row_key") == labels["node"], "left")
-    state = staged(state.select("row_key", "gid", "n", *SKETCH, F.coalesce("label", "row_key").alias("label")), "states")
+    state = prefixed.select("row_key", "n", "fine", *SKETCH).join(of_group.select("gid", F.col("member").alias("row_key")), "row_key", "left").join(labels, F.col("row_key") == labels["node"], "left")
+    state = staged(state.select("row_key", "gid", "n", F.when(F.col("gid").isNotNull(), F.col("fine")).alias("fine"), *SKETCH, F.coalesce("label", "row_key").alias("label")), "states")
     groups = state.groupBy(F.coalesce("gid", "row_key").alias("gid")).agg(F.min("label").alias("low"), F.max("label").alias("high"), *(F.when(F.count(F.lit(1)) == 1, F.min(c)).alias(c) for c in SKETCH))
     groups = staged(groups, "components")
     # tokens in more than one prefix, then those in groups of different components
@@ -378,7 +391,7 @@ def links(docs: DataFrame, words: int, limit: Threshold) -> tuple[DataFrame, Dat
     shared = bit_set(often)
     tokens = tokens_of(prefixed, shared).join(groups.select("gid", "low", "high").hint("merge"), "gid")
     tokens = staged(tokens, "tokens")
-    mixed = tokens.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.count(F.lit(1)).alias("many")).where("l <> h").select("token", "many")
+    mixed = staged(tokens.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.count(F.lit(1)).alias("many")).where("l <> h").select("token", "many"), "mixed")
     # open rows carry the parity bits, so that pairs are made only where these agree
     tokens = staged(tokens.join(mixed.hint("merge"), "token").join(groups.select("gid", *SKETCH).hint("merge"), "gid"), "open")
     few = tokens.where(F.col("many") <= SMALL)
@@ -386,13 +399,16 @@ def links(docs: DataFrame, words: int, limit: Threshold) -> tuple[DataFrame, Dat
     a, b = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
     met = l.join(r, (a("token") == b("token")) & (a("gid") < b("gid")) & unlike(a, b) & close(a, b, limit)).select(a("gid").alias("g"), b("gid").alias("h"))
     large = tokens.where(F.col("many") > SMALL).join(kept_tokens(prefixed, shared).hint("merge"), "gid")
-    met = met.unionByName(crossing(large.select(F.col("token").alias("bucket"), F.col("gid").alias("key"), "n", "place", "low", "high", "kept", *SKETCH), limit)).distinct()
+    # a group of several sets has null sketches and no fine parities either
+    fine = prefixed.where("fine IS NOT NULL").select(F.col("row_key").alias("gid"), "fine")
+    large = large.join(fine.hint("merge"), "gid", "left").select(F.col("token").alias("bucket"), F.col("gid").alias("key"), "n", "place", "low", "high", "kept", F.when(F.col("s0").isNotNull(), F.col("fine")).alias("fine"), *SKETCH)
+    met = met.unionByName(crossing(large, limit)).distinct()
     # expansion to members: only groups of more than one need it
     left = of_group.select(F.col("gid").alias("g"), F.col("member").alias("a0"))
     right = of_group.select(F.col("gid").alias("h"), F.col("member").alias("b0"))
     expanded = met.join(left, "g", "left").join(right, "h", "left").select(F.coalesce("a0", "g").alias("a0"), F.coalesce("b0", "h").alias("b0"))
     apart = groups.where("low <> high").select("gid")
-    members = state.where("gid IS NOT NULL").join(apart, "gid").select(F.col("gid").alias("bucket"), F.col("row_key").alias("key"), "n", F.lit(0).alias("place"), F.col("label").alias("low"), F.col("label").alias("high"), F.array("gid").alias("kept"), *SKETCH)
+    members = state.where("gid IS NOT NULL").join(apart, "gid").select(F.col("gid").alias("bucket"), F.col("row_key").alias("key"), "n", F.lit(0).alias("place"), F.col("label").alias("low"), F.col("label").alias("high"), F.array("gid").alias("kept"), "fine", *SKETCH)
     within = crossing(members, limit).select(F.col("g").alias("a0"), F.col("h").alias("b0"))
     pairs = staged(expanded.unionByName(within).select(*_pair("a0", "b0")).distinct(), "pairs")
     names = state.select("row_key", "label")
@@ -403,10 +419,13 @@ def links(docs: DataFrame, words: int, limit: Threshold) -> tuple[DataFrame, Dat
 def similar_documents(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id): component_id is the smallest id reachable by links, the document's own included."""
     keyed = row_keyed(docs.select(F.col(id_col).cast("long").alias("doc_id"), "text"))
-    ids = keyed.select("row_key", "doc_id")
     classes, labels = links(keyed.select("row_key", "text"), words, Threshold(p, q))
-    named = classes.join(labels, classes["rep"] == labels["node"], "left").select("row_key", "n", F.coalesce("label", "rep", "row_key").alias("component")).join(ids, "row_key")
-    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    named = classes.join(labels, classes["rep"] == labels["node"], "left").select("row_key", "n", F.coalesce("label", "rep", "row_key").alias("component"))
+    if by_id(keyed):  # the smallest row key of a component is its smallest id
+        return named.select(F.col("row_key").alias("doc_id"), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+    named = named.join(keyed.select("row_key", "doc_id"), "row_key")
+    # written, so that the join deals rows anew and those of one component can be split
+    least = staged(named.groupBy("component").agg(F.min("doc_id").alias("component_id")), "least")
     return named.join(least, "component").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
