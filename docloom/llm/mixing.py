@@ -6,7 +6,9 @@ a digest of the id, so reruns agree; w: the document's quality weight), summed u
 
 Prefix sums within a source don't put the source into one task: keys are first summed by narrow
 key bins (bins grow with the source's rows), bins are summed in order, and only the bin in which a source's
-budget ends is ordered row by row.
+budget ends is ordered row by row. Bins are cut by the keys' expected distribution function, which is that of
+a mixture: the rows of each level of weight have exponential keys of that rate. So bins are even
+whatever the weights are.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in order; an empty
 table gives no rows; repeated rows are separate documents, drawn one by one; sources whose
@@ -24,7 +26,9 @@ from docloom.llm.common import JAVA_WORD, row_keyed, set_aside, staged
 #: A source's target is at most so many times its size.
 MOST_EPOCHS = 3
 #: Rows a key bin holds on average.
-BIN_ROWS = 4096
+BIN_ROWS = 1024
+#: Levels of weight in a doubling.
+LEVELS = 8
 
 
 def word_count(text: Column) -> Column:
@@ -57,17 +61,29 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], total_share: fl
     )
     # the level at the first source that it doesn't fill; every source before that one is full
     fitting = F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.struct((F.col("cap") / F.col("weight")).alias("at"), "level"))).over(whole)
-    return levels.withColumn("held", fitting["level"]).select("source", "source_size", "n_docs", F.when(F.col("source_size") == 0, 0.0).otherwise(F.coalesce(F.least(F.col("cap"), F.col("held") * F.col("weight")), F.col("cap"))).alias("target"))
+    return levels.withColumn("held", fitting["level"]).select("source", "source_size", "n_docs", *(c for c in sizes.columns if c == "rates"), F.when(F.col("source_size") == 0, 0.0).otherwise(F.coalesce(F.least(F.col("cap"), F.col("held") * F.col("weight")), F.col("cap"))).alias("target"))
+
+
+def rates(rows: DataFrame) -> DataFrame:
+    """(source, source_size, n_docs, rates) of (source, size, weight): rates holds (n, rate) of each level of weight, in order."""
+    level = F.floor(F.log2("weight") * LEVELS)
+    levels = rows.groupBy("source", level.alias("level")).agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n"), F.max("weight").alias("rate"))  # no mean, which would depend on the order of rows
+    return levels.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum("n").alias("n_docs"), F.array_sort(F.collect_list(F.struct("rate", "n"))).alias("rates"))
+
+
+def key_bin() -> Column:
+    """The number of a row's key bin: the expected number of its source's rows of smaller keys, by BIN_ROWS. It never falls as the key rises."""
+    before = F.aggregate("rates", F.lit(0.0), lambda s, x: s + x["n"] * (1 - F.exp(-x["rate"] * F.col("key"))))
+    return F.least(F.floor(before / F.col("n_docs") * F.col("bins")), F.col("bins") - 1).cast("long")
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), id_col: str = "doc_id", seed: int = 17) -> DataFrame:
     """(doc_id, size, source, source_size, target, epochs, copies, taken) for every document of (doc_id, text, source)."""
     u = (F.conv(F.substring(F.md5(F.concat_ws(":", F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(str(seed)))), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
-    rows = staged(docs.select(F.col(id_col).alias("doc_id"), word_count(F.col("text")).alias("size"), F.col("source").cast("string").alias("source"), (-F.log(u) / quality_weight(F.col("text"))).alias("key")), "mix")
-    sums = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
+    rows = staged(docs.select(F.col(id_col).alias("doc_id"), word_count(F.col("text")).alias("size"), F.col("source").cast("string").alias("source"), quality_weight(F.col("text")).alias("weight"), (-F.log(u) / quality_weight(F.col("text"))).alias("key")), "mix")
+    sums = rates(rows)
     targets = source_targets(sums, weights).withColumns({"epochs": F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)}).withColumns({"rest": F.col("target") - F.col("epochs") * F.col("source_size"), "bins": F.ceil(F.col("n_docs") / BIN_ROWS)})
-    # 1 - exp(-key) spreads exponential keys evenly over (0, 1) and keeps their order
-    binned = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).select(rows["*"], "source_size", "target", "epochs", "rest", F.least(F.floor((1 - F.exp(-F.col("key"))) * F.col("bins")), F.col("bins") - 1).cast("long").alias("bin"))
+    binned = rows.join(targets, rows["source"].eqNullSafe(targets["source"])).select(rows["*"], "source_size", "target", "epochs", "rest", key_bin().alias("bin"))
     in_bins = binned.groupBy("source", "bin").agg(F.sum("size").alias("bin_size"), F.first("rest").alias("rest"))
     before = W.partitionBy("source").orderBy("bin").rowsBetween(W.unboundedPreceding, -1)
     bins = in_bins.withColumn("ahead", F.coalesce(F.sum("bin_size").over(before), F.lit(0))).select(F.col("source").alias("s"), F.col("bin").alias("b"), "ahead", (F.col("ahead") + F.col("bin_size")).alias("until"))

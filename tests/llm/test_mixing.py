@@ -61,6 +61,19 @@ def test_bins_don_t_change_the_draw(spark, sf, monkeypatch):
     assert sorted(op5_mixing(spark, sf).collect()) == whole
 
 
+def test_bins_are_even_for_any_weights(spark, monkeypatch):
+    """A clean source, one of markup alone, and a mixture: no bin holds many times the mean."""
+    monkeypatch.setattr(mixing, "BIN_ROWS", 200)
+    rows = spark.range(60_000).select(F.col("id"), F.array(F.lit("clean"), F.lit("noise"), F.lit("both")).getItem((F.col("id") % 3).cast("int")).alias("source"), F.lit(1).cast("long").alias("size"))
+    weight = F.when(F.col("source") == "clean", 1.0).when(F.col("source") == "noise", 1 / 21).otherwise(F.when(F.rand(3) < 0.5, 1.0).otherwise(0.05 + F.rand(4) / 5))
+    rows = rows.withColumn("weight", weight).withColumn("key", -F.log(1 - F.rand(5)) / F.col("weight")).cache()
+    binned = rows.join(mixing.rates(rows).withColumn("bins", F.ceil(F.col("n_docs") / mixing.BIN_ROWS)), "source").withColumn("bin", mixing.key_bin())
+    for r in binned.groupBy("source", "bin").count().groupBy("source").agg(F.count(F.lit(1)).alias("bins"), F.max("count").alias("most")).collect():
+        assert r["bins"] == 100 and r["most"] < 400, r
+    for r in binned.groupBy("source").agg(F.array_sort(F.collect_list(F.struct("key", "bin"))).alias("x")).collect():
+        assert all(a["bin"] <= b["bin"] for a, b in zip(r["x"], r["x"][1:], strict=False))
+
+
 def test_mixed_repeats_rows(spark, odd):
     out = mixing.mixed(odd, WEIGHTS)
     assert out.columns == odd.columns
