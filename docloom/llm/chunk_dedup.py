@@ -4,10 +4,13 @@ The gear hash at a byte depends on the 32 bytes up to it; a chunk ends where its
 least ``least`` and at most ``most`` bytes after the last end. An insertion moves only the ends near
 it, so a passage shared by two texts is cut alike save at its rims. Chunks are numbered rows of digests;
 the first by (row key, start) of each digest is the original, and later ones are copies. A run of copies is deleted
-if it has at least ``min_bytes`` bytes; single chunks that agree by chance stay.
+if it has at least ``min_bytes`` bytes, or is a whole text that is a whole copy of another; single chunks that agree by
+chance stay.
 
-Rows of chunks hold a digest of 8 bytes and numbers, never texts; digests are first reduced to
-(digest, first) by partial aggregates, so a chunk that is in a third of the texts is one row for each task.
+Rows of chunks hold a digest of 64 bits, a check of 19 from the gear hashes (which see 32 bytes: shorter chunks have
+none) and the size, which all must agree, and never texts. Digests are first reduced to (digest, first) by partial aggregates, so a chunk that is in a third of
+the texts is one row for each task there; what is found is written, so that the join of chunks with it
+deals them anew and those of a frequent digest can be split among tasks.
 
 Defined cases: a null text counts as an empty one and stays null; an empty text has no chunks;
 offsets count UTF-8 bytes and are moved inward to whole characters; repeated ids are separate rows,
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from docloom.llm.common import row_keyed, set_aside, slices, staged, utf8
+from docloom.llm.common import by_id, row_keyed, set_aside, slices, staged, utf8
 from docloom.llm.shingles import mixed, powers
 
 LEAST, BITS, MOST, MIN_BYTES = 16, 5, 256, 128
@@ -66,8 +69,12 @@ def ends(h: np.ndarray, first: int, last: int, least: int, bits: int, most: int)
     return out
 
 
+#: A chunk's start, size, whether it ends its text, and check bits, in one long of 32 + 12 + 1 + 19 bits.
+START, SIZE, LAST = 1 << 32, 1 << 20, 1 << 19
+
+
 def chunks(docs: DataFrame, least: int = LEAST, bits: int = BITS, most: int = MOST, seed: int = SEED) -> DataFrame:
-    """(row_key, start, size, digest) of the chunks of (row_key, text); ``most`` is below 2**20."""
+    """(row_key, digest, span) of the chunks of (row_key, text); ``most`` is below 2**12."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -92,31 +99,43 @@ def chunks(docs: DataFrame, least: int = LEAST, bits: int = BITS, most: int = MO
             total = np.zeros(len(joined) + 1, np.uint64)
             np.cumsum((joined.astype(np.uint64) + np.uint64(1)) * up[: len(joined)], out=total[1:])
             digest = mixed(mixed((total[end] - total[start]) * down[start]) + (end - start).astype(np.uint64))
-            yield pa.RecordBatch.from_pydict({"row_key": pa.array(np.repeat(keys, many)), "start": pa.array((start - base).astype(np.int32)), "size": pa.array((end - start).astype(np.int32)), "digest": pa.array(digest.view(np.int64))})
+            # the check sums bytes in other weights: the gear hashes at a few places of the chunk, which see 32 bytes each
+            check = np.zeros(len(end), np.uint64)
+            for part in range(1, 5):
+                near = start + (end - start) * part // 4 - 1
+                inside = near - start >= 31  # else the hash would see bytes before the chunk
+                check = mixed(check + np.where(inside, h[near], 0).astype(np.uint64) + np.uint64(part))
+            span = (start - base) * START + (end - start) * SIZE + np.isin(end, offsets[1:]) * LAST + (check & np.uint64(LAST - 1)).astype(np.int64)
+            yield pa.RecordBatch.from_pydict({"row_key": pa.array(np.repeat(keys, many)), "digest": pa.array(digest.view(np.int64)), "span": pa.array(span)})
 
-    return docs.select("row_key", "text").mapInArrow(run, "row_key long, start int, size int, digest long")
+    return docs.select("row_key", "text").mapInArrow(run, "row_key long, digest long, span long")
 
 
 def copied_spans(docs: DataFrame, min_bytes: int = MIN_BYTES, **cut: int) -> DataFrame:
-    """(row_key, start, end, source_key): stretches of copied chunks of min_bytes or more, and the row of the first chunk's original.
+    """(row_key, start, end, source_key): stretches of copied chunks of min_bytes or more, or of a whole text, and the row of the first chunk's original.
 
-    What is shuffled of a chunk is its digest, its row and one number for start and size.
+    What is shuffled of a chunk is its digest, its row and its span.
     """
-    span = F.shiftleft(F.col("start").cast("long"), 20).bitwiseOR(F.col("size").cast("long"))
-    table = staged(chunks(docs, **cut), "chunks").select("digest", "row_key", span.alias("span"))
-    first = table.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "span")).alias("first")).where("n > 1").select("digest", "first")
-    copies = table.join(first, "digest").where((F.col("row_key") != F.col("first.row_key")) | (F.col("span") != F.col("first.span"))).select("row_key", "span", F.col("first.row_key").alias("source_key"))
-    start = F.shiftright("span", 20).cast("int")
+    table = staged(chunks(docs, **cut), "chunks")
+    first = staged(table.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row_key", "span")).alias("first")).where("n > 1").select("digest", "first"), "firsts")
+    start = F.shiftright("span", 32).cast("int")
+    # size, last and check; a copy agrees in size and check
+    agree = F.col("span").bitwiseXOR(F.col("first.span")).bitwiseAND(F.lit((START - 1) ^ LAST)) == 0
+    copies = table.join(first, "digest").where(agree & ((F.col("row_key") != F.col("first.row_key")) | (F.col("span") != F.col("first.span"))))
+    alike = F.shiftright(F.col("span").bitwiseXOR(F.col("first.span")), 19) == 0  # the same place, and ends its text or not
+    copies = copies.select("row_key", "span", F.col("first.row_key").alias("source_key"), alike.alias("alike"))
     ordered = W.partitionBy("row_key").orderBy("start")
-    placed = copies.select("row_key", "source_key", start.alias("start"), (start + F.col("span").bitwiseAND((1 << 20) - 1)).cast("int").alias("end"))
+    size = F.shiftright("span", 20).bitwiseAND(F.lit((1 << 12) - 1))
+    placed = copies.select("row_key", "source_key", "alike", start.alias("start"), (start + size).cast("int").alias("end"), (F.col("span").bitwiseAND(F.lit(LAST)) != 0).alias("last"))
     opens = (F.col("start") != F.coalesce(F.lag("end").over(ordered), F.lit(-1))).cast("int")
+    whole = (F.min("start") == 0) & F.max("last") & F.bool_and("alike") & (F.min("source_key") == F.max("source_key"))
     return (
         placed.withColumn("opens", opens)
         .withColumn("run", F.sum("opens").over(ordered))
         .groupBy("row_key", "run")
-        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("source_key", "start").alias("source_key"))
-        .where(F.col("end") - F.col("start") >= min_bytes)
-        .drop("run")
+        .agg(F.min("start").alias("start"), F.max("end").alias("end"), F.min_by("source_key", "start").alias("source_key"), whole.alias("whole"))
+        .where((F.col("end") - F.col("start") >= min_bytes) | F.col("whole"))
+        .drop("run", "whole")
     )
 
 
@@ -140,8 +159,11 @@ def dedup_substrings(docs: DataFrame, min_bytes: int = MIN_BYTES, id_col: str =
     docs, restored = set_aside(docs.drop("removed_bytes", "spans", "copied_from"), "row_key", "_spans", "_source")
     keyed = row_keyed(docs, id_col)
     found = copied_spans(keyed.select("row_key", "text"), min_bytes, **cut)
-    ids = keyed.select(F.col("row_key").alias("source_key"), F.col(id_col).alias("_source"))
-    per_row = staged(found.join(ids, "source_key").groupBy("row_key").agg(F.collect_list(F.struct("start", "end")).alias("_spans"), F.array_sort(F.collect_set("_source")).alias("copied_from")), "spans")
+    if by_id(keyed):
+        found = found.withColumn("_source", F.col("source_key"))
+    else:
+        found = staged(found, "found").join(keyed.select(F.col("row_key").alias("source_key"), F.col(id_col).alias("_source")), "source_key")
+    per_row = staged(found.groupBy("row_key").agg(F.collect_list(F.struct("start", "end")).alias("_spans"), F.array_sort(F.collect_set("_source")).alias("copied_from")), "spans")
     wide = keyed.join(per_row, "row_key", "left").drop("row_key")
     span = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())]))
     kept = [c for c in docs.columns if c != "text"]

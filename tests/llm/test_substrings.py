@@ -37,19 +37,23 @@ def test_rolling_hash_and_ends():
 
 
 def brute(rows):
-    """Runs of at least MIN_BYTES of chunks seen before, in order of rows and places."""
-    seen, out = set(), {}
+    """Runs of at least MIN_BYTES of chunks seen before, in order of rows and places, and whole copies."""
+    seen, out = {}, {}
     for d, text in rows:
         raw, at, runs = (text or "").encode(), 0, []
+        sources = []
         for c in cut(raw):
+            sources.append(seen.get(c))
             if c in seen:
                 if runs and runs[-1][1] == at:
                     runs[-1][1] = at + len(c)
                 else:
                     runs.append([at, at + len(c)])
-            seen.add(c)
+            seen.setdefault(c, (d, at, at + len(c) == len(raw)))
             at += len(c)
-        out[d] = [(a, b) for a, b in runs if b - a >= chunk_dedup.MIN_BYTES]
+        places = np.cumsum([0, *map(len, cut(raw))]).tolist()
+        whole = raw and all(x and x[0] == sources[0][0] and x[1] == a and x[2] == (b == len(raw)) for x, a, b in zip(sources, places, places[1:], strict=False))
+        out[d] = [(a, b) for a, b in runs if b - a >= chunk_dedup.MIN_BYTES or whole]
     return out
 
 
@@ -60,6 +64,7 @@ def test_brute_force(spark):
     shared = [text(draw.randrange(150, 900)) for _ in range(5)]
     rows = [(i, text(draw.randrange(0, 800)) + draw.choice([*shared, ""]) + text(draw.randrange(0, 300)) + draw.choice([*shared, ""])) for i in range(60)]
     rows += [(90, None), (91, ""), (92, "z" * 3000), (93, "z" * 3000)]
+    rows += [(100 + i, draw.choice(["short text", "another short text", "a text of some sixty bytes, which has more than one chunk, likely"])) for i in range(12)]
     got = {r["doc_id"]: r for r in dedup_substrings(spark.createDataFrame(rows, SCHEMA).repartition(5)).collect()}
     want = brute(rows)
     assert len(got) == len(rows)
@@ -83,6 +88,22 @@ def test_an_insertion_moves_only_its_rims(spark, shift):
     assert got[2]["copied_from"] == [1]
 
 
+def test_passages_of_just_over_fifty_short_words(spark):
+    """Most are found; the rims beyond the first and last common cut stay."""
+    draw = random.Random(4)
+    word = lambda: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(draw.randrange(2, 9)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    rows, size = [], []
+    for i in range(150):
+        passage = prose(51)
+        size.append(len(passage))
+        rows += [(2 * i, f"{prose(20)} {passage} {prose(20)}"), (2 * i + 1, f"{prose(31)} {passage} {prose(9)}")]
+    got = {r["doc_id"]: r["removed_bytes"] for r in dedup_substrings(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert not any(got[2 * i] for i in range(150))
+    assert sum(got[2 * i + 1] > 0 for i in range(150)) >= 0.95 * 150
+    assert all(got[2 * i + 1] <= size[i] + 2 for i in range(150))
+
+
 def test_whole_characters(spark):
     draw = random.Random(8)
     body = "".join(draw.choice("日本語を書く\U0001f600é") for _ in range(400))
