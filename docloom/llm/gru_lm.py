@@ -5,9 +5,11 @@
 2. The ``KNOWN`` most frequent tokens are the network's own; classes of about equal mass cut them in order of
    frequency, and one more class holds all other tokens, which follow their unigram within it. So
    P(token) = P(class | state) * P(token | class, state), a distribution over all tokens and one unknown.
-3. The network starts as the unigram and is trained by truncated backpropagation: in each round every
-   task trains on its part of that round's training documents, and the weights are averaged by tokens. Each
-   training document is learnt from once; a larger ``share`` takes one document in so many.
+3. The network starts as the unigram and is trained by truncated backpropagation: in each round the round's
+   training documents are dealt by key to parts of about PART_TOKENS tokens, each trains a copy of the
+   network on streams of documents with the state carried from window to window, and the weights are averaged by
+   tokens. Each training document is learnt from once; a larger ``share`` takes one document in so many. The
+   result depends on the rows, not on their layout.
 4. Every document is scored whole: documents run in lanes, a window of steps at a time, the
    state carried across windows and reset at a document's start.
 
@@ -35,9 +37,10 @@ from docloom.llm.common import row_keyed, slices, staged, utf8
 HEAD, KNOWN, CLASSES, HIDDEN = 1 << 17, 2048, 48, 16
 #: One document in SHARE is trained on, dealt over ROUNDS rounds.
 SHARE, ROUNDS = 1, 2
-LANES, WINDOW, RATE = 64, 16, 0.01
-#: Windows of training text after which the state starts anew, so that a long text doesn't leave lanes empty.
-PIECE = 24
+#: Lanes of a training step at most, fewer where a part has not STEPS steps of these; steps of a window; Adam's rate at first.
+LANES, WINDOW, RATE, STEPS = 128, 32, 0.03, 200
+#: Training tokens of one task's copy of the network in a round, about.
+PART_TOKENS = 1 << 21
 #: Steps of a scoring window, and bytes of text scored at once.
 SCORE_WINDOW, SCORE_BYTES = 64, 8 << 20
 FLUSH = 400_000
@@ -146,55 +149,61 @@ class Network:
         return out, h, kept
 
     def output(self, S: np.ndarray, Y: np.ndarray, gradient: bool = False):
-        """Natural log probabilities of the targets Y (class and place within; tokens of the last class: of the class alone) given states S; optionally gradients of their sum, in terms of -sum."""
+        """Natural log probabilities of the targets Y (class and place within; tokens of the last class: of the class alone) given states S; optionally gradients of their sum, in terms of -sum. Rows are worked on in order of their class, each class as one slice."""
         words, p = self.words, self.p
         cls = words.of[Y]
-        logits = S @ p["Wc"] + p["bc"]
-        logits -= logits.max(axis=1, keepdims=True)
-        e = np.exp(logits)
-        total = e.sum(axis=1)
+        order = np.argsort(cls, kind="stable")
+        cls, own, s = cls[order], Y[order], np.ascontiguousarray(S[order].T)  # a column a row: sums over words run along the rows
         rows = np.arange(len(Y))
-        logp = logits[rows, cls] - np.log(total)
         grads: dict[str, np.ndarray] = {}
-        dS = None
+
+        def softmax(W: np.ndarray, b: np.ndarray, s: np.ndarray, its: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """log P of its, and P less one there."""
+            x = W @ s
+            x += b[:, None]
+            x -= x.max(axis=0)
+            r = rows[: len(its)]
+            hit = x[its, r]
+            np.exp(x, out=x)
+            total = x.sum(axis=0)
+            if gradient:
+                x /= total
+                x[its, r] -= 1
+            return hit - np.log(total), x
+
+        Wc = np.ascontiguousarray(p["Wc"].T)
+        logp, x = softmax(Wc, p["bc"], s, cls)
         if gradient:
-            d = e / total[:, None]
-            d[rows, cls] -= 1
-            grads["Wc"], grads["bc"] = S.T @ d, d.sum(axis=0)
-            dS = d @ p["Wc"].T
+            grads["Wc"], grads["bc"] = s @ x.T, x.sum(axis=1)
+            dS = p["Wc"] @ x
             grads["Wo"], grads["bo"] = np.zeros_like(p["Wo"]), np.zeros_like(p["bo"])
-        order = np.argsort(cls, kind="stable")
-        bounds = np.searchsorted(cls[order], np.arange(words.classes + 1))
+        bounds = np.searchsorted(cls, np.arange(words.classes + 1)).tolist()
+        starts = words.starts.tolist()
         for c in range(words.classes):
-            a, b = words.starts[c], words.starts[c + 1]
-            if b - a < 2 or bounds[c] == bounds[c + 1]:
+            a, b, lo, hi = starts[c], starts[c + 1], bounds[c], bounds[c + 1]
+            if b - a < 2 or lo == hi:
                 continue
-            at = order[bounds[c] : bounds[c + 1]]
-            s = S[at]
-            x = s @ p["Wo"][a:b].T + p["bo"][a:b]
-            x -= x.max(axis=1, keepdims=True)
-            e = np.exp(x)
-            total = e.sum(axis=1)
-            own = Y[at] - a
-            r = np.arange(len(at))
-            logp[at] += x[r, own] - np.log(total)
+            W, its = p["Wo"][a:b], s[:, lo:hi]
+            log_word, x = softmax(W, p["bo"][a:b], its, own[lo:hi] - a)
+            logp[lo:hi] += log_word
             if gradient:
-                d = e / total[:, None]
-                d[r, own] -= 1
-                grads["Wo"][a:b] = d.T @ s
-                grads["bo"][a:b] = d.sum(axis=0)
-                dS[at] += d @ p["Wo"][a:b]
-        return (logp, dS, grads) if gradient else logp
-
-    def gradients(self, h: np.ndarray, X: np.ndarray, Y: np.ndarray, reset: np.ndarray, live: np.ndarray):
+                grads["Wo"][a:b] = x @ its.T
+                grads["bo"][a:b] = x.sum(axis=1)
+                dS[:, lo:hi] += W.T @ x
+        back = np.empty_like(logp)
+        back[order] = logp
+        if not gradient:
+            return back
+        unsorted = np.empty((len(Y), self.hidden), np.float32)
+        unsorted[order] = dS.T
+        return back, unsorted, grads
+
+    def gradients(self, h: np.ndarray, X: np.ndarray, Y: np.ndarray, reset: np.ndarray):
         """Gradients of the mean loss of one window, backpropagated to its first step; the state after it."""
         H, (steps, lanes) = self.hidden, X.shape
         S, last, kept = self.forward(h, X, reset, keep=True)
-        flat = live.ravel()
-        logp, dS, grads = self.output(S.reshape(-1, H)[flat], Y.ravel()[flat], gradient=True)
-        full = np.zeros((steps * lanes, H), np.float32)
-        full[flat] = dS
-        full = full.reshape(steps, lanes, H)
+        logp, dS, grads = self.output(S.reshape(-1, H), Y.ravel(), gradient=True)
+        full = dS.reshape(steps, lanes, H)
         U = self.p["U"]
         dG = np.zeros((steps, lanes, 3 * H), np.float32)
         dU = np.zeros_like(U)
@@ -212,11 +221,15 @@ class Network:
             dh = dh * z + dg @ U.T
             dh[reset[t]] = 0
         grads["U"], grads["B"] = dU, dG.sum(axis=(0, 1))
-        dE = np.zeros_like(self.p["E"])
-        np.add.at(dE, X.ravel(), dG.reshape(-1, 3 * H))
-        grads["E"] = dE
-        scale = 1.0 / max(1, flat.sum())
-        return {k: g * scale for k, g in grads.items()}, last, float(-logp.sum())
+        x = X.ravel()
+        order = np.argsort(x, kind="stable")
+        first = np.flatnonzero(np.diff(x[order], prepend=-1))
+        grads["E"] = dE = np.zeros_like(self.p["E"])
+        dE[x[order[first]]] = np.add.reduceat(dG.reshape(-1, 3 * H)[order], first, axis=0)
+        scale = np.float32(1.0 / Y.size)
+        for g in grads.values():
+            g *= scale
+        return grads, last, float(-logp.sum())
 
 
 def in_lanes(docs: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -252,74 +265,126 @@ def inputs(Y: np.ndarray, doc: np.ndarray, start: np.ndarray, before: np.ndarray
 
 
 class Trainer:
-    """Adam's steps on windows of documents given in any number."""
+    """Adam's steps on windows of documents given in any number.
+
+    Each lane is a stream of documents, one behind the other; the state goes with it from window to window, however
+    long a document is, and starts anew at each document. Backpropagation ends at the window's first step.
+    """
 
-    def __init__(self, net: Network, rate: float = RATE):
-        self.net, self.rate, self.t, self.tokens = net, rate, 0, 0
+    def __init__(self, net: Network, expected: float, lanes: int = LANES, rate: float = RATE):
+        self.net, self.rate, self.expected, self.t, self.tokens = net, rate, max(1.0, expected), 0, 0
         self.m = {n: np.zeros_like(a) for n, a in net.p.items()}
         self.v = {n: np.zeros_like(a) for n, a in net.p.items()}
-
-    def train(self, docs: list[np.ndarray]) -> float:
-        pieces = [(d[a : a + PIECE * WINDOW], d[a - 1] if a else 0) for d in docs for a in range(0, len(d), PIECE * WINDOW)]
-        Y, doc, start, _, long = in_lanes([p for p, _ in pieces], LANES)
-        X = inputs(Y, doc, start, np.array([b for _, b in pieces], np.int32))
-        h, loss = np.zeros((Y.shape[1], self.net.hidden), np.float32), 0.0
-        for a in range(0, len(Y), WINDOW):
+        self.lanes = lanes
+        self.waiting: list[list[np.ndarray]] = [[] for _ in range(lanes)]
+        self.long = np.zeros(lanes, np.int64)
+        self.h, self.last = np.zeros((lanes, net.hidden), np.float32), np.zeros(lanes, np.int32)
+
+    def add(self, doc: np.ndarray) -> None:
+        """Put a document (tokens, the end last) on the lane with the least to do, and train once all lanes have a few windows."""
+        lane = int(self.long.argmin())
+        self.waiting[lane].append(doc)
+        self.long[lane] += len(doc)
+        if lane == 0 and (least := int(self.long.min())) >= 8 * WINDOW:
+            self._train(np.arange(self.lanes), least // WINDOW * WINDOW)
+
+    def finish(self) -> Network:
+        """Train on what waits: full lanes first, then those that still have something; long remainders of a few lanes are dealt to all, each piece from a state of nought."""
+        while (left := np.flatnonzero(self.long)).size:
+            if 4 * left.size < self.lanes and self.long[left].max() > 16 * WINDOW:
+                left = self._spread(left)
+            least = int(self.long[left].min())
+            self._train(left, least if least < WINDOW else least // WINDOW * WINDOW)
+        return self.net
+
+    def _spread(self, left: np.ndarray) -> np.ndarray:
+        size = max(8 * WINDOW, -(-int(self.long.sum()) // (self.lanes - left.size)))
+        rest = [(np.concatenate(self.waiting[i]), self.last[i]) for i in left.tolist()]
+        pieces = [(r[a : a + size], r[a - 1] if a else before) for r, before in rest for a in range(0, len(r), size)]
+        n = len(pieces)
+        self.waiting = [[p] for p, _ in pieces] + [[] for _ in range(self.lanes - n)]
+        self.long[:n], self.long[n:], self.h[:] = [len(p) for p, _ in pieces], 0, 0
+        self.last[:n] = [before for _, before in pieces]
+        return np.arange(n)
+
+    def _train(self, lanes: np.ndarray, steps: int) -> None:
+        Y = np.empty((steps, len(lanes)), np.int32)
+        for i, lane in enumerate(lanes.tolist()):
+            tokens = np.concatenate(self.waiting[lane])
+            Y[:, i] = tokens[:steps]
+            self.waiting[lane] = [tokens[steps:]]
+        self.long[lanes] -= steps
+        X = np.concatenate([self.last[lanes][None], Y[:-1]])
+        start = X == 0  # behind an end token, or first of all
+        self.last[lanes] = Y[-1]
+        h = self.h[lanes]
+        for a in range(0, steps, WINDOW):
             w = slice(a, a + WINDOW)
-            grads, h, its = self.net.gradients(h, X[w], Y[w], start[w], doc[w] >= 0)
-            loss += its
-            self.t += 1
-            norm = math.sqrt(sum(float((g * g).sum()) for g in grads.values()))
-            clip = min(1.0, 1.0 / (norm + 1e-9))
-            fix = self.rate * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t)
-            for n, g in grads.items():
-                g = g * np.float32(clip)
-                self.m[n] += np.float32(0.1) * (g - self.m[n])
-                self.v[n] += np.float32(0.001) * (g * g - self.v[n])
-                self.net.p[n] -= np.float32(fix) * self.m[n] / (np.sqrt(self.v[n]) + np.float32(1e-8))
-        self.tokens += int(long.sum())
-        return loss
-
-
-def averaged(docs: DataFrame, net: Network, parts: int = 16) -> np.ndarray | None:
-    """Each task trains a copy of the network on its documents (text); the copies' weights averaged by tokens."""
+            grads, h, _ = self.net.gradients(h, X[w], Y[w], start[w])
+            self._step(grads, Y[w].size / (WINDOW * self.lanes))
+            self.tokens += Y[w].size
+        self.h[lanes] = h
+
+    def _step(self, grads: dict[str, np.ndarray], share: float) -> None:
+        """A step whose size falls with the tokens seen, and with the share of the lanes that take part."""
+        self.t += 1
+        rate = self.rate * share * max(0.05, 1 - self.tokens / self.expected)
+        norm = math.sqrt(sum(float(np.vdot(g, g)) for g in grads.values()))
+        clip = np.float32(min(1.0, 1.0 / (norm + 1e-9)))
+        fix = np.float32(rate * math.sqrt(1 - 0.999**self.t) / (1 - 0.9**self.t))
+        for n, g in grads.items():
+            g *= clip
+            m, v = self.m[n], self.v[n]
+            m += np.float32(0.1) * (g - m)
+            g *= g
+            v += np.float32(0.001) * (g - v)
+            np.sqrt(v, out=g)
+            g += np.float32(1e-8)
+            np.divide(m, g, out=g)
+            g *= fix
+            self.net.p[n] -= g
+
+
+def averaged(docs: DataFrame, net: Network, parts: int, expected: float, cells: int = 16) -> np.ndarray | None:
+    """Documents (row_key, text) are dealt by key to ``parts``, each of ``expected`` tokens about, which train copies of the network in order of their keys; the copies' weights averaged by tokens. The layout of the input plays no part."""
+    lanes = int(min(LANES, max(8, expected // (WINDOW * STEPS))))
     shared = docs.sparkSession.sparkContext.broadcast((net.words, net.flat(), net.hidden))
-    cuts = np.linspace(0, len(net.flat()), parts + 1).astype(int)
+    cuts = np.linspace(0, len(net.flat()), cells + 1).astype(int)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, flat, hidden = shared.value
-        trainer = Trainer(Network(words, hidden).load(flat))
-        held: list[np.ndarray] = []
-        size = 0
+        trainer: Trainer | None = None
+        now = None
         for batch in batches:
-            for t in utf8(batch.column("text")):
-                ids = np.minimum(words.ids(t)[0], words.known)
-                held.append(ids)
-                size += len(ids)
-                if size >= LANES * WINDOW * 24:
-                    trainer.train(held)
-                    held, size = [], 0
-        if held:
-            trainer.train(held)
-        if trainer.tokens:
-            got = trainer.net.flat()
-            for i in range(parts):
-                yield pa.RecordBatch.from_pydict({"part": pa.array([i], pa.int32()), "tokens": pa.array([trainer.tokens], pa.int64()), "weights": pa.array([got[cuts[i] : cuts[i + 1]].astype("<f4").tobytes()], pa.binary())})
+            for part, t in zip(batch.column("part").to_pylist(), utf8(batch.column("text")), strict=True):
+                if part != now:  # the rows of a part follow each other, and a task may have several
+                    if trainer is not None:
+                        yield weights(now, trainer)
+                    now, trainer = part, Trainer(Network(words, hidden).load(flat), expected, lanes)
+                trainer.add(np.minimum(words.ids(t)[0], words.known))
+        if trainer is not None:
+            yield weights(now, trainer)
+
+    def weights(part: int, trainer: Trainer) -> pa.RecordBatch:
+        got = trainer.finish().flat()
+        pieces = [got[cuts[i] : cuts[i + 1]].astype("<f4").tobytes() for i in range(cells)]
+        return pa.RecordBatch.from_pydict({"part": pa.array([part] * cells, pa.int64()), "cell": pa.array(range(cells), pa.int32()), "tokens": pa.array([trainer.tokens] * cells, pa.int64()), "weights": pa.array(pieces, pa.binary())})
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, tuple[int, np.ndarray]] = {}
         for batch in batches:
-            for part, tokens, weights in zip(batch.column("part").to_pylist(), batch.column("tokens").to_pylist(), batch.column("weights"), strict=True):
-                n, total = held.get(part, (0, 0.0))
-                held[part] = n + tokens, total + tokens * np.frombuffer(weights.as_buffer(), "<f4").astype(float)
-        for part, (n, total) in held.items():
-            yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int32()), "weights": pa.array([(total / n).astype("<f4").tobytes()], pa.binary())})
-
-    copies = docs.select("text").mapInArrow(run, "part int, tokens long, weights binary")
-    rows = copies.repartition(parts, "part").mapInArrow(summed, "part int, weights binary").collect()  # the weights of one network
-    if len(rows) < parts:
+            for cell, tokens, w in zip(batch.column("cell").to_pylist(), batch.column("tokens").to_pylist(), batch.column("weights"), strict=True):
+                n, total = held.get(cell, (0, 0.0))
+                held[cell] = n + tokens, total + tokens * np.frombuffer(w.as_buffer(), "<f4").astype(float)
+        for cell, (n, total) in held.items():
+            yield pa.RecordBatch.from_pydict({"cell": pa.array([cell], pa.int32()), "weights": pa.array([(total / n).astype("<f4").tobytes()], pa.binary())})
+
+    dealt = docs.select(F.pmod(F.xxhash64("row_key", F.lit(43)), F.lit(parts)).alias("part"), "row_key", "text").repartition(parts, "part").sortWithinPartitions("part", "row_key")
+    copies = dealt.select("part", "text").mapInArrow(run, "part long, cell int, tokens long, weights binary")
+    rows = copies.repartition(cells, "cell").sortWithinPartitions("cell", "part").select("cell", "tokens", "weights").mapInArrow(summed, "cell int, weights binary").collect()  # the weights of one network
+    if len(rows) < cells:
         return None
-    return np.concatenate([np.frombuffer(r["weights"], "<f4") for r in sorted(rows, key=lambda r: r["part"])])
+    return np.concatenate([np.frombuffer(r["weights"], "<f4") for r in sorted(rows, key=lambda r: r["cell"])])
 
 
 def score_documents(net: Network, ids: list[np.ndarray]) -> np.ndarray:
@@ -380,7 +445,11 @@ def head_words(counts: DataFrame, head: int) -> list:
             break
         least = row["level"]
     if least is None:
-        return []
+        if not levels:
+            return []
+        # more words share the highest level than the head holds: a share of them by hash, a little below what fits
+        room = F.lit(int(0.95 * head / levels[0]["n"] * (1 << 32)))
+        return sorted(counts.where((level == levels[0]["level"]) & (F.pmod(F.xxhash64("word"), F.lit(1 << 32)) < room)).collect(), key=lambda r: (-r["c"], r["word"]))
     return sorted(counts.where(level >= least).collect(), key=lambda r: (-r["c"], r["word"]))  # head rows at most
 
 
@@ -395,7 +464,9 @@ def language_model(docs: DataFrame, head: int = HEAD, known: int = KNOWN, classe
     if words.known:
         for turn in range(rounds):
             part = docs.where(F.pmod(F.xxhash64("row_key", F.lit(41)), F.lit(share * rounds)) == turn)
-            if (weights := averaged(part, net)) is not None:
+            tokens = total / (share * rounds)
+            parts = max(1, round(tokens / PART_TOKENS))
+            if (weights := averaged(part, net, parts, tokens / parts)) is not None:
                 net.load(weights)
     return counts, net
 
