@@ -11,7 +11,7 @@ from docloom.llm import gru_lm
 from docloom.llm.gru_lm import Network, Trainer, Words, score
 from docloom.llm.q_lm import op7_lm
 
-MARGIN = 0.1
+MARGIN = 0.2
 
 
 def tokens(text):
@@ -28,14 +28,14 @@ def check_base(rows, got):
 
 
 def test_base_and_model_at_registered_settings(spark):
-    """Held-out text: the model gains at least MARGIN (log10 a token) on the base over all tokens, and four in five documents gain."""
+    """Held-out text: the model gains at least MARGIN (log10 a token) on the base over all tokens, and 19 of 20 documents gain."""
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
     got = op7_lm(spark, "/root/testdata/sf0.01").collect()
     check_base([tuple(r) for r in docs.collect()], got)
     held = [r for r in got if r["held_out"]]
     gain = sum(r["score"] - r["base_score"] for r in held) / sum(r["n_tokens"] for r in held)
     assert gain >= MARGIN
-    assert sum(r["score"] > r["base_score"] for r in held) >= 0.8 * len(held)
+    assert sum(r["score"] > r["base_score"] for r in held) >= 0.95 * len(held)
 
 
 def test_layout_plays_no_part(spark, sf):
