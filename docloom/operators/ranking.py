@@ -117,3 +117,18 @@ def truncated_context(rows: DataFrame, text: str, budget: int) -> DataFrame:
     return rows.withColumn("left", left).where("left > 0").withColumn(text, F.expr(f"substring({text}, 1, cast(left as int))")).drop("left")
 
 
+
+
+def following(rows: DataFrame, group: str, order: str, width: int = 4096) -> DataFrame:
+    """(group, order, next): the next value of a whole-number column within a group, null for the last.
+
+    Looked for within ranges of ``width`` values, and for the last of a range in a table of one row a range: no task
+    sorts a whole group.
+    """
+    part = F.floor(F.col(order) / width)
+    own = rows.select(group, order, part.alias("_part"))
+    own = own.withColumn("_next", F.lead(order).over(W.partitionBy(group, "_part").orderBy(order)))
+    firsts = own.groupBy(group, "_part").agg(F.min(order).alias("_first"))
+    after = firsts.select(F.col(group).alias("_group"), F.col("_part").alias("_of"), F.lead("_first").over(W.partitionBy(group).orderBy("_part")).alias("_after"))
+    joined = own.join(after, own[group].eqNullSafe(after["_group"]) & (own["_part"] == after["_of"]))
+    return joined.select(group, order, F.coalesce("_next", "_after").alias("next"))

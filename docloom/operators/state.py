@@ -15,16 +15,18 @@ def latest(log: DataFrame, keys: list[str], *order: str) -> DataFrame:
     return log.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def upserted(table: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """table with the rows of changes in place of those with the same keys."""
-    match = [table[k].eqNullSafe(changes[k]) for k in keys]
-    return table.join(changes, match, "left_anti").unionByName(changes)
-
-
-def inserted(table: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """table and those of rows whose keys it lacks; of rows with the same keys the first by all columns."""
-    first = latest(rows, keys, *[c for c in rows.columns if c not in keys])
-    return table.unionByName(first.join(table, [first[k].eqNullSafe(table[k]) for k in keys], "left_anti"))
+def upserted(table: DataFrame, changes: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """table with the rows of changes in place of those with the same keys; of several changes of a key the last by ``order`` counts (without it, by all columns). Null keys are equal."""
+    last = latest(changes, keys, *(order or [c for c in changes.columns if c not in keys]))
+    match = [table[k].eqNullSafe(last[k]) for k in keys]
+    return table.join(last, match, "left_anti").unionByName(last.select(table.columns))
+
+
+def inserted(table: DataFrame, rows: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """table and those of rows whose keys it lacks; of rows with the same keys the first by ``order`` (without it, by all columns), nulls first."""
+    first = W.partitionBy(*keys).orderBy(*(F.col(c).asc_nulls_first() for c in (order or [c for c in rows.columns if c not in keys])))
+    new = rows.withColumn("_n", F.row_number().over(first)).where("_n = 1").select(table.columns)
+    return table.unionByName(new.join(table, [new[k].eqNullSafe(table[k]) for k in keys], "left_anti"))
 
 
 def next_number(log: DataFrame, keys: list[str], number: str) -> DataFrame:

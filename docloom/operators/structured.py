@@ -271,8 +271,12 @@ def explicit_scope(questions: DataFrame, names: DataFrame, least: int = 4) -> Da
     asked = questions.select("query", dense_form(F.col("text")).alias("text"))
     known = names.select("key", dense_form(F.col("name")).alias("form")).where(F.length("form") >= least).distinct()
     forms = known.groupBy("form").agg(F.count_distinct("key").alias("keys"), F.min("key").alias("key"))
-    # the catalogue of names is met by the query set: both far smaller than the corpus
-    found = asked.join(forms, asked["text"].contains(forms["form"])).select("query", "form", "keys", "key", "text")
+    # a form can only be in a question that holds its first characters: an equi-join on these, then the whole form is looked for
+    grams = lambda n: F.regexp_extract_all("text", F.lit(f"(?s)(?=(.{{{n}}}))"), F.lit(1))
+    starts = F.array_distinct(F.concat(grams(least), grams(2 * least)))
+    start = F.when(F.length("form") >= 2 * least, F.substring("form", 1, 2 * least)).otherwise(F.substring("form", 1, least))
+    begun = asked.select("query", F.explode(starts).alias("start")).join(forms.withColumn("start", start), "start").select("query", "form", "keys", "key")
+    found = begun.join(asked, "query").where(F.contains("text", "form")).select("query", "form", "keys", "key", "text")
     longer = found.select(F.col("query").alias("q"), F.col("form").alias("whole"))
     inside = (F.col("query") == F.col("q")) & (F.length("whole") > F.length("form")) & F.col("whole").contains(F.col("form"))
     # a shorter form counts if it also stands outside all longer ones

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from docloom.functions import measures, text
-from docloom.operators import lanes, lexical, metrics
+from docloom.operators import lanes, lexical, metrics, ranking
 from docloom.plans.catalogue import query, read
 
 
@@ -98,9 +98,9 @@ def check_group_counts(spark: SparkSession, sf: str) -> DataFrame:
     return rows.groupBy("check_group").agg(F.count(F.lit(1)).alias("checks"), F.count_if(F.col("level") == "pass").alias("passed"), F.count_if(F.col("level") != "pass").alias("others"))
 
 
-@query("run_status", f"SELECT l_suppkey, CASE WHEN bool_or(lv = 'review') THEN 'review' WHEN bool_or(lv = 'blocked') THEN 'blocked' ELSE 'approved' END AS status FROM (SELECT *, {_LEVEL} AS lv FROM lineitem WHERE l_quantity > 44) GROUP BY 1")
+@query("run_status", f"SELECT l_suppkey, CASE WHEN bool_or(lv = 'review') THEN 'review' WHEN bool_or(lv = 'blocked') THEN 'blocked' ELSE 'approved' END AS status FROM (SELECT *, {_LEVEL} AS lv FROM lineitem) GROUP BY 1")
 def run_status(spark: SparkSession, sf: str) -> DataFrame:
-    return lanes.run_status(read(spark, sf, "lineitem").where("l_quantity > 44").withColumn("status", F.expr(_LEVEL)), ["l_suppkey"])
+    return lanes.run_status(read(spark, sf, "lineitem").withColumn("status", F.expr(_LEVEL)), ["l_suppkey"])
 
 
 _NUM = r"'[0-9][0-9,]*(?:\.[0-9]+)?'"
@@ -113,9 +113,10 @@ def numeric_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 def _counts(spark: SparkSession, sf: str, tokens) -> DataFrame:
     """Counts of the tokens of a document and of the next one with its source."""
-    docs = read(spark, sf, "documents").select("doc_id", "source", "text")
-    w = W.partitionBy("source").orderBy("doc_id")
-    pairs = docs.withColumn("other", F.lead("text").over(w)).where("other IS NOT NULL")
+    docs = read(spark, sf, "documents")
+    next_ids = ranking.following(docs, "source", "doc_id").where("next IS NOT NULL").select("doc_id", "next")
+    others = docs.select(F.col("doc_id").alias("next"), F.col("text").alias("other")).where("other IS NOT NULL")
+    pairs = docs.select("doc_id", "text").join(next_ids, "doc_id").join(others, "next")
     rows = pairs.select("doc_id", F.explode(F.concat(F.transform(tokens(F.col("text")), lambda t: F.struct(t.alias("token"), F.lit(1).alias("r"), F.lit(0).alias("c"))), F.transform(tokens(F.col("other")), lambda t: F.struct(t.alias("token"), F.lit(0).alias("r"), F.lit(1).alias("c"))))).alias("x"))
     return rows.groupBy("doc_id", "x.token").agg(F.sum("x.r").alias("n_reference"), F.sum("x.c").alias("n_candidate"))
 
@@ -141,30 +142,30 @@ def numeric_multiset_f1(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, sf: str) -> DataFrame:
-    """First lines of a document and of the next one with its source, in ASCII."""
-    w = W.partitionBy("source").orderBy("doc_id")
-    plain = F.regexp_replace(F.substring(F.col("text"), 1, 200), "[^ -~]", "")
-    return read(spark, sf, "documents").select("doc_id", "source", plain.alias("reference")).withColumn("given", F.lead("reference").over(w)).where("given IS NOT NULL")
+    """Whole texts of a turn and of the next turn of its conversation, in ASCII."""
+    w = W.partitionBy("conv_id").orderBy("turn")
+    plain = F.regexp_replace("text", "[^ -~]", "")
+    return read(spark, sf, "conversations").select("conv_id", "turn", "role", plain.alias("reference")).withColumn("given", F.lead("reference").over(w)).where("given IS NOT NULL")
 
 
-_LABELS = "p AS (SELECT doc_id, source, regexp_replace(substr(text, 1, 200), '[^ -~]', '', 'g') AS reference FROM documents), v AS (SELECT * FROM (SELECT *, lead(reference) OVER (PARTITION BY source ORDER BY doc_id) AS given FROM p) WHERE given IS NOT NULL)"
+_LABELS = "p AS (SELECT conv_id, turn, role, regexp_replace(text, '[^ -~]', '', 'g') AS reference FROM conversations), v AS (SELECT * FROM (SELECT *, lead(reference) OVER (PARTITION BY conv_id ORDER BY turn) AS given FROM p) WHERE given IS NOT NULL)"
 
 
-@query("levenshtein_cer", f"WITH {_LABELS}, c AS (SELECT doc_id, replace(reference, ' ', '') AS a, replace(given, ' ', '') AS b FROM v) SELECT doc_id, round(levenshtein(a, b) / nullif(length(a), 0), 6) AS cer, round(levenshtein(a, b) / nullif(greatest(length(a), length(b)), 0), 6) AS distance FROM c")
+@query("levenshtein_cer", f"WITH {_LABELS}, c AS (SELECT conv_id, turn, replace(reference, ' ', '') AS a, replace(given, ' ', '') AS b FROM v) SELECT conv_id, turn, round(levenshtein(a, b) / nullif(length(a), 0), 6) AS cer, round(levenshtein(a, b) / nullif(greatest(length(a), length(b)), 0), 6) AS distance FROM c")
 def levenshtein_cer(spark: SparkSession, sf: str) -> DataFrame:
     a, b = F.col("reference"), F.col("given")
-    return _labels(spark, sf).select("doc_id", F.round(measures.character_errors(a, b), 6).alias("cer"), F.round(measures.normalized_distance(a, b), 6).alias("distance"))
+    return _labels(spark, sf).select("conv_id", "turn", F.round(measures.character_errors(a, b), 6).alias("cer"), F.round(measures.normalized_distance(a, b), 6).alias("distance"))
 
 
 @query("wer")
 def wer(spark: SparkSession, sf: str) -> DataFrame:
-    return _labels(spark, sf).select("doc_id", F.round(measures.word_errors(F.col("reference"), F.col("given")), 6).alias("wer"))
+    return _labels(spark, sf).select("conv_id", "turn", F.round(measures.word_errors(F.col("reference"), F.col("given")), 6).alias("wer"))
 
 
-@query("micro_error_rates", f"WITH {_LABELS}, c AS (SELECT source, replace(reference, ' ', '') AS a, replace(given, ' ', '') AS b FROM v) SELECT source, round(sum(levenshtein(a, b)) / sum(length(a)), 6) AS cer, round(greatest(0, 1 - sum(levenshtein(a, b)) / sum(greatest(length(a), length(b)))), 6) AS similarity FROM c GROUP BY source")
+@query("micro_error_rates", f"WITH {_LABELS}, c AS (SELECT role, replace(reference, ' ', '') AS a, replace(given, ' ', '') AS b FROM v) SELECT role, round(sum(levenshtein(a, b)) / sum(length(a)), 6) AS cer, round(greatest(0, 1 - sum(levenshtein(a, b)) / sum(greatest(length(a), length(b)))), 6) AS similarity FROM c GROUP BY role")
 def micro_error_rates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _labels(spark, sf).select("source", F.replace("reference", F.lit(" "), F.lit("")).alias("a"), F.replace("given", F.lit(" "), F.lit("")).alias("b")).withColumn("d", F.levenshtein("a", "b"))
-    return rows.groupBy("source").agg(F.round(F.sum("d") / F.sum(F.length("a")), 6).alias("cer"), F.round(F.greatest(F.lit(0.0), 1 - F.sum("d") / F.sum(F.greatest(F.length("a"), F.length("b")))), 6).alias("similarity"))
+    rows = _labels(spark, sf).select("role", F.replace("reference", F.lit(" "), F.lit("")).alias("a"), F.replace("given", F.lit(" "), F.lit("")).alias("b")).withColumn("d", F.levenshtein("a", "b"))
+    return rows.groupBy("role").agg(F.round(F.sum("d") / F.sum(F.length("a")), 6).alias("cer"), F.round(F.greatest(F.lit(0.0), 1 - F.sum("d") / F.sum(F.greatest(F.length("a"), F.length("b")))), 6).alias("similarity"))
 
 
 @query(

@@ -75,18 +75,19 @@ def unresolved_ranges(spark: SparkSession, sf: str) -> DataFrame:
     return state.open_ranges(ranges, rows.where("l_returnflag <> 'R'"), ["doc"])
 
 
-@query("upsert_latest", "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT o_custkey, max(o_totalprice) FROM orders GROUP BY 1")
+@query("upsert_latest", "SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) UNION ALL SELECT o_custkey, arg_max(o_totalprice, o_orderkey) FROM orders GROUP BY 1")
 def upsert_latest(spark: SparkSession, sf: str) -> DataFrame:
+    """Every order is a change of its customer; the last by key counts."""
     table = read(spark, sf, "customer").select("c_custkey", "c_acctbal")
-    changes = read(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("c_acctbal"))
-    return state.upserted(table, changes, ["c_custkey"])
+    changes = read(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").alias("c_acctbal"), "o_orderkey")
+    return state.upserted(table, changes, ["c_custkey"], "o_orderkey")
 
 
 @query("insert_ignore", "SELECT c_custkey AS k, c_nationkey AS v FROM customer UNION ALL SELECT o_custkey + 100000, NULL FROM orders WHERE o_orderstatus = 'P' GROUP BY 1")
 def insert_ignore(spark: SparkSession, sf: str) -> DataFrame:
     table = read(spark, sf, "customer").select(F.col("c_custkey").alias("k"), F.col("c_nationkey").alias("v"))
     more = read(spark, sf, "orders").where("o_orderstatus = 'P'").select((F.col("o_custkey") + 100_000).alias("k"), F.lit(None).cast("int").alias("v"))
-    return state.inserted(table, more.unionByName(table.limit(1000)), ["k"])
+    return state.inserted(table, more.unionByName(table.withColumn("v", F.lit(-1))), ["k"])
 
 
 @query("preserve_embeddings", "SELECT d.doc_id, e.label, e.vec_id IS NOT NULL AS kept FROM documents d LEFT JOIN embeddings e ON e.vec_id = d.doc_id AND d.doc_id % 2 = 0")

@@ -8,6 +8,8 @@ from pyspark.sql.window import Window as W
 
 from docloom.operators import fusion, lexical, ranking, vectors
 from docloom.plans.catalogue import query, read
+from docloom.session import shared_folder
+from docloom.sources import writers
 
 DEPTH = 50
 
@@ -17,7 +19,8 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf: str) -> lexical.Index:
-    return lexical.build_index(_docs(spark, sf), "doc_id", lexical.ascii_tokens(F.col("text")), _terms(spark, sf))
+    """The stored index of the documents: the first query of a state of the table writes it, the rest read it."""
+    return writers.stored_postings(_docs(spark, sf), "doc_id", lexical.ascii_tokens(F.col("text")), shared_folder(spark))
 
 
 def _terms(spark: SparkSession, sf: str) -> DataFrame:
@@ -29,12 +32,10 @@ def _keyword(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _vector(spark: SparkSession, sf: str, measure: str = "l2") -> DataFrame:
-    """The vector of the same number stands for the embedding of a query text."""
-    items = read(spark, sf, "benchmark").select(F.col("item_id").alias("query"))
+    """The DEPTH nearest. The vector of the same number stands for the embedding of a query text."""
+    items = read(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id"))
     emb = read(spark, sf, "embeddings")
-    asked = items.join(emb, items["query"] == emb["vec_id"]).select("query", F.col("embedding").alias("q"))
-    table = emb.select(F.col("vec_id").alias("doc"), F.col("embedding").alias("v"))
-    return vectors.scores(asked, table, vectors.squared_l2(F.col("v"), F.col("q")) if measure == "l2" else vectors.cosine(F.col("v"), F.col("q")))
+    return vectors.nearest(emb.join(items, "vec_id", "left_semi"), emb, DEPTH, measure).drop("rank")
 
 
 _BM25_SQL = """
@@ -196,8 +197,9 @@ def truncated_context(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("bundle_select", f"WITH {_BM25_SQL}, s AS (SELECT query, source AS card, doc, row_number() OVER (PARTITION BY query, source ORDER BY rank, doc) AS n FROM kw JOIN documents ON doc_id = doc), f AS (SELECT query, card, doc FROM s WHERE n = 1), rel AS (SELECT a.source AS card, a.doc_id AS doc, b.doc_id AS other, row_number() OVER (PARTITION BY a.doc_id ORDER BY b.doc_id) AS place FROM documents a JOIN documents b ON a.source = b.source AND b.doc_id BETWEEN a.doc_id + 1 AND a.doc_id + 40), x AS (SELECT query, card, doc, 0 AS tier, 0 AS pos FROM f UNION ALL SELECT f.query, f.card, other, 1, place FROM f JOIN rel USING (card, doc) UNION ALL SELECT query, card, doc, 2, n FROM s WHERE n > 1), k AS (SELECT query, card, doc, min(tier * 1000000 + pos) AS key FROM x GROUP BY ALL), r AS (SELECT query, card, doc, row_number() OVER (PARTITION BY query, card ORDER BY key, doc)::INT AS place FROM k) SELECT * FROM r WHERE place <= 5")
 def bundle_select(spark: SparkSession, sf: str) -> DataFrame:
-    docs = _docs(spark, sf).select("doc_id", "source")
-    a, b = docs.alias("a"), docs.alias("b")
-    near = a.join(b, (F.col("a.source") == F.col("b.source")) & F.col("b.doc_id").between(F.col("a.doc_id") + 1, F.col("a.doc_id") + 40))
+    docs = _docs(spark, sf).select("doc_id", "source", F.floor(F.col("doc_id") / 40).alias("range"))
+    # a document and the 40 after it lie in its range and the next: ids are compared within these alone
+    a, b = docs.alias("a"), docs.withColumn("range", F.explode(F.array("range", F.col("range") - 1))).alias("b")
+    near = a.join(b, (F.col("a.source") == F.col("b.source")) & (F.col("a.range") == F.col("b.range")) & F.col("b.doc_id").between(F.col("a.doc_id") + 1, F.col("a.doc_id") + 40))
     related = near.select(F.col("a.source").alias("card"), F.col("a.doc_id").alias("doc"), F.col("b.doc_id").alias("other"), F.row_number().over(W.partitionBy("a.doc_id").orderBy("b.doc_id")).alias("place"))
     return ranking.bundles(_with_source(spark, sf).select("query", "card", "doc", "rank"), related)

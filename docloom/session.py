@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -32,3 +33,15 @@ def get_spark(app: str = "docloom", cores: int | None = None, **conf: str) -> Sp
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("WARN")
     return spark
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder named by spark.checkpoint.dir, which driver and executors share; a temporary one only on a local master without that setting."""
+    if named := spark.sparkContext.getConf().get("spark.checkpoint.dir"):
+        return named
+    if (own := spark.conf.get("docloom.shared.dir", None)) is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        own = "file://" + tempfile.mkdtemp(prefix="spark-docloom-")
+        spark.conf.set("docloom.shared.dir", own)
+    return own

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -30,11 +31,41 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(where)
 
 
+def _moved(spark: SparkSession, source: str, target: str, replace: bool = False) -> bool:
+    """Rename in one step. False if the target is there and isn't to be replaced."""
+    jvm = spark.sparkContext._jvm  # noqa: SLF001
+    fs = jvm.org.apache.hadoop.fs
+    rule = getattr(fs, "Options$Rename")
+    rules = spark.sparkContext._gateway.new_array(rule, 1)  # noqa: SLF001
+    rules[0] = rule.OVERWRITE if replace else rule.NONE
+    a, b = fs.Path(source), fs.Path(target)
+    context = fs.FileContext.getFileContext(_file_system(spark, target)[0].getUri(), spark.sparkContext._jsc.hadoopConfiguration())  # noqa: SLF001
+    try:
+        context.rename(a, b, rules)
+    except Exception:
+        if not replace and exists(spark, target):
+            return False
+        raise
+    return True
+
+
+def put_in_place(spark: SparkSession, target: str, write) -> bool:
+    """write(path) into a folder of its own, then rename it: a run that dies leaves nothing at the target, and of two at once one is kept. False if the target was there."""
+    if exists(spark, target):
+        return False
+    own = f"{target}.part-{uuid.uuid4().hex}"
+    write(own)
+    if _moved(spark, own, target):
+        return True
+    fs, where = _file_system(spark, own)
+    fs.delete(where, True)
+    return False
+
+
 def write_once(df: DataFrame, path: str, key: str, content: Column) -> bool:
     """Write a table that never changes. True if written, False if the same rows are there; other rows are an error."""
     spark = df.sparkSession
-    if not exists(spark, path):
-        df.write.mode("errorifexists").parquet(path)
+    if put_in_place(spark, path, lambda own: df.write.parquet(own)):
         return True
     old, new = (fingerprint(x, key, content).first()[0] for x in (spark.read.parquet(path), df))
     if old != new:
@@ -42,16 +73,25 @@ def write_once(df: DataFrame, path: str, key: str, content: Column) -> bool:
     return False
 
 
-def write_text(spark: SparkSession, path: str, text: str) -> None:
-    """One small file, put in place by a rename."""
+def _create(spark: SparkSession, path: str, text: str) -> bool:
+    """One small new file. False if it is there."""
     fs, where = _file_system(spark, path)
-    temporary = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}.part")  # noqa: SLF001
-    out = fs.create(temporary, True)
+    try:
+        out = fs.create(where, False)
+    except Exception:
+        if exists(spark, path):
+            return False
+        raise
     out.write(bytearray(text.encode()))
     out.close()
-    fs.delete(where, False)
-    if not fs.rename(temporary, where):
-        raise OSError(f"can't put {path} in place")
+    return True
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """One small file, put in the place of the old one in one step: readers see the old text or the new one, also if the run dies."""
+    own = f"{path}.part-{uuid.uuid4().hex}"
+    _create(spark, own, text)
+    _moved(spark, own, path, replace=True)
 
 
 def read_text(spark: SparkSession, path: str) -> str:
@@ -78,15 +118,16 @@ def activate(spark: SparkSession, root: str, release_id: str) -> None:
     told = json.loads(read_text(spark, f"{root}/releases/{release_id}/manifest.json"))
     if spark.read.parquet(f"{root}/releases/{release_id}/chunks").count() != told["chunks"]:
         raise ValueError(f"release {release_id} isn't whole")
-    history = active_history(spark, root)
-    n = history.count()
-    spark.createDataFrame([(n, release_id)], "ordinal long, release_id string").coalesce(1).write.mode("append").parquet(f"{root}/active_history")
+    n = active_history(spark, root).count()
+    while not _create(spark, f"{root}/active_history/{n:012d}.json", json.dumps({"ordinal": n, "release_id": release_id})):
+        n += 1  # another one has taken this number
     write_text(spark, f"{root}/active.json", json.dumps({"release_id": release_id}))
 
 
 def active_history(spark: SparkSession, root: str) -> DataFrame:
-    path = f"{root}/active_history"
-    return spark.read.parquet(path) if exists(spark, path) else spark.createDataFrame([], "ordinal long, release_id string")
+    """(ordinal, release_id): one file each, whose name is its number, so a number is given once."""
+    path, schema = f"{root}/active_history", "ordinal long, release_id string"
+    return spark.read.schema(schema).json(path) if exists(spark, path) else spark.createDataFrame([], schema)
 
 
 def active(spark: SparkSession, root: str) -> str:
@@ -111,6 +152,16 @@ def write_postings(docs: DataFrame, id_col: str, tokens: Column, root: str) -> l
     return read_postings(spark, root)
 
 
+def stored_postings(docs: DataFrame, id_col: str, tokens: Column, folder: str) -> lexical.Index:
+    """The index of a corpus read from files, written to the folder once for each state of these files and read back ever after."""
+    spark = docs.sparkSession
+    files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
+    state = fingerprint(files.withColumn("k", F.col("file_path")), "k", F.to_json(F.struct(*files.columns))).first()[0]
+    root = f"{folder}/docloom-postings-{state[:24]}"
+    put_in_place(spark, root, lambda own: write_postings(docs, id_col, tokens, own))
+    return read_postings(spark, root)
+
+
 def read_postings(spark: SparkSession, root: str) -> lexical.Index:
     return lexical.Index(*(spark.read.parquet(f"{root}/{t}") for t in ("postings", "terms", "corpus")))
 
