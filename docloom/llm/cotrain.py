@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docloom.llm.common import slices, utf8
+from docloom.llm.common import released, slices, utf8
 
 LABELLED, POOL, THRESHOLD = 20_000, 20_000, 0.5
 ROUNDS, CONFIDENT = 5, 0.97
@@ -185,7 +185,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", labelled: in
     rows.sort(key=lambda r: (zlib.crc32(str(r["_id"]).encode()), r["_id"]))
     known, unknown = [r for r in rows if r["_y"] is not None], [r for r in rows if r["_y"] is None]
     width = LANGS + SOURCES + 3
-    return CoTrained((_packed(known, "_text", N_TEXT), _packed(known, "_meta", width)), np.array([float(r["_y"] > 0) for r in known]), (_packed(unknown, "_text", N_TEXT), _packed(unknown, "_meta", width)))
+    views, y, pools = (_packed(known, "_text", N_TEXT), _packed(known, "_meta", width)), np.array([float(r["_y"] > 0) for r in known]), (_packed(unknown, "_text", N_TEXT), _packed(unknown, "_meta", width))
+    del rows, known, unknown
+    model = CoTrained(views, y, pools)
+    del views, pools
+    released()  # the driver goes on to other work
+    return model
 
 
 def score(docs: DataFrame, model: CoTrained, threshold: float = THRESHOLD) -> DataFrame:

@@ -376,8 +376,9 @@ def links(docs: DataFrame, words: int, limit: Threshold) -> tuple[DataFrame, Dat
     labels: DataFrame | None = None
     for turn in range(ROUNDS):
         more = verified(led(anchored, labels, turn, limit), prefixed, docs, words, limit)
-        found = more if found is None else found.unionByName(more)
-        labels = components(found)
+        if labels is None or not more.isEmpty():
+            found = more if found is None else found.unionByName(more)
+            labels = components(found)
     # groups of one prefix and size, and the components of their members
     marked = prefixed.select("row_key", F.xxhash64("prefix", "n").alias("mark"))
     shared_marks = marked.groupBy("mark").agg(F.count(F.lit(1)).alias("k"), F.min("row_key").alias("gid")).where("k > 1").select("mark", "gid")
@@ -413,7 +414,8 @@ def links(docs: DataFrame, words: int, limit: Threshold) -> tuple[DataFrame, Dat
     pairs = staged(expanded.unionByName(within).select(*_pair("a0", "b0")).distinct(), "pairs")
     names = state.select("row_key", "label")
     parted = pairs.join(names.select(F.col("row_key").alias("a"), F.col("label").alias("la")), "a").join(names.select(F.col("row_key").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb").select("a", "b")
-    return classes, components(found.unionByName(verified(parted, prefixed, docs, words, limit)))
+    more = verified(parted, prefixed, docs, words, limit)
+    return classes, labels if more.isEmpty() else components(found.unionByName(more))
 
 
 def similar_documents(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id") -> DataFrame:
