@@ -1,88 +1,7 @@
-"""Vectors packed into blocks, and a query set against all blocks.
-
-A block is one row that holds up to a few thousand vectors; query blocks are dealt to every shard of
-vector blocks by an equi-join on the shard number, so rows of pairs are never made: each joined row
-is a block against a block, and gives the best few of each query in that block.
-"""
+"""Vectors packed into blocks, and a query set against all blocks: those of the library."""
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
-
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
-
-#: Vectors and queries in a block.
-ROWS, QUERY_ROWS = 4096, 512
-_PACKED = "dims int, ids binary, matrix binary"
-
-
-def unpack(ids: bytes, matrix: bytes, dims: int) -> tuple[np.ndarray, np.ndarray]:
-    return np.frombuffer(ids, "<i8"), np.frombuffer(matrix, "<f8").reshape(-1, dims)
-
-
-def pack(vectors: DataFrame, id_col: str, vector_col: str, rows: int, zeros: bool = True) -> DataFrame:
-    """Blocks of (id, vector); vectors that are null, empty or hold null or non-finite components are left out, and zero vectors unless ``zeros``."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
-
-        def block(dims: int) -> pa.RecordBatch:
-            got = held.pop(dims)
-            return pa.RecordBatch.from_pydict({"dims": pa.array([dims], pa.int32()), "ids": [np.array([x[0] for x in got], "<i8").tobytes()], "matrix": [np.stack([x[1] for x in got]).astype("<f8").tobytes()]})
-
-        for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                if i is None or not v.is_valid or not len(v) or v.values.null_count:
-                    continue
-                x = v.values.to_numpy(zero_copy_only=False).astype(float)
-                if np.isfinite(x).all() and (zeros or x.any()):
-                    held.setdefault(len(x), []).append((i, x))
-                    if len(held[len(x)]) >= rows:
-                        yield block(len(x))
-        for dims in sorted(held):
-            yield block(dims)
-
-    return vectors.select(F.col(id_col).cast("long"), F.col(vector_col)).mapInArrow(run, _PACKED)
-
-
-def search(vectors: DataFrame, queries: DataFrame, k: int, best: Callable, score_type: str, ascending: bool, id_col: str = "vec_id", vector_col: str = "embedding", zeros: bool = True) -> DataFrame:
-    """(query_id, rank, vec_id, score) of the k best candidates of each query.
-
-    best(ids, X, query_ids, Q) gives (query place, vector place, score) arrays: at least the k best of
-    each query in the block. Rows with a query's own id are no candidates. Of several query rows with one
-    id the least vector is taken; repeated candidate rows each take a place.
-    """
-    n, m = vectors.count(), queries.count()
-    shards = max(1, math.ceil(n / ROWS))
-    table = pack(vectors.repartition(shards), id_col, vector_col, ROWS, zeros).withColumn("shard", F.spark_partition_id())
-    asked = queries.groupBy(id_col).agg(F.min(vector_col).alias(vector_col)).repartition(max(1, math.ceil(m / QUERY_ROWS)))
-    asked = pack(asked, id_col, vector_col, QUERY_ROWS, zeros).select("dims", F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
-    arrow_score = pa.int64() if score_type == "long" else pa.float64()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                dims, ids, matrix, qids, qmatrix = (batch.column(c)[row].as_py() for c in range(5))
-                ids, X = unpack(ids, matrix, dims)
-                qids, Q = unpack(qids, qmatrix, dims)
-                qi, di, score = best(ids, X, qids, Q)
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(qids[qi]), "vec_id": pa.array(ids[di]), "score": pa.array(score, arrow_score)})
-
-    found = table.join(asked, ["dims", "shard"]).select("dims", "ids", "matrix", "query_ids", "query_matrix").mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
-    order = W.partitionBy("query_id").orderBy(F.col("score").asc() if ascending else F.col("score").desc(), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
+from docloom.operators.blocks import pack, search, top_of_block, unpack
 
-def top_of_block(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
-    """Places of the k smallest scores, ties to smaller ids."""
-    if len(score) > k:
-        cut = np.partition(score, k - 1)[k - 1]
-        near = np.flatnonzero(score <= cut)
-    else:
-        near = np.arange(len(score))
-    return near[np.lexsort((ids[near], score[near]))][:k]
+__all__ = ["pack", "search", "top_of_block", "unpack"]

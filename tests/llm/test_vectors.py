@@ -1,10 +1,12 @@
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from docloom.llm import ann, maxscore
 from docloom.llm.maxscore import block_top
 from docloom.llm.q_vectors import op2_ann, op6_topk
+from docloom.operators import blocks
 
 SF = "/root/testdata/sf0.01"
 
@@ -35,6 +37,44 @@ def test_ann_recall(spark):
             assert abs(score - np.linalg.norm(by_id[v] - by_id[q])) < 1e-9
 
 
+def recall(spark, X, asked, k=10, **settings):
+    """Share of the k nearest found, and how many each query has."""
+    rows = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.nearest(rows, rows.where(F.col("vec_id").isin(asked)), k=k, **settings).collect():
+        got.setdefault(r["query_id"], set()).add(r["vec_id"])
+    ids = np.arange(len(X))
+    want = brute(ids, X, np.array(asked), X[asked], k, True)
+    return sum(len({v for v, _ in want[q]} & got.get(q, set())) for q in asked) / (k * len(asked)), {len(got.get(q, ())) for q in asked}
+
+
+@pytest.mark.parametrize(("scale", "shift"), [(1, 0), (10, 0), (0.01, 0), (1, 30)])
+def test_recall_for_any_scale_and_several_blocks(spark, monkeypatch, scale, shift):
+    monkeypatch.setattr(blocks, "ROWS", 300)
+    monkeypatch.setattr(blocks, "QUERY_ROWS", 7)
+    draw = np.random.default_rng(3)
+    X = draw.standard_normal((1500, 32))
+    X = scale * (X / np.linalg.norm(X, axis=1, keepdims=True) + shift)
+    share, found = recall(spark, X, list(range(0, 1500, 100)))
+    assert share >= 0.9 and found == {10}
+
+
+def test_recall_of_mixed_lengths_and_far_queries(spark):
+    draw = np.random.default_rng(4)
+    X = draw.standard_normal((800, 16)) * draw.choice([0.1, 1, 10], 800)[:, None]
+    X[0] = 1e6
+    share, found = recall(spark, X, [0, *range(100, 800, 50)])
+    assert share >= 0.9 and found == {10}
+    few, found = recall(spark, X, [0, 100], probes=1)  # buckets of one probe are mostly empty: all of the block are met
+    assert found == {10}
+
+
+def test_op6_over_several_shards(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "ROWS", 64)
+    monkeypatch.setattr(blocks, "QUERY_ROWS", 3)
+    test_op6_is_exact(spark)
+
+
 ODD = [(0, [1.0, 2.0]), (1, None), (2, []), (3, [0.0, 0.0]), (4, [float("nan"), 1.0]), (5, [float("inf"), 1.0]), (6, [None, 1.0]), (7, [1.0, 2.0]), (8, [1.0, 2.5]), (9, [1.0]), (50, [-1.0, -2.0]), (None, [1.0, 1.0]), (7, [1.0, 2.0])]
 
 
