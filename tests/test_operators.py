@@ -1,7 +1,10 @@
+import random
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docloom.operators import chunks, fusion, lanes, lexical, lines, lineage, metrics, ranking, search, state, validation
+from docloom.operators import blocks, chunks, fusion, lanes, lexical, lines, lineage, metrics, ranking, search, state, validation, vectors
 from docloom.operators.search import SearchConfig
 
 
@@ -180,3 +183,45 @@ def test_benefit_windows(spark):
     needles = spark.createDataFrame([("d", 1, 0, "coffee"), ("d", 1, 0, "10%"), ("d", 1, 1, "coffee"), ("d", 1, 2, "%"), ("d", 1, 3, "none"), ("d", 1, 4, "movie")], "document string, page int, label int, needle string")
     got = {tuple(r["labels"]): r["text"] for r in lines.benefit_windows(paragraphs, needles, "document").collect()}
     assert got == {(0, 1): "intro\n\ncoffee 10%\n\nmovie 5%", (4,): "coffee 10%\n\nmovie 5%"}
+
+
+def test_repeated_keys_in_changes(spark):
+    """Of several changes of a key the last by order counts, of several inserts the first."""
+    table = spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "k int, v string, at int")
+    changes = spark.createDataFrame([(1, "y", 2), (1, "z", 1), (3, "n", 5), (3, "m", 4), (None, "p", 1), (None, "q", 2)], "k int, v string, at int")
+    assert set(rows(state.upserted(table, changes, ["k"], "at"), "k", "v")) == {(1, "y"), (2, "b"), (3, "n"), (None, "q")}
+    assert set(rows(state.inserted(table, changes, ["k"], "at"), "k", "v")) == {(1, "a"), (2, "b"), (3, "m"), (None, "p")}
+
+
+def test_following_rows(spark):
+    draw = random.Random(2)
+    pairs = sorted({(draw.choice(["a", "b", None]), draw.randrange(-60, 400)) for _ in range(300)}, key=str)
+    df = spark.createDataFrame(pairs, "g string, n long")
+    want = {}
+    for g in ("a", "b", None):
+        its = sorted(n for x, n in pairs if x == g)
+        want |= {(g, n): m for n, m in zip(its, [*its[1:], None], strict=True)}
+    for width in (1, 16, 10_000):
+        got = ranking.following(df, "g", "n", width).collect()
+        assert {(r["g"], r["n"]): r["next"] for r in got} == want and len(got) == len(want)
+
+
+def test_nearest_vectors_against_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "ROWS", 40)
+    monkeypatch.setattr(blocks, "QUERY_ROWS", 3)
+    draw = np.random.default_rng(1)
+    X = draw.standard_normal((150, 8)).astype(np.float32)
+    X[3] = X[7] = 0
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(X)], "vec_id long, embedding array<float>")
+    for measure, score in (("l2", lambda q: ((X - q) ** 2).sum(axis=1, dtype=float)), ("cosine", lambda q: -np.nan_to_num(X.astype(float) @ q / np.linalg.norm(X.astype(float), axis=1) / max(1e-300, np.linalg.norm(q.astype(float)))))):
+        got = vectors.nearest(df.where("vec_id % 20 = 0 OR vec_id = 3"), df, 6, measure).collect()
+        for q in [*range(0, 150, 20), 3]:
+            s = np.round(score(X[q]), 9)
+            want = sorted(range(150), key=lambda i: (s[i], i))[:6]
+            assert [r["doc"] for r in sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])] == want, (measure, q)
+
+
+def test_malformed_line_ids_are_passed_over(spark):
+    df = spark.createDataFrame([(1, ["P0001-L0004"], ["P0001-L0006"]), (2, ["P0001-L0004", "P0001-Lxxxx"], ["P0001-L0009"]), (3, ["", "P0001"], ["P0001-L0004"]), (4, ["P0001-Lxxxx"], ["P0001-Lxxxx"]), (5, None, ["P0001-L0004"])], "i int, a array<string>, b array<string>")
+    got = {r["i"]: r["x"] for r in df.select("i", lines.evidence_near(F.col("a"), F.col("b")).alias("x")).collect()}
+    assert got == {1: True, 2: False, 3: False, 4: False, 5: None}

@@ -123,3 +123,60 @@ def test_requests_once(spark, tmp_path):
     stream = spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in"))
     turns.resume(turns.once_per_request(stream), str(tmp_path / "out"), str(tmp_path / "check"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_a_run_that_dies_leaves_no_half_table(spark, tmp_path):
+    path = f"file://{tmp_path}/once"
+    df = spark.range(5).select(F.col("id").alias("k"), F.lit("v").alias("v"))
+
+    def dies(own):
+        df.write.parquet(own)
+        raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError, match="lost"):
+        writers.put_in_place(spark, path, dies)
+    assert not writers.exists(spark, path)
+    assert writers.write_once(df, path, "k", F.col("v")) and spark.read.parquet(path).count() == 5
+    assert not writers.write_once(df, path, "k", F.col("v"))
+    with pytest.raises(ValueError, match="other rows"):
+        writers.write_once(df.limit(4), path, "k", F.col("v"))
+    # two at once: the second finds the place taken when it is done
+    other = f"file://{tmp_path}/raced"
+
+    def overtaken(own):
+        df.write.parquet(own)
+        df.limit(2).write.parquet(other)
+
+    assert not writers.put_in_place(spark, other, overtaken) and spark.read.parquet(other).count() == 2
+
+
+def test_the_pointer_is_replaced_in_one_step(spark, tmp_path):
+    path = f"file://{tmp_path}/active.json"
+    for text in ("one", "two"):
+        writers.write_text(spark, path, text)
+        assert writers.read_text(spark, path) == text
+    assert sorted(p.name for p in tmp_path.iterdir() if not p.name.startswith(".")) == ["active.json"]
+
+
+def test_numbers_of_the_history_are_given_once(spark, tmp_path):
+    root = f"file://{tmp_path}/r"
+    chunks = spark.createDataFrame([("c1", "t")], "chunk_id string, text string")
+    release = writers.publish(chunks, spark.createDataFrame([("c1", [0.5])], "chunk_id string, embedding array<float>"), root)
+    writers.activate(spark, root, release)
+    # another writer has taken the next number, which a count of an older listing would give again
+    assert writers._create(spark, f"{root}/active_history/{1:012d}.json", '{"ordinal": 1, "release_id": "other"}')
+    assert not writers._create(spark, f"{root}/active_history/{1:012d}.json", "{}")
+    writers.activate(spark, root, release)
+    assert sorted(r["ordinal"] for r in writers.active_history(spark, root).collect()) == [0, 1, 2]
+
+
+def test_the_stored_index_follows_its_files(spark, tmp_path):
+    docs, tokens = f"{tmp_path}/docs", lexical.ascii_tokens(F.col("text"))
+    read = lambda: writers.stored_postings(spark.read.parquet(docs), "id", tokens, f"file://{tmp_path}/store")
+    spark.createDataFrame([(1, "a b a"), (2, "b")], "id long, text string").write.parquet(docs)
+    assert {(r["term"], r["doc"], r["tf"]) for r in read().postings.collect()} == {("a", 1, 2), ("b", 1, 1), ("b", 2, 1)}
+    assert {r["df"] for r in read().terms.where("term = 'b'").collect()} == {2}
+    stored = [p.name for p in (tmp_path / "store").iterdir() if not p.name.startswith(".")]
+    assert len(stored) == 1
+    spark.createDataFrame([(3, "c")], "id long, text string").write.mode("append").parquet(docs)
+    assert read().corpus.first()["n_docs"] == 3
