@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def canonical_json(columns: dict[str, Column]) -> Column:
@@ -58,3 +61,44 @@ def require_empty(violations: DataFrame, what: str) -> None:
     """Raise with a sample row if there is a violation."""
     if (row := violations.limit(1).collect()):
         raise ValueError(f"{what}: {row[0].asDict()}")
+
+
+@F.pandas_udf(T.BinaryType())
+def packed_floats(vector: pd.Series) -> pd.Series:
+    """Little-endian float32 bytes; an error for other than finite numbers."""
+
+    def pack(v) -> bytes:
+        x = np.asarray(v, "<f4")
+        if not np.isfinite(x).all():
+            raise ValueError("a vector isn't finite")
+        return x.tobytes()
+
+    return vector.map(pack)
+
+
+def matrix_fingerprint(rows: DataFrame, key: str, vector: str) -> DataFrame:
+    """One row, ``fingerprint``, of the vectors' bytes in order of the key."""
+    return fingerprint(rows, key, F.base64(packed_floats(vector)))
+
+
+def chunk_freshness(parents: DataFrame, children: DataFrame, sources: DataFrame, contract: list[str]) -> DataFrame:
+    """One row: whether stored chunks are those of their sources, and how many there are; both tables and sources are (document, contract columns).
+
+    Current: every row agrees with its source in all contract columns (hashes, configurations, version), and both tables cover
+    the sources' documents and no others.
+    """
+    rows = parents.select("document", *contract, F.lit("parent").alias("_kind")).unionByName(children.select("document", *contract, F.lit("child").alias("_kind")))
+    own = sources.select(F.col("document").alias("_document"), *(F.col(c).alias(f"_{c}") for c in contract))
+    met = rows.join(own, rows["document"] == own["_document"], "full_outer")
+    agrees = F.col("_document").isNotNull()
+    for c in contract:
+        agrees &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    by_document = met.groupBy(F.coalesce("document", "_document").alias("document")).agg(F.count_if(F.col("_kind") == "parent").alias("p"), F.count_if(F.col("_kind") == "child").alias("c"), F.bool_and(agrees).alias("ok"))
+    current = F.coalesce(F.bool_and(F.col("ok") & (F.col("p") > 0) & (F.col("c") > 0)), F.lit(False))
+    p, c = F.coalesce(F.sum("p"), F.lit(0)), F.coalesce(F.sum("c"), F.lit(0))
+    return by_document.agg(F.when(current, p).otherwise(0).alias("parents"), F.when(current, c).otherwise(0).alias("children"), (~current & (p + c > 0)).alias("stale"), p.alias("stored_parents"), c.alias("stored_children"))
+
+
+def level_counts(chunks: DataFrame, level: str, problem: str) -> DataFrame:
+    """(level, chunks, problems): chunks of each level, and those with a problem noted."""
+    return chunks.groupBy(level).agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col(problem).isNotNull()).alias("problems"))

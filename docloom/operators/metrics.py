@@ -89,3 +89,30 @@ def token_cost(tokens: Column, price: Column, long_from: int | None = None, fact
     """Price per million tokens, with a dearer rate for long contexts; exact decimals."""
     rate = price.cast("decimal(18,6)") * (F.when(tokens > long_from, F.lit(factor)).otherwise(F.lit(1.0)).cast("decimal(6,2)") if long_from else F.lit(1).cast("decimal(6,2)"))
     return (tokens.cast("decimal(18,0)") * rate / F.lit(1_000_000).cast("decimal(10,0)")).cast("decimal(28,10)")
+
+
+#: Characters around a number in which its context is looked for.
+CONTEXT = 180
+
+
+def numeric_labels(pages: DataFrame, labels: DataFrame, key: list[str], label: str, reach: int = CONTEXT) -> DataFrame:
+    """(key, label, critical, found, in_context, exact, related) of labelled numbers: how often a page holds the number, how often with all context terms within reach, and whether that is as often as expected.
+
+    pages: (key, text); labels: (key, label, surface, context array<string>, expected, critical). Blanks don't count.
+    Occurrences may overlap; a label without a page has none.
+    """
+    dense = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", "")
+    met = labels.join(pages.select(*key, dense(F.col("text")).alias("_text")), key, "left").withColumns({"_token": dense(F.col("surface")), "_terms": F.transform(F.coalesce("context", F.array().cast("array<string>")), dense)})
+    # a look-ahead gives every start: what stands before it is as long as the text less what follows
+    after = F.regexp_extract_all("_text", F.concat(F.lit("(?s)(?="), F.regexp_replace("_token", r"([^0-9A-Za-z가-힣])", r"\\$1"), F.lit("(.*))")), F.lit(1))
+    starts = F.when(F.length("_token") > 0, F.transform(after, lambda rest: F.length("_text") - F.length(rest) - F.length("_token"))).otherwise(F.array().cast("array<int>"))
+    around = F.transform("_starts", lambda p: F.substring(F.col("_text"), F.greatest(F.lit(0), p - reach) + 1, p + F.length("_token") + reach - F.greatest(F.lit(0), p - reach)))
+    told = met.withColumn("_starts", F.coalesce(starts, F.array().cast("array<int>"))).withColumn("_with", F.filter(around, lambda w: F.forall(F.col("_terms"), lambda t: F.contains(w, t))))
+    n, m = F.size("_starts"), F.size("_with")
+    return told.select(*key, label, "critical", n.alias("found"), m.alias("in_context"), (n > 0).alias("exact"), (m == F.coalesce("expected", F.lit(1))).alias("related"))
+
+
+def numeric_label_rates(scored: DataFrame) -> DataFrame:
+    """One row: labels, the share found exactly, found in context, and of critical ones found; null without such labels."""
+    share = lambda c, where=F.lit(True): F.avg(F.when(where, F.col(c).cast("double")))
+    return scored.agg(F.count(F.lit(1)).alias("labels"), share("exact").alias("exact_rate"), share("related").alias("related_rate"), share("exact", F.col("critical")).alias("critical_rate"))

@@ -144,3 +144,8 @@ def hybrid(keyword: DataFrame, vector: DataFrame | None, mode: str, depth: int =
     if mode == "weighted":
         return fusion.alpha_fusion(word, near, alpha)
     raise ValueError(f"unknown mode {mode}")
+
+
+def unserved(asked: DataFrame, evidence: DataFrame, keys: list[str]) -> DataFrame:
+    """Asked scopes for which no evidence was found."""
+    return asked.select(*keys).distinct().join(evidence.select(*keys), keys, "left_anti")

@@ -101,3 +101,26 @@ def recent_groups(events: DataFrame, by: list[str], group: str, order: str, most
 def merged_messages(messages: DataFrame, key: str, order: str, written: str) -> DataFrame:
     """Last write of each id, in order."""
     return latest(messages, [key], written).orderBy(order)
+
+
+def embedding_status(rows: DataFrame, model: str) -> DataFrame:
+    """One row: rows, those embedded by a model, and the distinct dimensions of these, in order."""
+    own = F.col("embedding").isNotNull() & F.col("embedding_model").eqNullSafe(F.lit(model))
+    return rows.agg(F.count(F.lit(1)).alias("total"), F.count_if(own).alias("embedded"), F.array_sort(F.collect_set(F.when(own, F.size("embedding")))).alias("dimensions"))
+
+
+def next_cases(cases: DataFrame, done: DataFrame, experiment: list[str], case: str, order: str, step: int = 5) -> DataFrame:
+    """The next cases of each experiment that have no result yet, ``step`` at most: run, append the results, ask again."""
+    left = cases.join(done.select(*experiment, case).distinct(), [*experiment, case], "left_anti")
+    w = W.partitionBy(*experiment).orderBy(order, case)
+    return left.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= step).drop("_n")
+
+
+def stage_barrier(statuses: DataFrame, run: list[str], stages: list[str], done: str = "done") -> DataFrame:
+    """(run, completed, stopped_before) of (run, item, stage, status): stages count up to the first that some item hasn't done; the next one may not begin."""
+    wanted = statuses.select(*run, "item").distinct().withColumn("stage", F.explode(F.array(*map(F.lit, stages))))
+    met = wanted.join(statuses.where(F.col("status") == done).select(*run, "item", "stage").distinct().withColumn("_done", F.lit(True)), [*run, "item", "stage"], "left")
+    order = F.array_position(F.array(*map(F.lit, stages)), F.col("stage")).cast("int")
+    first = met.groupBy(*run).agg(F.min(F.when(F.col("_done").isNull(), order)).alias("_open"))
+    names = F.array(*map(F.lit, stages))
+    return first.select(*run, F.slice(names, 1, F.coalesce(F.col("_open") - 1, F.lit(len(stages)))).alias("completed"), F.get(names, F.col("_open")).alias("stopped_before"))

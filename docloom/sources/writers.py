@@ -199,3 +199,18 @@ def structured_tables(documents: DataFrame, facts: DataFrame, aliases: dict[str,
     documents.write.mode("overwrite").parquet(f"{root}/documents")
     facts.write.mode("overwrite").parquet(f"{root}/facts")
     spark.createDataFrame(rows, "alias_group string, alias string, alias_normalized string").write.mode("overwrite").parquet(f"{root}/target_aliases")
+
+
+class ActiveRelease:
+    """The tables of the active release, read again when the pointer's text changes."""
+
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root, self._told, self._tables = spark, root, None, {}
+
+    def table(self, name: str) -> DataFrame:
+        told = read_text(self.spark, f"{self.root}/active.json")
+        if told != self._told:
+            self._told, self._tables = told, {}
+        if name not in self._tables:
+            self._tables[name] = self.spark.read.parquet(f"{self.root}/releases/{json.loads(told)['release_id']}/{name}")
+        return self._tables[name]
