@@ -18,14 +18,18 @@ def digest(column: Column) -> Column:
     return F.sha2(column, 256)
 
 
-def fingerprint(rows: DataFrame, key: str, content: Column, buckets: int = 256) -> DataFrame:
-    """One row, ``fingerprint``: the digest of bucket digests, each of its rows' digests in order of the key.
+def fingerprint(rows: DataFrame, key: str, content: Column) -> DataFrame:
+    """One row, ``fingerprint``: a tree of digests over the first four, then two, hexadecimal digits of the key's digest.
 
-    Rows are split into buckets by the key's own digest, so no task holds them all: a tree of two levels.
+    A leaf digests its rows' digests in order of the key, a branch its leaves', the root its branches': 65,536 leaves, so a task
+    holds a small part of the rows' digests.
     """
-    own = rows.select(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(buckets)).alias("bucket"), F.col(key).cast("string").alias("k"), digest(content).alias("d"))
-    leaves = own.groupBy("bucket").agg(digest(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("k", "d"))), lambda x: x["d"]))).alias("d"))
-    return leaves.agg(digest(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("bucket", "d"))), lambda x: x["d"]))).alias("fingerprint"))
+    of = lambda order: digest(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, "d"))), lambda x: x["d"]), "")).alias("d")
+    place = F.md5(F.col(key).cast("string"))
+    own = rows.select(F.substring(place, 1, 4).alias("leaf"), F.col(key).cast("string").alias("k"), digest(content).alias("d"))
+    leaves = own.groupBy("leaf").agg(of("k"))
+    branches = leaves.groupBy(F.substring("leaf", 1, 2).alias("branch")).agg(of("leaf"))
+    return branches.agg(of("branch").alias("fingerprint"))
 
 
 def orphans(children: DataFrame, parents: DataFrame, key: str) -> DataFrame:

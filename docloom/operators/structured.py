@@ -85,7 +85,7 @@ class Plan:
 
 def money(token: Column) -> Column:
     """Won of one written amount, null if not whole."""
-    number = F.replace(F.regexp_extract(token, MONEY, 1), F.lit(","), F.lit("")).cast("decimal(30,6)")
+    number = F.replace(F.regexp_extract(token, MONEY, 1), F.lit(","), F.lit("")).try_cast("decimal(30,6)")
     scale = F.regexp_extract(token, MONEY, 2)
     amount = number * F.when(scale == "만", 10_000).when(scale == "천", 1_000).otherwise(1)
     return F.when(amount == F.floor(amount), amount.cast("long"))
@@ -96,13 +96,13 @@ def amounts(text: Column) -> Column:
 
 
 def _decimals(literals: Column, kind: str) -> Column:
-    return F.transform(F.filter(F.coalesce(literals, F.array().cast("array<struct<kind:string,decimal:string>>")), lambda x: x["kind"] == kind), lambda x: x["decimal"].cast("decimal(30,6)"))
+    return F.transform(F.filter(F.coalesce(literals, F.array().cast("array<struct<kind:string,decimal:string>>")), lambda x: x["kind"] == kind), lambda x: x["decimal"].try_cast("decimal(30,6)"))
 
 
 def percent_column(value: Column, unit: Column, literals: Column) -> Column:
     """struct(value, state): known if the one typed ratio is the one written percentage, without range, bound or money."""
     raw = F.concat_ws(" ", F.coalesce(value, F.lit("")), F.coalesce(unit, F.lit("")))
-    written = F.transform(F.regexp_extract_all(raw, F.lit(PERCENT), F.lit(1)), lambda x: x.cast("decimal(30,6)"))
+    written = F.transform(F.regexp_extract_all(raw, F.lit(PERCENT), F.lit(1)), lambda x: x.try_cast("decimal(30,6)"))
     typed = F.transform(_decimals(literals, "ratio"), lambda x: x * 100)
     vague = raw.rlike(RANGE) | raw.rlike(LIMIT_WORDS) | (raw.rlike(MONEY) & raw.rlike(PERCENT))
     agrees = (F.size(typed) == 1) & (F.size(written) == 1) & (F.get(typed, F.lit(0)) == F.get(written, F.lit(0)))
@@ -124,7 +124,7 @@ def spend_column(condition: Column, literals: Column) -> Column:
     pairs = F.filter(F.flatten(F.transform(F.concat(behind, ahead), told)), lambda x: x["amount"].isNotNull())
     distinct = F.array_distinct(pairs)
     one = F.get(distinct, F.lit(0))
-    known = (F.size(distinct) == 1) & (one["operator"] == "gte") & F.array_contains(typed, one["amount"].cast("decimal(30,6)"))
+    known = (F.size(distinct) == 1) & (one["operator"] == "gte") & F.array_contains(typed, one["amount"].try_cast("decimal(30,6)"))
     state = F.when(~text.rlike(SPEND_PHRASE), F.when((F.size(typed) > 0) & (text != ""), "unknown").otherwise("not_applicable")).when(known, "known").otherwise("unknown")
     return F.struct(F.when(state == "known", one["amount"]).alias("value"), F.when(F.size(distinct) == 1, one["operator"]).alias("operator"), state.alias("state"))
 
@@ -133,7 +133,7 @@ def cap_column(cap: Column, literals: Column) -> Column:
     """struct(value, state): known if the one typed amount is the one written, and no ceiling on spending."""
     text = F.coalesce(cap, F.lit(""))
     typed, written = _decimals(literals, "KRW"), amounts(text)
-    agrees = (F.size(typed) == 1) & (F.size(written) == 1) & (F.get(written, F.lit(0)).cast("decimal(30,6)") == F.get(typed, F.lit(0)))
+    agrees = (F.size(typed) == 1) & (F.size(written) == 1) & (F.get(written, F.lit(0)).try_cast("decimal(30,6)") == F.get(typed, F.lit(0)))
     state = F.when(text.rlike(SPEND_CEILING), "unknown").when(agrees, "known").when((F.size(typed) == 0) & (text == ""), "not_applicable").otherwise("unknown")
     return F.struct(F.when(state == "known", F.get(written, F.lit(0))).alias("value"), state.alias("state"))
 

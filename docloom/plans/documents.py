@@ -150,9 +150,16 @@ def hex_terms(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select(F.explode(tokens).alias("t")).select(text.opaque_term(F.col("t")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
 
 
-@query("corpus_fingerprint")
+@query(
+    "corpus_fingerprint",
+    """WITH r AS (SELECT substr(md5(doc_id::VARCHAR), 1, 4) AS leaf, doc_id::VARCHAR AS k, sha256(concat_ws(chr(31), coalesce(source, chr(0)), coalesce(lang, chr(0)), coalesce(text, chr(0)))) AS d FROM documents),
+    l AS (SELECT leaf, sha256(string_agg(d, '' ORDER BY k, d)) AS d FROM r GROUP BY leaf),
+    b AS (SELECT substr(leaf, 1, 2) AS branch, sha256(string_agg(d, '' ORDER BY leaf)) AS d FROM l GROUP BY 1)
+    SELECT sha256(string_agg(d, '' ORDER BY branch)) AS fingerprint FROM b""",
+)
 def corpus_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
-    return lineage.fingerprint(read(spark, sf, "documents"), "doc_id", lineage.canonical_json({"source": F.col("source"), "text": F.col("text"), "lang": F.col("lang")}))
+    told = F.concat_ws("\u001f", *(F.coalesce(c, F.lit("\u0000")) for c in ("source", "lang", "text")))
+    return lineage.fingerprint(read(spark, sf, "documents"), "doc_id", told)
 
 
 @query("marked_pages", "SELECT conv_id, turn AS page, length(trim(text)) AS n FROM conversations")
