@@ -22,7 +22,6 @@ separate rows; extra columns are not returned.
 
 from __future__ import annotations
 
-import heapq
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -38,11 +37,11 @@ HEAD, KNOWN, CLASSES, HIDDEN = 1 << 17, 2048, 48, 16
 #: One document in SHARE is trained on, dealt over ROUNDS rounds.
 SHARE, ROUNDS = 1, 2
 #: Lanes of a training step at most, fewer where a part has not STEPS steps of these; steps of a window; Adam's rate at first.
-LANES, WINDOW, RATE, STEPS = 128, 32, 0.03, 200
+LANES, WINDOW, RATE, STEPS = 256, 16, 0.03, 200
 #: Training tokens of one task's copy of the network in a round, about.
 PART_TOKENS = 1 << 21
-#: Steps of a scoring window, and bytes of text scored at once.
-SCORE_WINDOW, SCORE_BYTES = 64, 8 << 20
+#: Steps of a scoring window, and lanes.
+SCORE_WINDOW, SCORE_LANES = 32, 512
 FLUSH = 400_000
 LN10 = math.log(10)
 
@@ -232,38 +231,6 @@ class Network:
         return grads, last, float(-logp.sum())
 
 
-def in_lanes(docs: list[np.ndarray], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Deal token arrays to at most ``most`` lanes, longest first to the shortest lane: (steps, lanes) targets, document places (-1: none) and starts, lane lengths, and places in each document's order. Lanes fall in length."""
-    long = np.array([len(d) for d in docs])
-    lanes = int(max(1, min(most, len(docs), math.ceil(long.sum() / max(1, long.max(initial=1))))))
-    heap = [(0, i) for i in range(lanes)]
-    of: list[list[int]] = [[] for _ in range(lanes)]
-    for d in np.argsort(-long, kind="stable").tolist():
-        size, lane = heapq.heappop(heap)
-        of[lane].append(d)
-        heapq.heappush(heap, (size + int(long[d]), lane))
-    of.sort(key=lambda own: -sum(int(long[d]) for d in own))
-    length = np.array([sum(int(long[d]) for d in own) for own in of])
-    steps = int(length.max(initial=0))
-    Y, doc, start = np.zeros((lanes, steps), np.int32), np.full((lanes, steps), -1, np.int32), np.zeros((lanes, steps), bool)
-    for i, own in enumerate(of):
-        at = 0
-        for d in own:
-            n = len(docs[d])
-            Y[i, at : at + n], doc[i, at : at + n], start[i, at] = docs[d], d, True
-            at += n
-    return Y.T, doc.T, start.T, length, long
-
-
-def inputs(Y: np.ndarray, doc: np.ndarray, start: np.ndarray, before: np.ndarray) -> np.ndarray:
-    """The token before each target; at its start each document has its own ``before``."""
-    X = np.empty_like(Y)
-    X[1:] = Y[:-1]
-    X[start] = before[doc[start]]
-    X[0, doc[0] < 0] = 0
-    return X
-
-
 class Trainer:
     """Adam's steps on windows of documents given in any number.
 
@@ -387,22 +354,78 @@ def averaged(docs: DataFrame, net: Network, parts: int, expected: float, cells:
     return np.concatenate([np.frombuffer(r["weights"], "<f4") for r in sorted(rows, key=lambda r: r["cell"])])
 
 
+class Scorer:
+    """Log probabilities of whole documents given in any number, in lanes as in training: a long document keeps its lane while others follow one another in the rest, so lanes stay full."""
+
+    def __init__(self, net: Network, lanes: int = SCORE_LANES):
+        self.net, self.lanes = net, lanes
+        self.waiting: list[list[tuple[np.ndarray, int]]] = [[] for _ in range(lanes)]
+        self.long = np.zeros(lanes, np.int64)
+        self.h, self.last = np.zeros((lanes, net.hidden), np.float32), np.zeros(lanes, np.int32)
+        self.total: dict[int, float] = {}
+        self.ended: list[int] = []
+
+    def ready(self) -> list[tuple[int, float]]:
+        """Documents that have ended since it was last asked."""
+        out = [(k, self.total.pop(k)) for k in self.ended]
+        self.ended.clear()
+        return out
+
+    def add(self, number: int, doc: np.ndarray) -> None:
+        lane = int(self.long.argmin())
+        self.waiting[lane].append((doc, number))
+        self.long[lane] += len(doc)
+        if lane == 0 and (least := int(self.long.min())) >= 2 * SCORE_WINDOW:
+            self._run(np.arange(self.lanes), least // SCORE_WINDOW * SCORE_WINDOW)
+
+    def finish(self) -> None:
+        """Score what waits. Lanes that have ended drop out; the fewer are left, the longer the windows."""
+        while (left := np.flatnonzero(self.long)).size:
+            window = min(512, SCORE_WINDOW * self.lanes // left.size)
+            self._run(left, min(int(self.long[left].max()), window))
+
+    def _run(self, lanes: np.ndarray, steps: int) -> None:
+        Y, doc = np.zeros((len(lanes), steps), np.int32), np.full((len(lanes), steps), -1, np.int64)
+        for i, lane in enumerate(lanes.tolist()):
+            at, rest = 0, []
+            for tokens, number in self.waiting[lane]:
+                n = min(len(tokens), steps - at)
+                if n:
+                    Y[i, at : at + n], doc[i, at : at + n] = tokens[:n], number
+                    at += n
+                if n < len(tokens):
+                    rest.append((tokens[n:], number))
+                else:
+                    self.ended.append(number)
+            self.waiting[lane] = rest
+            self.long[lane] -= at
+        Y, doc = np.ascontiguousarray(Y.T), np.ascontiguousarray(doc.T)
+        X = np.concatenate([self.last[lanes][None], Y[:-1]])
+        self.last[lanes] = Y[-1]
+        h, start = self.h[lanes], X == 0
+        first, many = int(doc[doc >= 0].min()), int(doc.max())
+        sums, seen = np.zeros(many - first + 1), np.zeros(many - first + 1, bool)
+        window = max(SCORE_WINDOW, SCORE_WINDOW * self.lanes // len(lanes))
+        for a in range(0, steps, window):
+            w = slice(a, a + window)
+            S, h, _ = self.net.forward(h, X[w], start[w])
+            live = doc[w] >= 0
+            its = doc[w][live] - first
+            sums += np.bincount(its, self.net.output(S[live], Y[w][live]), len(sums))
+            seen[its] = True
+        self.h[lanes] = h
+        for k in np.flatnonzero(seen).tolist():
+            self.total[k + first] = self.total.get(k + first, 0.0) + float(sums[k])
+
+
 def score_documents(net: Network, ids: list[np.ndarray]) -> np.ndarray:
-    """Natural log probability of each token array (places of the head), tokens of the last class by their class alone."""
-    known = net.words.known
-    Y, doc, start, length, long = in_lanes([np.minimum(x, known) for x in ids], 512)
-    X = inputs(Y, doc, start, np.zeros(len(ids), np.int32))
-    h = np.zeros((Y.shape[1], net.hidden), np.float32)
-    out = np.zeros(len(ids))
-    for a in range(0, len(Y), SCORE_WINDOW):
-        lanes = int((length > a).sum())
-        w = (slice(a, a + SCORE_WINDOW), slice(0, lanes))
-        S, h, _ = net.forward(h[:lanes], X[w], start[w])
-        its = doc[w].ravel()
-        flat = its >= 0
-        logp = net.output(S.reshape(-1, net.hidden)[flat], Y[w].ravel()[flat])
-        out += np.bincount(its[flat], logp, len(ids))
-    return out
+    """Natural log probability of each token array (places of the head, the end last), tokens of the last class by their class alone."""
+    scorer = Scorer(net)
+    for i, x in enumerate(ids):
+        scorer.add(i, np.minimum(x, net.words.known))
+    scorer.finish()
+    got = dict(scorer.ready())
+    return np.array([got[i] for i in range(len(ids))])
 
 
 def scored(docs: DataFrame, net: Network) -> DataFrame:
@@ -414,24 +437,39 @@ def scored(docs: DataFrame, net: Network) -> DataFrame:
         own = Network(words, hidden).load(flat)
         logs = np.append(words.log_count, 0.0)
         none, in_rest = len(words.place), math.log10(max(words.rest, 1e-9))
-        for batch in slices(batches, most=SCORE_BYTES):
-            ids, beyond = map(list, zip(*(words.ids(t) for t in utf8(batch.column("text"))), strict=True))
-            model = score_documents(own, ids) / LN10 if words.known else np.zeros(len(ids))
-            head = np.array([int((x < none).sum()) for x in ids])
-            base = np.array([logs[x].sum() for x in ids])
-            # tokens of the last class: their share of its mass
-            rest = np.array([logs[x[x >= words.known]].sum() - in_rest * (x >= words.known).sum() for x in ids])
-            yield pa.RecordBatch.from_pydict(
+        scorer = Scorer(own)
+        waiting: dict[int, tuple] = {}
+        number = 0
+
+        def rows(done: list[tuple[int, float]]) -> pa.RecordBatch:
+            told = [(*waiting.pop(k), model / LN10) for k, model in done]
+            key, size, head, base, rest, beyond, model = (list(x) for x in zip(*told, strict=True))
+            return pa.RecordBatch.from_pydict(
                 {
-                    "row_key": batch.column("row_key"),
-                    "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+                    "row_key": pa.array(key, pa.int64()),
+                    "n_tokens": pa.array(size, pa.int64()),
                     "n_head": pa.array(head, pa.int64()),
                     "base_head": pa.array(base, pa.float64()),
-                    "model_head": pa.array(model + rest, pa.float64()),
+                    "model_head": pa.array([m + r for m, r in zip(model, rest, strict=True)], pa.float64()),
                     "beyond": pa.array([[w.decode() for w in b] for b in beyond], pa.list_(pa.string())),
                 }
             )
 
+        for batch in slices(batches):
+            for key, t in zip(batch.column("row_key").to_pylist(), utf8(batch.column("text")), strict=True):
+                x, beyond = words.ids(t)
+                in_last = x >= words.known
+                # tokens of the last class: their share of its mass
+                waiting[number] = key, len(x), int((x < none).sum()), float(logs[x].sum()), float(logs[x[in_last]].sum() - in_rest * in_last.sum()), beyond
+                if words.known:
+                    scorer.add(number, np.minimum(x, words.known))
+                number += 1
+            if done := scorer.ready() if words.known else [(k, 0.0) for k in waiting]:
+                yield rows(done)
+        scorer.finish()
+        if done := scorer.ready():
+            yield rows(done)
+
     return docs.select("row_key", "text").mapInArrow(run, "row_key long, n_tokens long, n_head long, base_head double, model_head double, beyond array<string>")
 
 

@@ -145,4 +145,14 @@ def test_state_is_carried_across_windows(small, monkeypatch):
     whole = gru_lm.score_documents(small, ids)
     monkeypatch.setattr(gru_lm, "SCORE_WINDOW", 3)
     assert np.allclose(gru_lm.score_documents(small, ids), whole, atol=1e-4)
+    draw = np.random.default_rng(1)
+    many = [np.append(draw.integers(1, 9, n), 0) for n in [*draw.integers(0, 40, 60), 500, 0, 90]]
+    scorer = gru_lm.Scorer(small, lanes=4)
+    for i, x in enumerate(many):
+        scorer.add(i, x)
+    early = dict(scorer.ready())
+    scorer.finish()
+    got = early | dict(scorer.ready())
+    assert early and sorted(got) == list(range(len(many)))
+    assert np.allclose([got[i] for i in range(len(many))], [gru_lm.score_documents(small, [x])[0] for x in many], atol=1e-3)
     assert np.allclose([gru_lm.score_documents(small, [x])[0] for x in ids], whole, atol=1e-4)
