@@ -106,3 +106,13 @@ def chunk_freshness(parents: DataFrame, children: DataFrame, sources: DataFrame,
 def level_counts(chunks: DataFrame, level: str, problem: str) -> DataFrame:
     """(level, chunks, problems): chunks of each level, and those with a problem noted."""
     return chunks.groupBy(level).agg(F.count(F.lit(1)).alias("chunks"), F.count_if(F.col(problem).isNotNull()).alias("problems"))
+
+
+def binding_violations(told: DataFrame, stored: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
+    """(keys, problem) where what a manifest tells and what is stored aren't the same: 'missing', 'not told', or the name of a column that differs."""
+    a = told.select(*keys, F.struct(*columns).alias("_a"))
+    b = stored.select(*keys, F.struct(*columns).alias("_b"))
+    met = a.join(b, keys, "full_outer")
+    both = F.col("_a").isNotNull() & F.col("_b").isNotNull()
+    problems = [F.when(F.col("_b").isNull(), "missing"), F.when(F.col("_a").isNull(), "not told"), *(F.when(both & ~F.col(f"_a.{c}").eqNullSafe(F.col(f"_b.{c}")), c) for c in columns)]
+    return met.select(*keys, F.explode(F.array_compact(F.array(*problems))).alias("problem"))

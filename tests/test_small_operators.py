@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docloom.functions import text
-from docloom.operators import chunks, lineage, metrics, search, state
+from docloom.operators import chunks, lineage, lines, metrics, search, state, validation
 from docloom.sources import writers
 
 
@@ -80,3 +80,40 @@ def test_the_active_release_follows_its_pointer(spark, tmp_path):
     assert handle.table("chunks").first()["text"] == "one" and handle.table("chunks") is handle.table("chunks")
     writers.activate(spark, root, releases[1])
     assert handle.table("chunks").first()["text"] == "two"
+
+
+def test_fragments_are_put_right(spark):
+    rows = [("abc abc", "abc", 4, 7), ("abc abd", "abd", 0, 3), ("abc abc", "abc", 1, 4), ("abc", "x", 0, 1), ("aaa", "aa", 5, 7), ("abc", "", 0, 0)]
+    got = told(spark, lines.fragment_range(F.col("l"), F.col("f"), F.col("s"), F.col("e")), rows, "l string, f string, s int, e int")
+    assert [x and tuple(x) for x in got] == [(4, 7), (4, 7), None, None, None, (0, 0)]
+
+
+def test_bindings(spark):
+    schema = "id string, sha string, n int"
+    a = spark.createDataFrame([("x", "1", 1), ("y", "2", None), ("z", "3", 3)], schema)
+    b = spark.createDataFrame([("x", "1", 1), ("y", "9", 2), ("w", "4", 4)], schema)
+    got = sorted((r["id"], r["problem"]) for r in lineage.binding_violations(a, b, ["id"], ["sha", "n"]).collect())
+    assert got == [("w", "not told"), ("y", "n"), ("y", "sha"), ("z", "missing")]
+
+
+def test_builds_agree_with_their_summary(spark):
+    build = {"source_sha256": "s", "primary_config_sha256": "p", "layout_config_sha256": "l", "chunker_version": "v1", "child_max_chars": 10, "child_overlap_chars": 2}
+    types = "chunk_id string, parent_id string, document_id string, kind string, text string, table_atomic boolean, source_sha256 string, primary_config_sha256 string, layout_config_sha256 string, chunker_version string, child_max_chars int, child_overlap_chars int"
+    frame = lambda rows: spark.createDataFrame([tuple((build | {"table_atomic": False} | r).get(c.split()[0]) for c in types.split(", ")) for r in rows], types)
+    parents = [{"chunk_id": f"p{d}", "document_id": d, "kind": "parent", "text": "whole"} for d in "ab"]
+    children = [{"chunk_id": f"c{d}", "parent_id": f"p{d}", "document_id": d, "kind": "child", "text": "part"} for d in "ab"]
+    documents = spark.createDataFrame([(d, "s", "p", "l") for d in "ab"], "document_id string, source_sha256 string, primary_config_sha256 string, layout_config_sha256 string")
+    print_ = lambda df: lineage.fingerprint(df, "chunk_id", validation.corpus_content()).first()[0]
+
+    def summary(p, c, **change):
+        row = {"document_ids": ["a", "b"], "document_count": 2, "expected_document_count": 2, "parent_count": 2, "child_count": 2, "parent_corpus": print_(p), "child_corpus": print_(c), "chunker_version": "v1", "child_max_chars": 10, "child_overlap_chars": 2} | change
+        return spark.createDataFrame([tuple(row.values())], "document_ids array<string>, document_count int, expected_document_count int, parent_count int, child_count int, parent_corpus string, child_corpus string, chunker_version string, child_max_chars int, child_overlap_chars int")
+
+    p, c = frame(parents), frame(children)
+    found = lambda p, c, s: {(r["id"], r["rule"]) for r in validation.build_violations(p, c, documents, s).collect()}
+    assert found(p, c, summary(p, c)) == set()
+    worse = frame([children[0] | {"text": "x" * 11, "kind": "parent"}, children[1] | {"parent_id": "none", "source_sha256": "old"}])
+    assert found(p, worse, summary(p, c)) == {("ca", "child_kind"), ("ca", "child_too_long"), ("cb", "orphan"), ("cb", "stale_chunk"), ("summary", "child_corpus")}
+    fewer = frame([parents[0], parents[0] | {"parent_id": "pa"}])
+    got = found(fewer, c, summary(fewer, c, document_ids=["b", "a", "z"], child_overlap_chars=10, child_count=3))
+    assert {("pa", "chunk_id_twice"), ("pa", "parent_kind"), ("b", "document_without_parents"), ("z", "document_unknown"), ("cb", "orphan"), ("summary", "document_ids_order"), ("summary", "chunk_sizes"), ("summary", "child_count"), ("summary", "document_count"), ("pa", "stale_chunk")} <= got
