@@ -101,13 +101,36 @@ def fixed_window_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.windows(read(spark, sf, "documents").select("doc_id", "text")).select("doc_id", "start", F.md5("window").alias("digest"))
 
 
-@query("greedy_pack_chunks")
+@query(
+    "greedy_pack_chunks",
+    """WITH RECURSIVE a AS (SELECT doc_id, [x FOR x IN string_split(text, chr(10)) IF trim(x) <> ''] AS its FROM documents),
+    u AS (SELECT doc_id, unnest(its) AS line, generate_subscripts(its, 1) - 1 AS i FROM a),
+    p AS (SELECT doc_id, i, start, least(6000, length(line) - start) AS size FROM (SELECT *, unnest(range(0, greatest(1, length(line)), 6000)) AS start FROM u)),
+    c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i, start) AS k FROM p),
+    r AS (SELECT doc_id, k, i, 0 AS pack, size, size AS total FROM c WHERE k = 1
+      UNION ALL SELECT c.doc_id, c.k, c.i, CASE WHEN r.total + 1 + c.size <= 6000 THEN r.pack ELSE r.pack + 1 END, c.size, CASE WHEN r.total + 1 + c.size <= 6000 THEN r.total + 1 + c.size ELSE c.size END FROM r JOIN c ON c.doc_id = r.doc_id AND c.k = r.k + 1)
+    SELECT doc_id, pack::INT AS pack, min(i)::INT AS first, max(i)::INT AS last, (sum(size) + count(*) - 1)::INT AS n FROM r GROUP BY doc_id, pack""",
+)
 def greedy_pack_chunks(spark: SparkSession, sf: str) -> DataFrame:
     docs = read(spark, sf, "documents").select("doc_id", "text")
     return chunks.packs(docs, "doc_id", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), chunks.PAGE, "\n").select("doc_id", "pack", "first", "last", F.length("text").alias("n"))
 
 
-@query("child_chunks")
+@query(
+    "child_chunks",
+    r"""WITH RECURSIVE u AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY n) AS k, t FROM (SELECT doc_id, unnest(its) AS t, generate_subscripts(its, 1) AS n FROM (SELECT doc_id, [regexp_replace(x, '^\s+|\s+$', '', 'g') FOR x IN string_split(text, chr(10)) IF regexp_matches(x, '\S')] AS its FROM documents))),
+    r AS (SELECT doc_id, 0::BIGINT AS k, '' AS pack, []::VARCHAR[] AS out FROM documents
+      UNION ALL SELECT doc_id, k, CASE WHEN length(next) >= 1600 THEN '' ELSE next END, list_concat(ended, CASE WHEN length(next) >= 1600 THEN [trim(next)] ELSE [] END) FROM (
+        SELECT u.doc_id, u.k,
+          CASE WHEN length(t) > 1600 THEN '' WHEN pack = '' THEN t WHEN length(pack) + 2 + length(t) <= 1600 THEN pack || chr(10) || chr(10) || t
+            ELSE (CASE WHEN ltrim(right(trim(pack), greatest(0, least(160, 1598 - length(t)))::INT), chr(10) || ' ') <> '' THEN ltrim(right(trim(pack), greatest(0, least(160, 1598 - length(t)))::INT), chr(10) || ' ') || chr(10) || chr(10) ELSE '' END) || t END AS next,
+          CASE WHEN length(t) > 1600 THEN list_concat(CASE WHEN pack <> '' THEN [trim(pack)] ELSE [] END, [x FOR x IN [trim(substr(t, a + 1, 1600)) FOR a IN range(0, greatest(1, length(t) - 160), 1440)] IF x <> ''])
+            WHEN pack <> '' AND length(pack) + 2 + length(t) > 1600 THEN [trim(pack)] ELSE [] END AS ended
+        FROM r JOIN u ON u.doc_id = r.doc_id AND u.k = r.k + 1)),
+    l AS (SELECT r.doc_id, max(r.k) AS k FROM r GROUP BY 1),
+    w AS (SELECT doc_id, k, unnest(out) AS t, generate_subscripts(out, 1) AS n FROM r UNION ALL SELECT r.doc_id, r.k + 1, trim(pack), 1 FROM r JOIN l USING (doc_id, k) WHERE pack <> '')
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY k, n) - 1)::INT AS part, false AS atomic, length(t)::INT AS n, md5(t) AS digest FROM w""",
+)
 def child_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Lines play the paragraphs: the driver's texts have no blank lines."""
     docs = read(spark, sf, "documents").select("doc_id", F.replace("text", F.lit("\n"), F.lit("\n\n")).alias("text"))

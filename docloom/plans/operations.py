@@ -116,12 +116,24 @@ def index_statistics(spark: SparkSession, sf: str) -> DataFrame:
     return built.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("tf"))
 
 
-@query("pseudo_embedding")
+@query("pseudo_embedding", "WITH d AS (SELECT doc_id, sha256(text || '#0') || sha256(text || '#1') AS digits FROM documents), p AS (SELECT *, unnest(range(0, 64)) AS place FROM d) SELECT doc_id, place::INT AS place, round((('0x' || substr(digits, place * 2 + 1, 2))::INT / 255.0 - 0.5)::DOUBLE, 6) AS value FROM p")
 def pseudo_embedding(spark: SparkSession, sf: str) -> DataFrame:
-    return read(spark, sf, "documents").select("doc_id", writers.pseudo_embedding(F.col("text"), 64).alias("embedding"))
-
-
-@query("turn_outcomes")
+    rows = read(spark, sf, "documents").select("doc_id", F.posexplode(writers.pseudo_embedding(F.col("text"), 64)).alias("place", "value"))
+    return rows.select("doc_id", "place", F.round(F.col("value").cast("double"), 6).alias("value"))
+
+
+@query(
+    "turn_outcomes",
+    """WITH RECURSIVE e AS (SELECT user_id AS conv_id, epoch_us(ts) / 1000000.0::DOUBLE AS "at", (event_id % 2)::VARCHAR AS attempt_id, CASE event_id % 3 WHEN 0 THEN 'start' WHEN 1 THEN 'complete' ELSE 'fail' END AS kind FROM events),
+    o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY "at", attempt_id, kind) AS k FROM e),
+    r AS (SELECT DISTINCT conv_id, 0::BIGINT AS k, NULL::DOUBLE AS "at", NULL::VARCHAR AS attempt_id, NULL::VARCHAR AS kind, NULL::VARCHAR AS outcome, NULL::VARCHAR AS own, 0.0::DOUBLE AS since, 'none' AS state FROM e
+      UNION ALL SELECT conv_id, k, "at", attempt_id, kind, outcome, CASE WHEN outcome IN ('took_over', 'accepted') AND kind = 'start' THEN attempt_id ELSE own END, CASE WHEN outcome IN ('took_over', 'accepted') AND kind = 'start' THEN "at" ELSE since END,
+        CASE WHEN outcome IN ('replayed', 'busy', 'stale') THEN state WHEN kind = 'start' THEN 'pending' WHEN outcome = 'expired' OR kind = 'fail' THEN 'failed' ELSE 'completed' END
+      FROM (SELECT o.*, r.own, r.since, r.state, CASE WHEN o.kind = 'start' THEN CASE WHEN state = 'pending' AND own = o.attempt_id THEN 'replayed' WHEN state = 'pending' AND o."at" < since + 600 THEN 'busy' WHEN state = 'pending' THEN 'took_over' ELSE 'accepted' END
+          WHEN state <> 'pending' OR own <> o.attempt_id THEN 'stale' WHEN o."at" >= since + 600 THEN 'expired' ELSE 'accepted' END AS outcome
+        FROM r JOIN o ON o.conv_id = r.conv_id AND o.k = r.k + 1))
+    SELECT conv_id, "at", attempt_id, kind, outcome, state FROM r WHERE k > 0""",
+)
 def turn_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """Events as starts and ends of attempts of a user's conversation."""
     kind = F.expr("CASE event_id % 3 WHEN 0 THEN 'start' WHEN 1 THEN 'complete' ELSE 'fail' END")

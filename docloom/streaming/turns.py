@@ -10,6 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -48,13 +49,26 @@ _NAMES = ["conv_id", "at", "attempt_id", "kind", "outcome", "state"]
 
 
 def outcomes(events: DataFrame) -> DataFrame:
-    """(conv_id, at, attempt_id, kind, outcome, state) of a table of events (conv_id, at, attempt_id, kind)."""
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(["at", "attempt_id", "kind"])
-        return pd.DataFrame(_rows(int(pdf["conv_id"].iloc[0]), (None, 0.0, "none"), ordered[["at", "attempt_id", "kind"]].itertuples(index=False, name=None))[1], columns=_NAMES)
-
-    return events.select("conv_id", "at", "attempt_id", "kind").groupBy("conv_id").applyInPandas(fold, OUTPUT)
+    """(conv_id, at, attempt_id, kind, outcome, state) of a table of events (conv_id, at, attempt_id, kind).
+
+    Conversations are dealt by their id and sorted within the task, which goes through them row by row: no conversation is gathered.
+    """
+    columns = ["conv_id", "at", "attempt_id", "kind"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        conv, held = object(), (None, 0.0, "none")
+        for batch in batches:
+            told, states = [], []
+            for own, *event in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if own != conv:
+                    conv, held = own, (None, 0.0, "none")
+                held, outcome = step(held, tuple(event))
+                told.append(outcome)
+                states.append(held[2])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(told, pa.string()), pa.array(states, pa.string())], _NAMES)
+
+    dealt = events.select(F.col("conv_id").cast("long"), F.col("at").cast("double"), F.col("attempt_id").cast("string"), F.col("kind").cast("string"))
+    return dealt.repartition("conv_id").sortWithinPartitions(*columns).mapInArrow(run, OUTPUT)
 
 
 def outcome_stream(events: DataFrame) -> DataFrame:
