@@ -41,17 +41,32 @@ def bounded(fields: list[str]) -> Column:
     return F.coalesce(told, F.lit(False))
 
 
-def per_unit_ceiling() -> Column:
-    """Points a litre under a limit a visit: the limit is on what is bought. Bound by evidence within two lines of each other."""
+def per_unit_ceiling(source: Column | None = None) -> Column:
+    """Points a litre under a limit a visit: the limit is on what is bought.
+
+    ``source``: map of line id to the source's text, or none. Lines that say 'a litre', by their text or by what a field took from
+    them, and the lines of cap, value and condition all lie in the scope's lines; a benefit's field stands on one of the
+    first; the cap is within two lines of each.
+    """
     c = F.col
     context = F.concat(dense(c("target")), dense(c("benefit_type")), dense(c("condition")))
     worded = dense(c("action")).contains("적립") & dense(c("unit")).rlike("포인트|마일리지") & dense(c("cap")).rlike(ONE_TIME_LIMIT) & context.rlike("주유|리터")
-    litre = F.array_distinct(F.flatten(F.array(*[F.transform(F.filter(F.coalesce(c("field_evidence")[f], F.array().cast("array<struct<line_id:string,fragment:string>>")), lambda e: dense(e["fragment"]).contains("리터당")), lambda e: e["line_id"]) for f in ("target", "action", "value", "unit", "condition")])))
-    near = evidence_near(line_ids("cap"), line_ids("value")) & evidence_near(line_ids("cap"), line_ids("condition")) & evidence_near(line_ids("cap"), litre)
-    return worded & (c("relation_scope.scope_type") == "bounded_block") & bounded(["cap", "value", "condition"]) & near
-
-
-def cap_rule() -> Column:
+    fields = ("target", "action", "value", "unit", "condition")
+    none = F.array().cast("array<struct<line_id:string,fragment:string>>")
+    litre = F.flatten(F.array(*[F.transform(F.filter(F.coalesce(c("field_evidence")[f], none), lambda e: dense(e["fragment"]).contains("리터당")), lambda e: e["line_id"]) for f in fields]))
+    if source is not None:
+        litre = F.concat(litre, F.coalesce(F.map_keys(F.map_filter(source, lambda k, v: dense(v).contains("리터당"))), F.array().cast("array<string>")))
+    scope = F.coalesce("relation_scope.line_ids", F.array().cast("array<string>"))
+    needed = [line_ids(f) for f in ("cap", "value", "condition")]
+    placed = F.size(litre) > 0
+    for ids in (*needed, litre):
+        placed &= (F.size(ids) > 0) & (F.size(F.array_except(ids, scope)) == 0)
+    placed &= F.arrays_overlap(litre, F.flatten(F.array(*map(line_ids, fields))))
+    near = evidence_near(needed[0], needed[1]) & evidence_near(needed[0], needed[2]) & evidence_near(needed[0], litre)
+    return F.coalesce(worded & (c("relation_scope.scope_type") == "bounded_block") & placed & near, F.lit(False))
+
+
+def cap_rule(source: Column | None = None) -> Column:
     """The first rule by which a cap's amount is no payout cap, or null."""
     c = F.col
     cap, benefit, action, target = (dense(c(x)) for x in ("cap", "benefit_type", "action", "target"))
@@ -61,17 +76,17 @@ def cap_rule() -> Column:
         .when(cap.rlike(RECOGNISED), "recognized_purchase_amount_is_not_payout_cap")
         .when(target.contains("이용금액") & (benefit.contains("적립대상") | action.contains("적립대상")) & cap.rlike(MONTHLY_SUM), "recognized_purchase_amount_is_not_payout_cap")
         .when(cap.rlike(TRANSACTION_CEILING), "per_transaction_spend_is_not_payout_cap")
-        .when(per_unit_ceiling(), "non_krw_accrual_transaction_ceiling")
+        .when(per_unit_ceiling(source), "non_krw_accrual_transaction_ceiling")
     )
 
 
 def repaired(facts: DataFrame) -> DataFrame:
-    """Derived facts (with field_evidence and relation_scope) after both stages of repairs, and ``rules``: what was applied."""
+    """Derived facts (with field_evidence, relation_scope, and perhaps source_lines, a map of line id to text) after both stages of repairs, and ``rules``: what was applied."""
     c = F.col
     action, benefit, value, target, condition = (dense(c(x)) for x in ("action", "benefit_type", "value", "target", "condition"))
     stated = F.coalesce("condition", F.lit("")).rlike(NO_SPEND_RAW)
     voucher = benefit.contains("바우처") & action.rlike("교환|전환") & ~F.concat(action, benefit).rlike("적립|캐시백") & (c("action_kind.value").isNotNull() | (c("action_kind.state") != "unknown"))
-    rule = F.when(c("cap_amount.state") == "known", cap_rule())
+    rule = F.when(c("cap_amount.state") == "known", cap_rule(c("source_lines") if "source_lines" in facts.columns else None))
     first = facts.withColumns({"_stated": stated, "_voucher": voucher, "_cap_rule": rule})
     zero = F.struct(F.lit(0).cast("long").alias("value"), F.lit("gte").alias("operator"), F.lit("known").alias("state"))
     unknown = F.lit("unknown").alias("state")

@@ -128,3 +128,22 @@ def test_repairs(spark):
         "unbound": [],
     }
     assert got["none"]["spend"]["value"] == 0 and got["ceiling"]["cap_amount"]["state"] == "unknown" and got["free"]["action_kind"]["state"] == "true"
+
+
+def test_a_litre_told_by_the_source_alone(spark):
+    """The line that says 'a litre' must lie in the scope, near the cap, and carry one of the benefit's fields."""
+    fact = {"target": "주유", "action": "적립", "unit": "포인트", "cap": "1회 10만원 한도", "value": "10", "condition": "주유 시"}
+    line = lambda n: f"P0001-L{n:04d}"
+    ev = lambda cap, rest: {"cap": [(line(cap), "x")]} | {f: [(line(rest), "x")] for f in ("target", "action", "value", "unit", "condition")}
+    all_lines = [line(i) for i in range(1, 9)]
+    rows = [
+        ("told", ev(2, 1), all_lines, {line(1): "리터 당 10포인트"}),
+        ("silent", ev(2, 1), all_lines, {line(1): "10포인트"}),
+        ("outside", ev(2, 1), [line(1), line(2)], {line(1): "리터당", line(3): "리터당"}),
+        ("far", ev(6, 1), all_lines, {line(1): "리터당"}),
+        ("elsewhere", ev(2, 1), all_lines, {line(3): "리터당"}),
+    ]
+    df = structured.derived(facts(spark, *((d, fact) for d, *_ in rows)))
+    extra = spark.createDataFrame([(d, e, ("bounded_block", ids, []), s) for d, e, ids, s in rows], "document_id string, field_evidence map<string,array<struct<line_id:string,fragment:string>>>, relation_scope struct<scope_type:string,line_ids:array<string>,row_line_ids:array<string>>, source_lines map<string,string>")
+    got = {r["document_id"]: r["rules"] for r in repairs.repaired(df.join(extra, "document_id")).collect()}
+    assert got == {"told": ["non_krw_accrual_transaction_ceiling"], "silent": [], "outside": [], "far": [], "elsewhere": []}
