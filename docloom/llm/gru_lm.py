@@ -346,9 +346,10 @@ def averaged(docs: DataFrame, net: Network, parts: int, expected: float, cells:
         for cell, (n, total) in held.items():
             yield pa.RecordBatch.from_pydict({"cell": pa.array([cell], pa.int32()), "weights": pa.array([(total / n).astype("<f4").tobytes()], pa.binary())})
 
-    dealt = docs.select(F.pmod(F.xxhash64("row_key", F.lit(43)), F.lit(parts)).alias("part"), "row_key", "text").repartition(parts, "part").sortWithinPartitions("part", "row_key")
+    # a partition a part: dealing by the part's hash would put several into one task
+    dealt = docs.select(F.pmod(F.xxhash64("row_key", F.lit(43)), F.lit(parts)).alias("part"), "row_key", "text").repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "row_key")
     copies = dealt.select("part", "text").mapInArrow(run, "part long, cell int, tokens long, weights binary")
-    rows = copies.repartition(cells, "cell").sortWithinPartitions("cell", "part").select("cell", "tokens", "weights").mapInArrow(summed, "cell int, weights binary").collect()  # the weights of one network
+    rows = copies.repartitionById(cells, "cell").sortWithinPartitions("cell", "part").select("cell", "tokens", "weights").mapInArrow(summed, "cell int, weights binary").collect()  # the weights of one network
     if len(rows) < cells:
         return None
     return np.concatenate([np.frombuffer(r["weights"], "<f4") for r in sorted(rows, key=lambda r: r["cell"])])
