@@ -10,7 +10,7 @@ reads the sums, whose number depends on the codebooks and not on the rows, and a
 Defined cases: rows with a null id, a null vector or null or non-finite components are left out, as are empty vectors and those that don't
 have the length of the first one or can't be cut into equal parts; with fewer vectors than entries a codebook has as many entries as
 there are vectors; repeated ids are separate rows, the least vector counting first in the start; ties go to the lower entry; an entry without
-parts stays; rows of null labels share one sum; rounds end early when no part has moved; squared distances are exact below 2**53; extra columns are ignored; an empty table gives no rows.
+parts stays; rows of null labels share one sum; rounds end early when no part has moved; squared distances are exact below 2**53, and components farther than 2**26 from nought after scaling count as 2**26; a label whose errors leave 64 bits has a null sum; extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from docloom.llm.common import staged
 
 PARTS, ENTRIES, ROUNDS, SCALE = 4, 256, 4, 1024
+#: How far from nought a whole component may lie: beyond that it is moved here, so that no sum of rows leaves 64 bits.
+FAR = float(1 << 26)
 #: Labels up to which their sums are broadcast.
 FEW_LABELS = 10_000
 _SUMS = "part int, entry int, place int, n long"
@@ -111,7 +113,7 @@ def compressed(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, r
     kept = named.where(F.col("id").isNotNull() & (F.size("vector") > 0) & finite)
     first = kept.orderBy("id", "vector").limit(1).collect()
     dims = len(first[0]["vector"]) if first else parts
-    kept = kept.where((F.size("vector") == dims) & F.lit(dims % parts == 0)).withColumn("vector", F.transform("vector", lambda x: F.floor(scale * x)))
+    kept = kept.where((F.size("vector") == dims) & F.lit(dims % parts == 0)).withColumn("vector", F.transform("vector", lambda x: F.floor(F.greatest(F.lit(-FAR), F.least(F.lit(FAR), scale * x)))))
     start = [r[0] for r in kept.orderBy("id", "vector").limit(entries).select("vector").collect()]
     width = dims // parts
     books = np.array(start, np.int64).reshape(len(start), parts, -1).transpose(1, 0, 2) if start else np.zeros((parts, 0, width), np.int64)
@@ -142,7 +144,7 @@ def compressed(vectors: DataFrame, parts: int = PARTS, entries: int = ENTRIES, r
         if same:
             break
     last = staged(assigned(state, books, kind).select("id", "label", "code", "error"), "codes")
-    by_label = staged(last.groupBy("label").agg(F.sum("error").alias("label_error")).withColumnRenamed("label", "_label"), "labels")
+    by_label = staged(last.groupBy("label").agg(F.try_sum("error").alias("label_error")).withColumnRenamed("label", "_label"), "labels")
     by_label = F.broadcast(by_label) if by_label.count() <= FEW_LABELS else by_label
     return last.join(by_label, F.col("label").eqNullSafe(F.col("_label"))).drop("_label"), books
 
