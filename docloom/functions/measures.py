@@ -11,22 +11,55 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+def _places(longer: np.ndarray, symbols: np.ndarray) -> dict[int, int]:
+    """For each symbol the bits of the places that hold it."""
+    order = np.argsort(longer, kind="stable")
+    begins, ends = np.searchsorted(longer[order], symbols), np.searchsorted(longer[order], symbols, "right")
+    out = {}
+    for symbol, a, b in zip(symbols.tolist(), begins.tolist(), ends.tolist(), strict=True):
+        bits = np.zeros(len(longer) // 8 + 1, np.uint8)
+        at = order[a:b]
+        np.bitwise_or.at(bits, at >> 3, (1 << (at & 7)).astype(np.uint8))
+        out[symbol] = int.from_bytes(bits.tobytes(), "little")
+    return out
+
+
+def code_distance(a: np.ndarray, b: np.ndarray) -> int:
+    """Edit distance of two arrays of numbers: differences of neighbouring cells of a column are bits of whole numbers, so a step of the shorter array takes a few operations on them."""
+    n = min(len(a), len(b))
+    same = np.append(a[:n] == b[:n], False)
+    head = int(np.argmin(same))
+    a, b, n = a[head:], b[head:], n - head
+    same = np.append(a[::-1][:n] == b[::-1][:n], False)
+    tail = int(np.argmin(same))
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    longer, shorter = (a, b) if len(a) >= len(b) else (b, a)
+    if not len(shorter):
+        return len(longer)
+    at = _places(longer, np.unique(shorter))
+    every, last = (1 << len(longer)) - 1, len(longer) - 1
+    up, down, distance = every, 0, len(longer)  # cells that are one more, and one less, than the cell above
+    for symbol in shorter.tolist():
+        equal = at[symbol] | down
+        diagonal = (((equal & up) + up) ^ up) | equal
+        right = down | (every & ~(diagonal | up))
+        left = up & diagonal
+        distance += (right >> last & 1) - (left >> last & 1)
+        right = right << 1 | 1
+        up = (left << 1 | ~(diagonal | right)) & every
+        down = right & diagonal & every
+    return distance
+
+
 def sequence_distance(a: list, b: list) -> int:
-    """Edit distance of two lists, a row of the table at a time."""
-    if len(a) < len(b):
-        a, b = b, a
-    if not b:
-        return len(a)
-    number = {x: i for i, x in enumerate({*a, *b})}
-    y = np.array([number[x] for x in b])
-    row = np.arange(len(b) + 1)
-    steps = np.arange(len(b) + 1)
-    for i, x in enumerate(a, 1):
-        best = np.empty_like(row)
-        best[0] = i
-        best[1:] = np.minimum(row[1:] + 1, row[:-1] + (y != number[x]))
-        row = np.minimum.accumulate(best - steps) + steps  # insertions run along the row
-    return int(row[-1])
+    """Edit distance of two lists of anything that can be a key."""
+    number: dict = {}
+    codes = [np.fromiter((number.setdefault(x, len(number)) for x in xs), np.int64, len(xs)) for xs in (a, b)]
+    return code_distance(*codes)
+
+
+def string_distance(a: str, b: str) -> int:
+    return code_distance(*(np.frombuffer(x.encode("utf-32-le", "surrogatepass"), np.uint32) for x in (a, b)))
 
 
 @F.pandas_udf(T.IntegerType())
@@ -35,6 +68,22 @@ def list_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else sequence_distance(list(x), list(y)) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
+@F.pandas_udf(T.IntegerType())
+def long_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Edit distance of two long texts."""
+    return pd.Series([None if x is None or y is None else string_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
+
+
+#: Cells up to which the built-in distance is the faster one.
+CELLS = 100_000
+
+
+def text_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two texts of any length: the built-in function on short ones, bits of whole numbers on long ones."""
+    cells = F.length(a).cast("long") * F.length(b)
+    return F.when(cells <= CELLS, F.levenshtein(a, b)).otherwise(long_distance(F.when(cells > CELLS, a), F.when(cells > CELLS, b)))
+
+
 @F.pandas_udf(T.DoubleType())
 def matching_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     """Twice the matched characters over all characters, by longest matching blocks."""
@@ -49,12 +98,12 @@ def error_rate(distance: Column, reference: Column) -> Column:
 def character_errors(reference: Column, given: Column) -> Column:
     """Edit distance over the reference's length; blanks don't count."""
     a, b = (F.regexp_replace(x, r"(?U)\s+", "") for x in (reference, given))
-    return error_rate(F.levenshtein(a, b), F.length(a))
+    return error_rate(text_distance(a, b), F.length(a))
 
 
 def normalized_distance(reference: Column, given: Column) -> Column:
     a, b = (F.regexp_replace(x, r"(?U)\s+", "") for x in (reference, given))
-    return error_rate(F.levenshtein(a, b), F.greatest(F.length(a), F.length(b)))
+    return error_rate(text_distance(a, b), F.greatest(F.length(a), F.length(b)))
 
 
 def word_errors(reference: Column, given: Column) -> Column:
@@ -65,7 +114,7 @@ def word_errors(reference: Column, given: Column) -> Column:
 def table_content(reference: Column, candidate: Column) -> Column:
     """1 less the normalised edit distance of all cells of two arrays of rows, blanks dropped."""
     a, b = (F.regexp_replace(F.array_join(F.flatten(t), " "), r"(?U)\s+", "") for t in (reference, candidate))
-    return F.greatest(F.lit(0.0), 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)))
+    return F.greatest(F.lit(0.0), 1 - text_distance(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1)))
 
 
 def table_structure(reference: Column, candidate: Column) -> Column:

@@ -70,7 +70,7 @@ def exclude_targets(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "explicit_scope_longest_match",
     """WITH q AS (SELECT doc_id AS query, replace(replace(replace(lower(text), ' ', ''), chr(10), ''), chr(9), '') AS t FROM documents),
-    n AS (SELECT DISTINCT lower(substr(regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+'), 1, 30)) AS name, item_id AS key FROM benchmark),
+    n AS (SELECT DISTINCT lower(regexp_extract(text, '^[A-Za-z]+ [A-Za-z]+')) AS name, item_id AS key FROM benchmark),
     f AS (SELECT replace(name, ' ', '') AS form, count(DISTINCT key) AS keys, min(key) AS key FROM n WHERE length(replace(name, ' ', '')) >= 4 GROUP BY 1),
     hit AS (SELECT query, form, keys, key, t FROM q JOIN f ON contains(t, form)),
     x AS (SELECT a.query, a.form, a.keys, a.key, a.t, list(b.form ORDER BY length(b.form) DESC) FILTER (WHERE b.form IS NOT NULL) AS longer FROM hit a LEFT JOIN hit b ON a.query = b.query AND length(b.form) > length(a.form) AND contains(b.form, a.form) GROUP BY ALL),
@@ -79,7 +79,7 @@ def exclude_targets(spark: SparkSession, sf: str) -> DataFrame:
 )
 def explicit_scope_longest_match(spark: SparkSession, sf: str) -> DataFrame:
     asked = read(spark, sf, "documents").select(F.col("doc_id").alias("query"), "text")
-    names = read(spark, sf, "benchmark").select(F.col("item_id").alias("key"), F.substring(F.regexp_extract("text", "^[A-Za-z]+ [A-Za-z]+", 0), 1, 30).alias("name"))
+    names = read(spark, sf, "benchmark").select(F.col("item_id").alias("key"), F.regexp_extract("text", "^[A-Za-z]+ [A-Za-z]+", 0).alias("name"))
     return structured.explicit_scope(asked, names)
 
 

@@ -111,12 +111,17 @@ def numeric_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return read(spark, sf, "documents").select("doc_id", F.explode(text.numeric_tokens(F.col("text"))).alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _counts(spark: SparkSession, sf: str, tokens) -> DataFrame:
-    """Counts of the tokens of a document and of the next one with its source."""
+def _following(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole texts of a document and of the next one with its source."""
     docs = read(spark, sf, "documents")
     next_ids = ranking.following(docs, "source", "doc_id").where("next IS NOT NULL").select("doc_id", "next")
     others = docs.select(F.col("doc_id").alias("next"), F.col("text").alias("other")).where("other IS NOT NULL")
-    pairs = docs.select("doc_id", "text").join(next_ids, "doc_id").join(others, "next")
+    return docs.select("doc_id", "source", "text").join(next_ids, "doc_id").join(others, "next")
+
+
+def _counts(spark: SparkSession, sf: str, tokens) -> DataFrame:
+    """Counts of the tokens of a document and of the next one with its source."""
+    pairs = _following(spark, sf)
     rows = pairs.select("doc_id", F.explode(F.concat(F.transform(tokens(F.col("text")), lambda t: F.struct(t.alias("token"), F.lit(1).alias("r"), F.lit(0).alias("c"))), F.transform(tokens(F.col("other")), lambda t: F.struct(t.alias("token"), F.lit(0).alias("r"), F.lit(1).alias("c"))))).alias("x"))
     return rows.groupBy("doc_id", "x.token").agg(F.sum("x.r").alias("n_reference"), F.sum("x.c").alias("n_candidate"))
 
@@ -142,30 +147,34 @@ def numeric_multiset_f1(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _labels(spark: SparkSession, sf: str) -> DataFrame:
-    """Whole texts of a turn and of the next turn of its conversation, in ASCII."""
-    w = W.partitionBy("conv_id").orderBy("turn")
-    plain = F.regexp_replace("text", "[^ -~]", "")
-    return read(spark, sf, "conversations").select("conv_id", "turn", "role", plain.alias("reference")).withColumn("given", F.lead("reference").over(w)).where("given IS NOT NULL")
+    """The ASCII characters of a document's whole text and of the next one's with its source."""
+    plain = lambda c: F.regexp_replace(c, "[^\\t\\n -~]", "")
+    return _following(spark, sf).select("doc_id", "source", plain("text").alias("reference"), plain("other").alias("given")).where("reference IS NOT NULL")
 
 
-_LABELS = "p AS (SELECT conv_id, turn, role, regexp_replace(text, '[^ -~]', '', 'g') AS reference FROM conversations), v AS (SELECT * FROM (SELECT *, lead(reference) OVER (PARTITION BY conv_id ORDER BY turn) AS given FROM p) WHERE given IS NOT NULL)"
+_LABELS = """p AS (SELECT doc_id, source, regexp_replace(text, '[^\t\n -~]', '', 'g') AS reference FROM documents),
+v AS (SELECT * FROM (SELECT *, lead(reference) OVER (PARTITION BY source ORDER BY doc_id) AS given FROM p) WHERE given IS NOT NULL AND reference IS NOT NULL),
+c AS (SELECT doc_id, source, regexp_replace(reference, '[\t\n ]+', '', 'g') AS a, regexp_replace(given, '[\t\n ]+', '', 'g') AS b FROM v)"""
 
 
-@query("levenshtein_cer", f"WITH {_LABELS}, c AS (SELECT conv_id, turn, replace(reference, ' ', '') AS a, replace(given, ' ', '') AS b FROM v) SELECT conv_id, turn, round(levenshtein(a, b) / nullif(length(a), 0), 6) AS cer, round(levenshtein(a, b) / nullif(greatest(length(a), length(b)), 0), 6) AS distance FROM c")
+@query("levenshtein_cer", f"WITH {_LABELS} SELECT doc_id, round(levenshtein(a, b) / nullif(length(a), 0), 6) AS cer, round(levenshtein(a, b) / nullif(greatest(length(a), length(b)), 0), 6) AS distance FROM c")
 def levenshtein_cer(spark: SparkSession, sf: str) -> DataFrame:
     a, b = F.col("reference"), F.col("given")
-    return _labels(spark, sf).select("conv_id", "turn", F.round(measures.character_errors(a, b), 6).alias("cer"), F.round(measures.normalized_distance(a, b), 6).alias("distance"))
+    return _labels(spark, sf).select("doc_id", F.round(measures.character_errors(a, b), 6).alias("cer"), F.round(measures.normalized_distance(a, b), 6).alias("distance"))
 
 
 @query("wer")
 def wer(spark: SparkSession, sf: str) -> DataFrame:
-    return _labels(spark, sf).select("conv_id", "turn", F.round(measures.word_errors(F.col("reference"), F.col("given")), 6).alias("wer"))
+    """A recursive distance over some hundred words is too slow in SQL: a test holds the query against plain loops."""
+    return _labels(spark, sf).select("doc_id", F.round(measures.word_errors(F.col("reference"), F.col("given")), 6).alias("wer"))
 
 
-@query("micro_error_rates", f"WITH {_LABELS}, c AS (SELECT role, replace(reference, ' ', '') AS a, replace(given, ' ', '') AS b FROM v) SELECT role, round(sum(levenshtein(a, b)) / sum(length(a)), 6) AS cer, round(greatest(0, 1 - sum(levenshtein(a, b)) / sum(greatest(length(a), length(b)))), 6) AS similarity FROM c GROUP BY role")
+@query("micro_error_rates", f"WITH {_LABELS} SELECT source, round(sum(levenshtein(a, b)) / sum(length(a)), 6) AS cer, round(greatest(0, 1 - sum(levenshtein(a, b)) / sum(greatest(length(a), length(b)))), 6) AS similarity FROM c GROUP BY source")
 def micro_error_rates(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _labels(spark, sf).select("role", F.replace("reference", F.lit(" "), F.lit("")).alias("a"), F.replace("given", F.lit(" "), F.lit("")).alias("b")).withColumn("d", F.levenshtein("a", "b"))
-    return rows.groupBy("role").agg(F.round(F.sum("d") / F.sum(F.length("a")), 6).alias("cer"), F.round(F.greatest(F.lit(0.0), 1 - F.sum("d") / F.sum(F.greatest(F.length("a"), F.length("b")))), 6).alias("similarity"))
+    dense = lambda c: F.regexp_replace(c, "[\\t\\n ]+", "")
+    rows = _labels(spark, sf).select("source", dense("reference").alias("a"), dense("given").alias("b"))
+    rows = rows.select("source", "a", "b", measures.text_distance(F.col("a"), F.col("b")).alias("d"))
+    return rows.groupBy("source").agg(F.round(F.sum("d") / F.sum(F.length("a")), 6).alias("cer"), F.round(F.greatest(F.lit(0.0), 1 - F.sum("d") / F.sum(F.greatest(F.length("a"), F.length("b")))), 6).alias("similarity"))
 
 
 @query(

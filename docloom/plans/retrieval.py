@@ -19,8 +19,8 @@ def _docs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _index(spark: SparkSession, sf: str) -> lexical.Index:
-    """The stored index of the documents: the first query of a state of the table writes it, the rest read it."""
-    return writers.stored_postings(_docs(spark, sf), "doc_id", lexical.ascii_tokens(F.col("text")), shared_folder(spark))
+    """The stored index of the documents: the first query of the application writes it, the rest read it."""
+    return writers.stored_postings(_docs(spark, sf), "doc_id", lexical.ascii_tokens(F.col("text")), f"{shared_folder(spark)}/index-{spark.sparkContext.applicationId}")
 
 
 def _terms(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -152,14 +154,53 @@ def write_postings(docs: DataFrame, id_col: str, tokens: Column, root: str) -> l
     return read_postings(spark, root)
 
 
-def stored_postings(docs: DataFrame, id_col: str, tokens: Column, folder: str) -> lexical.Index:
-    """The index of a corpus read from files, written to the folder once for each state of these files and read back ever after."""
-    spark = docs.sparkSession
+#: The layout of stored postings; a change of tables or columns takes a new number.
+POSTINGS_FORMAT = 3
+
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.size())]
+
+
+def _tree(*nodes) -> Iterator:
+    """The nodes of a plan or of expressions, and all below them."""
+    for node in nodes:
+        yield node
+        yield from _tree(*_items(node.children()))
+
+
+def plan_text(df: DataFrame) -> str:
+    """What df computes, in words that don't depend on the session: tables of one relation of files only, without Python functions or random numbers, whose text wouldn't tell two apart."""
+    spark, key = df.sparkSession, "spark.sql.debug.maxToStringFields"
+    analyzed = df._jdf.queryExecution().analyzed()  # noqa: SLF001
+    leaves = analyzed.collectLeaves()
+    if leaves.size() != 1 or leaves.apply(0).getClass().getSimpleName() != "LogicalRelation":
+        raise ValueError("an index is stored of rows that are read from one table of files")
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(1 << 20))
+    try:
+        told = analyzed.canonicalized().toString()
+    finally:
+        spark.conf.set(key, before)
+    kinds = {e.getClass().getSimpleName() for node in _tree(analyzed) for e in _tree(*_items(node.expressions()))}
+    if not analyzed.deterministic() or any("UDF" in k for k in kinds):
+        raise ValueError("the text of a function of the user's doesn't tell what it does: write the index by write_postings")
+    return told
+
+
+def postings_root(docs: DataFrame, id_col: str, tokens: Column, folder: str) -> str:
+    """Where the index of docs is stored: named by the state of the files, what is computed from their rows (filters, tokenizer, ids) and the format."""
     files = docs.select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct()
     state = fingerprint(files.withColumn("k", F.col("file_path")), "k", F.to_json(F.struct(*files.columns))).first()[0]
-    root = f"{folder}/docloom-postings-{state[:24]}"
-    put_in_place(spark, root, lambda own: write_postings(docs, id_col, tokens, own))
-    return read_postings(spark, root)
+    told = plan_text(docs.select(F.col(id_col), tokens))
+    return f"{folder}/docloom-postings-{hashlib.sha256(f'{POSTINGS_FORMAT} {state} {told}'.encode()).hexdigest()[:24]}"
+
+
+def stored_postings(docs: DataFrame, id_col: str, tokens: Column, folder: str) -> lexical.Index:
+    """The index of rows read from files, written to the folder once for each state of the files, filter, tokenizer and format, and read back ever after."""
+    root = postings_root(docs, id_col, tokens, folder)
+    put_in_place(docs.sparkSession, root, lambda own: write_postings(docs, id_col, tokens, own))
+    return read_postings(docs.sparkSession, root)
 
 
 def read_postings(spark: SparkSession, root: str) -> lexical.Index:

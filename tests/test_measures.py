@@ -23,6 +23,40 @@ def test_sequence_distance(a, b):
     assert measures.sequence_distance(a, b) == plain_distance(a, b)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.text("ab\U0001f600", max_size=200), st.text("abc\U0001f600", max_size=90))
+def test_string_distance(a, b):
+    assert measures.string_distance(a, b) == plain_distance(a, b)
+    assert measures.string_distance("x" + a + "yy", "x" + b + "yy") == plain_distance(a, b)
+
+
+def test_text_distance_of_short_and_long_texts(spark, monkeypatch):
+    draw = random.Random(4)
+    rows = [("".join(draw.choice("abcé") for _ in range(n)), "".join(draw.choice("abcé") for _ in range(m))) for n, m in ((0, 0), (0, 5), (30, 20), (400, 300), (700, 1), (350, 350))] + [(None, "a"), ("a", None), ("a" * 2000, "a" * 1999 + "b")]
+    got = spark.createDataFrame(rows, "a string, b string").select("a", "b", measures.text_distance(F.col("a"), F.col("b")).alias("d"), F.levenshtein("a", "b").alias("built_in")).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert r["d"] == r["built_in"] == (None if r["a"] is None or r["b"] is None else plain_distance(r["a"], r["b"]))
+
+
+def test_wer_query_against_loops(spark, tmp_path):
+    """Whole texts of a document and of the next one with its source."""
+    from docloom.plans.lane_queries import wer
+
+    draw = random.Random(9)
+    words = ["a", "b", "Größe", "c,", "x\ny", "z\t"]
+    rows = [(i, None if i == 4 else " ".join(draw.choice(words) for _ in range(draw.choice([0, 1, 7, 300]))), "en", f"s{i % 3}", 0) for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    plain = lambda t: "".join(c for c in t if c in "\t\n" or " " <= c <= "~")
+    want = {}
+    for i, t, _, _, _ in rows:
+        other = rows[i + 3][1] if i + 3 < 30 else None
+        if t is not None and other is not None:
+            a, b = plain(t).split(), plain(other).split()
+            want[i] = round(plain_distance(a, b) / len(a), 6) if a else None
+    assert {r["doc_id"]: r["wer"] for r in wer(spark, str(tmp_path)).collect()} == want
+
+
 def forest_distance(f, g, contents):
     """The recursion that defines the distance, on forests of (kind, text, children)."""
     size = lambda t: sum(1 + size(x[2]) for x in t)

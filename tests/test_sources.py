@@ -180,3 +180,32 @@ def test_the_stored_index_follows_its_files(spark, tmp_path):
     assert len(stored) == 1
     spark.createDataFrame([(3, "c")], "id long, text string").write.mode("append").parquet(docs)
     assert read().corpus.first()["n_docs"] == 3
+
+
+def test_stored_postings_are_told_apart(spark, tmp_path, monkeypatch):
+    """Another tokenizer, filter, id or format of the same files has an index of its own."""
+    path, store = f"{tmp_path}/docs", f"file://{tmp_path}/store"
+    spark.createDataFrame([(1, "Ab cd", "x"), (2, "ab ef", "x"), (3, "cd", "y")], "id long, text string, src string").coalesce(1).write.parquet(path)
+    words, letters = lexical.ascii_tokens(F.col("text")), F.regexp_extract_all(F.lower("text"), F.lit("[a-z]"), F.lit(0))
+    docs = lambda: spark.read.parquet(path)
+    size = lambda d, t=words, i="id": writers.stored_postings(d, i, t, store).corpus.first()["n_docs"]
+    assert size(docs().where("src = 'x'")) == 2
+    assert size(docs()) == 3
+    assert size(docs().where("src = 'y'")) == 1
+    terms = lambda t: {r["term"] for r in writers.stored_postings(docs(), "id", t, store).terms.collect()}
+    assert terms(words) == {"ab", "cd", "ef"} and terms(letters) == set("abcdef")
+    root = writers.postings_root(docs(), "id", words, store)
+    assert root == writers.postings_root(docs(), "id", words, store)
+    assert len({root, *(writers.postings_root(d, i, t, store) for d, i, t in ((docs(), "src", words), (docs(), "id", letters), (docs().where("id > 1"), "id", words)))}) == 4
+    monkeypatch.setattr(writers, "POSTINGS_FORMAT", 0)
+    assert writers.postings_root(docs(), "id", words, store) != root
+
+
+def test_only_rows_of_files_have_a_stored_index(spark, tmp_path):
+    path = f"{tmp_path}/docs"
+    docs = spark.createDataFrame([(1, "ab")], "id long, text string")
+    docs.write.parquet(path)
+    own = F.udf(lambda t: t.split(), "array<string>")
+    for df, tokens in ((docs, F.split("text", " ")), (spark.read.parquet(path).join(docs.select("id"), "id"), F.split("text", " ")), (spark.read.parquet(path), own("text"))):
+        with pytest.raises(ValueError):
+            writers.plan_text(df.select("id", tokens))
