@@ -4,7 +4,7 @@ from importlib import import_module
 from types import ModuleType
 
 #: Modules whose import registers queries.
-MODULES: tuple[str, ...] = ("retrieval", "filters", "lane_queries", "documents", "evaluation", "operations", "facts")
+MODULES: tuple[str, ...] = ("retrieval", "filters", "lane_queries", "documents", "evaluation", "operations", "facts", "wording")
 
 
 def load_catalogue() -> ModuleType:

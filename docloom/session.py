@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_spark(app: str = "docloom", cores: int | None = None, **conf: str) -> SparkSession:
@@ -45,3 +46,11 @@ def shared_folder(spark: SparkSession) -> str:
         own = "file://" + tempfile.mkdtemp(prefix="spark-docloom-")
         spark.conf.set("docloom.shared.dir", own)
     return own
+
+
+def settled(df: DataFrame, name: str) -> DataFrame:
+    """df written to a table of its own in the shared folder and read back: what many rules look at is computed once, and their plans start from a scan."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/docloom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
