@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.functions import markup, text
-from docloom.operators import chunks, lineage, lines
+from docloom.operators import assembly, chunks, lineage, lines
 from docloom.plans.catalogue import query, read
 
 
@@ -63,7 +63,18 @@ def heading_tree(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("doc_id", "line_no", F.col("level").cast("int").alias("level"), "node", F.when(F.col("level").isNull(), F.col("node")).otherwise(F.col("parent")).alias("parent"))
 
 
-@query("structural_chunks")
+@query(
+    "structural_chunks",
+    f"""WITH RECURSIVE {_L}, h AS (SELECT doc_id, line_no, trim(text) AS title, text, CASE WHEN length(text) <= 40 THEN 1 + line_no % 3 END AS level FROM l),
+    n AS (SELECT *, count(level) OVER (PARTITION BY doc_id ORDER BY line_no)::INT AS node FROM h), k AS (SELECT doc_id, node, level, title FROM n WHERE level IS NOT NULL),
+    up AS (SELECT a.doc_id, a.node, string_agg(b.title, ' > ' ORDER BY b.node) AS path FROM k a JOIN k b ON a.doc_id = b.doc_id AND b.node <= a.node AND NOT EXISTS (SELECT 1 FROM k c WHERE c.doc_id = a.doc_id AND c.node > b.node AND c.node <= a.node AND c.level <= b.level) GROUP BY ALL),
+    u AS (SELECT doc_id, node, line_no, text, unnest(range(0, greatest(1, length(text)), 4000)) AS a FROM n WHERE level IS NULL),
+    c AS (SELECT doc_id, node, substr(text, (a + 1)::INT, 4000) AS piece, row_number() OVER (PARTITION BY doc_id, node ORDER BY line_no, a) AS k FROM u),
+    r AS (SELECT doc_id, node, k, 1 AS part, length(piece) AS size FROM c WHERE k = 1
+      UNION ALL SELECT c.doc_id, c.node, c.k, CASE WHEN r.size + 1 + length(c.piece) <= 4000 THEN r.part ELSE r.part + 1 END, CASE WHEN r.size + 1 + length(c.piece) <= 4000 THEN r.size + 1 + length(c.piece) ELSE length(c.piece) END FROM r JOIN c ON c.doc_id = r.doc_id AND c.node = r.node AND c.k = r.k + 1),
+    t AS (SELECT r.doc_id, r.node, r.part, string_agg(c.piece, chr(10) ORDER BY r.k) AS body FROM r JOIN c ON c.doc_id = r.doc_id AND c.node = r.node AND c.k = r.k GROUP BY ALL)
+    SELECT t.doc_id, t.node, t.part::INT AS part, 'shc_' || substr(sha256(t.doc_id || chr(31) || t.node || chr(31) || t.part || chr(31) || sha256(body)), 1, 24) AS chunk_id, (length(body) + coalesce(length(path) + 1, 0))::INT AS n FROM t LEFT JOIN up ON up.doc_id = t.doc_id AND up.node = t.node""",
+)
 def structural_chunks(spark: SparkSession, sf: str) -> DataFrame:
     """Bodies of heading nodes, packed to chunks with content-addressed ids."""
     rows = lines.heading_paths(_headed(spark, sf), ["doc_id"]).where("level IS NULL")
@@ -198,3 +209,31 @@ def marked_pages(spark: SparkSession, sf: str) -> DataFrame:
 def page_labels(spark: SparkSession, sf: str) -> DataFrame:
     start, end = F.floor(F.col("n_chars") / 2000), F.floor(F.col("n_chars") / 1500)
     return read(spark, sf, "documents").select("doc_id", text.page_label(start, end).alias("label"), text.approximate_tokens(F.col("text")).alias("tokens"))
+
+
+_TOP = "(?m)^(It|The|Die|Der|La|Le|De|El) "
+
+
+@query(
+    "assembled_chunks",
+    rf"""WITH RECURSIVE d AS (SELECT doc_id, regexp_replace(text, '{_TOP}', '# \1 ', 'g') AS text FROM documents WHERE length(text) > 0),
+    a AS (SELECT doc_id, length(text) AS whole, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS no FROM d),
+    l AS (SELECT doc_id, line, coalesce(sum(length(line) + 1) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT AS lo, whole FROM a),
+    m AS (SELECT doc_id, line, lo, least(lo + length(line) + 1, whole)::INT AS hi, regexp_matches(line, '^#{{1,6}}\s+.*\S') AS head FROM l WHERE lo < whole),
+    s AS (SELECT *, sum(head::INT) OVER (PARTITION BY doc_id ORDER BY lo) AS section FROM m),
+    g AS (SELECT doc_id, section, min(lo) AS lo, max(hi) AS hi, max(CASE WHEN head THEN regexp_extract(line, '^#{{1,6}}\s+(.+?)\s*$', 1) END) AS title FROM s GROUP BY ALL),
+    q AS (SELECT doc_id, section, lo + x AS lo, least(hi, lo + x + 4000)::INT AS hi FROM (SELECT *, unnest(range(0, greatest(1, hi - lo), 4000)) AS x FROM s)),
+    c AS (SELECT *, row_number() OVER (PARTITION BY doc_id, section ORDER BY lo) AS k FROM q),
+    r AS (SELECT doc_id, section, k, lo AS first, hi FROM c WHERE k = 1 UNION ALL SELECT c.doc_id, c.section, c.k, CASE WHEN c.hi - r.first <= 4000 THEN r.first ELSE c.lo END, c.hi FROM r JOIN c ON c.doc_id = r.doc_id AND c.section = r.section AND c.k = r.k + 1),
+    f AS (SELECT doc_id, section, first AS lo, max(hi) AS hi FROM r GROUP BY ALL),
+    p AS (SELECT doc_id, text, sha256(text) AS digest FROM d),
+    t AS (SELECT g.*, p.digest AS parent, sha256(substr(p.text, lo + 1, hi - lo)) AS digest, p.text FROM g JOIN p USING (doc_id)),
+    v AS (SELECT f.doc_id, f.lo, f.hi, t.title, t.digest AS parent, sha256(t.parent || chr(31) || t.digest) AS above, sha256(substr(t.text, (f.lo + 1)::INT, (f.hi - f.lo)::INT)) AS digest FROM f JOIN t ON t.doc_id = f.doc_id AND t.section = f.section)
+    SELECT doc_id::VARCHAR AS document, 'page' AS level, 0 AS "start", length(text)::INT AS "end", NULL AS title, NULL AS parent_digest, digest, digest AS link FROM p
+    UNION ALL SELECT doc_id::VARCHAR, 'section', lo, hi, title, parent, digest, sha256(parent || chr(31) || digest) FROM t
+    UNION ALL SELECT doc_id::VARCHAR, 'leaf', lo, hi, title, parent, digest, sha256(above || chr(31) || digest) FROM v""",
+)
+def assembled_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Lines that begin with an article play the headings."""
+    pages = read(spark, sf, "documents").select(F.col("doc_id").alias("document"), F.lit(1).alias("page"), F.regexp_replace("text", _TOP, "# $1 ").alias("text"))
+    return assembly.assembled(pages).select("document", "level", "start", "end", "title", "parent_digest", "digest", "link")
