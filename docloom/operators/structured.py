@@ -285,3 +285,34 @@ def explicit_scope(questions: DataFrame, names: DataFrame, least: int = 4) -> Da
     kept = rest.where(cut.contains(F.col("form")))
     clear = kept.groupBy("query").agg(F.max("keys").alias("most")).where("most = 1").select("query")
     return kept.join(clear, "query").select("query", "key").distinct()
+
+
+def registered(names: DataFrame, catalogue: DataFrame, most: int = 106) -> DataFrame:
+    """(owner, status, keys) of the names an owner has registered, joined with the catalogue exactly: ready with one key a name, empty without names, else needs_review and no keys.
+
+    names: (owner, names array<string>, null where what was stored can't be read); catalogue: (name, key), a null key where it has none. Needs review:
+    a name that is null, stands for no card or for several, has no key or the key of another name, and more than ``most`` keys.
+    """
+    told = names.select("owner", "names", F.array_distinct("names").alias("_its"))
+    known = catalogue.groupBy("name").agg(F.count(F.lit(1)).alias("_n"), F.max("key").alias("_key"))
+    each = told.select("owner", F.explode("_its").alias("name")).join(known, "name", "left")
+    judged = each.groupBy("owner").agg(F.bool_and(F.coalesce(F.col("_n") == 1, F.lit(False)) & F.col("_key").isNotNull()).alias("_sound"), F.count_distinct("_key").alias("_keys"), F.count(F.lit(1)).alias("_names"), F.array_sort(F.collect_list("_key")).alias("keys"))
+    met = told.select("owner", "names").join(judged, "owner", "left")
+    empty = F.array().cast(met.schema["keys"].dataType)
+    sound = F.coalesce(F.col("_sound") & (F.col("_keys") == F.col("_names")) & (F.col("_names") <= most), F.lit(False))
+    status = F.when(F.col("names").isNull(), "needs_review").when(F.size("names") == 0, "empty").when(sound, "ready").otherwise("needs_review")
+    return met.select("owner", status.alias("status"), F.when(status == "ready", F.col("keys")).otherwise(empty).alias("keys"))
+
+
+def selected_scope(choices: DataFrame, references: DataFrame) -> DataFrame:
+    """(query, keys) of the cards that a question's selected references name, in the order of the references; null keys where it must be asked again.
+
+    choices: (query, selected array<string>, clarification string); references: (query, position, ref, key). A reference is of the group before its
+    first "r". Asked again: nothing selected, one selected twice or unknown, several groups, one card twice, or a clarification.
+    """
+    rows = choices.select("query", "selected", F.trim(F.coalesce("clarification", F.lit(""))).alias("_told"))
+    each = rows.select("query", F.explode(F.array_distinct("selected")).alias("ref")).join(references, ["query", "ref"], "left")
+    judged = each.groupBy("query").agg(F.bool_and(F.col("position").isNotNull()).alias("_known"), F.count_distinct(F.substring_index("ref", "r", 1)).alias("_groups"), F.count_distinct("key").alias("_distinct"), F.count(F.lit(1)).alias("_n"), F.transform(F.array_sort(F.collect_list(F.struct("position", "key"))), lambda x: x["key"]).alias("_keys"))
+    met = rows.join(judged, "query", "left")
+    clear = (F.col("_told") == "") & F.col("_known") & (F.col("_groups") == 1) & (F.col("_distinct") == F.col("_n")) & (F.size("selected") == F.col("_n"))
+    return met.select("query", F.when(F.coalesce(clear, F.lit(False)), F.col("_keys")).alias("keys"))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from docloom.operators import fusion, lexical, ranking, vectors
+from docloom.operators import collection, fusion, lexical, ranking, vectors
 from docloom.plans.catalogue import query, read
 from docloom.session import shared_folder
 from docloom.sources import writers
@@ -203,3 +205,14 @@ def bundle_select(spark: SparkSession, sf: str) -> DataFrame:
     near = a.join(b, (F.col("a.source") == F.col("b.source")) & (F.col("a.range") == F.col("b.range")) & F.col("b.doc_id").between(F.col("a.doc_id") + 1, F.col("a.doc_id") + 40))
     related = near.select(F.col("a.source").alias("card"), F.col("a.doc_id").alias("doc"), F.col("b.doc_id").alias("other"), F.row_number().over(W.partitionBy("a.doc_id").orderBy("b.doc_id")).alias("place"))
     return ranking.bundles(_with_source(spark, sf).select("query", "card", "doc", "rank"), related)
+
+
+@query("collection_topk", f"WITH {_VEC_SQL} SELECT query, doc, round(score, 6) AS score, rank FROM vec")
+def collection_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The nearest vectors from a collection stored in cells, the query's own row among them as in l2_topk."""
+    items = read(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id"))
+    emb = read(spark, sf, "embeddings")
+    root = f"{shared_folder(spark)}/docloom-collection-{uuid.uuid4().hex}"
+    collection.write_collection(emb, root)
+    found, _ = collection.search_collection(spark, root, emb.join(items, "vec_id", "left_semi"), DEPTH)
+    return found.select("query", "doc", F.round("score", 6).alias("score"), "rank")

@@ -147,3 +147,19 @@ def test_a_litre_told_by_the_source_alone(spark):
     extra = spark.createDataFrame([(d, e, ("bounded_block", ids, []), s) for d, e, ids, s in rows], "document_id string, field_evidence map<string,array<struct<line_id:string,fragment:string>>>, relation_scope struct<scope_type:string,line_ids:array<string>,row_line_ids:array<string>>, source_lines map<string,string>")
     got = {r["document_id"]: r["rules"] for r in repairs.repaired(df.join(extra, "document_id")).collect()}
     assert got == {"told": ["non_krw_accrual_transaction_ceiling"], "silent": [], "outside": [], "far": [], "elsewhere": []}
+
+
+def test_registered_names_are_joined_exactly(spark):
+    names = [("a", ["x", "y", "x"]), ("b", []), ("c", None), ("d", ["x", "none"]), ("e", ["twice"]), ("f", ["keyless"]), ("g", ["x", "same"]), ("h", ["x", None])]
+    catalogue = [("x", "k/x"), ("y", "k/y"), ("twice", "k/1"), ("twice", "k/2"), ("keyless", None), ("same", "k/x")]
+    got = {r["owner"]: (r["status"], r["keys"]) for r in structured.registered(spark.createDataFrame(names, "owner string, names array<string>"), spark.createDataFrame(catalogue, "name string, key string")).collect()}
+    review = ("needs_review", [])
+    assert got == {"a": ("ready", ["k/x", "k/y"]), "b": ("empty", []), "c": review, "d": review, "e": review, "f": review, "g": review, "h": review}
+    assert structured.registered(spark.createDataFrame([("a", ["x", "y"])], "owner string, names array<string>"), spark.createDataFrame(catalogue, "name string, key string"), most=1).first()["status"] == "needs_review"
+
+
+def test_selected_references_are_one_group_and_unique(spark):
+    refs = [(q, i, r, k) for q in range(8) for i, (r, k) in enumerate([("1r1", "a"), ("1r2", "b"), ("2r1", "c"), ("1r3", "a")])]
+    choices = [(0, ["1r2", "1r1"], ""), (1, [], None), (2, ["1r1", "1r1"], ""), (3, ["1r9"], ""), (4, ["1r1", "2r1"], ""), (5, ["1r1", "1r3"], ""), (6, ["1r1"], " which? "), (7, None, "")]
+    got = {r["query"]: r["keys"] for r in structured.selected_scope(spark.createDataFrame(choices, "query int, selected array<string>, clarification string"), spark.createDataFrame(refs, "query int, position int, ref string, key string")).collect()}
+    assert got == {0: ["a", "b"], **dict.fromkeys(range(1, 8))}
