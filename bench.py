@@ -11,7 +11,7 @@ from docloom.plans import load_catalogue
 from docloom.session import get_spark
 
 HEADLINE = (
-    "bm25_topk", "fts_bm25_topk", "l2_topk", "cosine_topk", "rrf_fuse", "weighted_rrf", "alpha_fuse_minmax", "scoped_rank_per_group",
+    "stored_index_terms", "bm25_topk", "fts_bm25_topk", "l2_topk", "cosine_topk", "rrf_fuse", "weighted_rrf", "alpha_fuse_minmax", "scoped_rank_per_group",
     "parent_expand", "collapse_cards", "collapse_in_budget", "structured_and", "structured_or_groups", "structured_tristate",
     "multiset_diff", "unique_pairing", "numeric_multiset_f1", "levenshtein_cer", "heading_tree", "structural_chunks", "child_chunks",
     "recall_mrr_ndcg", "latency_percentiles", "latest_artifact", "turn_outcomes",

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -20,11 +22,37 @@ def ascii_tokens(text: Column) -> Column:
 
 @dataclass
 class Index:
-    """postings (term, doc, tf, dl), terms (term, df), and the one-row corpus (n_docs, avg_dl)."""
+    """postings (term, doc, tf, dl), terms (term, df), and the one-row corpus (n_docs, avg_dl); where they are made, blocks and members (see blocked)."""
 
     postings: DataFrame
     terms: DataFrame
     corpus: DataFrame
+    blocks: DataFrame | None = None
+    members: DataFrame | None = None
+
+
+#: Documents of a shard, about, and queries that meet a shard at once.
+SHARD_DOCS, QUERIES = 2048, 64
+
+
+def blocked(index: Index) -> tuple[DataFrame, DataFrame]:
+    """blocks (shard, term, docs, tfs, most_tf, least_dl): the postings of a term in a shard of documents, with what bounds their contributions; members (shard, place, doc, dl).
+
+    A shard is a hash of the document, its documents are numbered in order of their ids, and a block lists these numbers in order. A
+    row of blocks without a term holds the lengths of all documents of the shard.
+    """
+    shards = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / SHARD_DOCS)).cast("long")
+    docs = index.postings.select("doc", "dl").distinct().crossJoin(F.broadcast(index.corpus.select(shards.alias("_n"))))  # one row
+    numbered = docs.select("doc", "dl", F.pmod(F.xxhash64("doc"), F.col("_n")).cast("int").alias("shard"))
+    members = numbered.withColumn("place", F.row_number().over(W.partitionBy("shard").orderBy("doc")) - 1).select("shard", "place", "doc", "dl")
+    met = index.postings.select("term", "doc", "tf").join(members, "doc")
+    pairs = F.array_sort(F.collect_list(F.struct("place", F.col("tf").cast("int").alias("tf"))))
+    blocks = met.groupBy("shard", "term").agg(pairs.alias("_p"), F.max("tf").cast("int").alias("most_tf"), F.min("dl").cast("int").alias("least_dl"))
+    blocks = blocks.select("shard", "term", F.transform("_p", lambda p: p["place"]).alias("docs"), F.transform("_p", lambda p: p["tf"]).alias("tfs"), "most_tf", "least_dl")
+    lengths = members.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("place", F.col("dl").cast("int").alias("dl")))).alias("_p"))
+    none = F.lit(None).cast("int")
+    lengths = lengths.select("shard", F.lit(None).cast("string").alias("term"), F.transform("_p", lambda p: p["place"]).alias("docs"), F.transform("_p", lambda p: p["dl"]).alias("tfs"), none.alias("most_tf"), none.alias("least_dl"))
+    return blocks.unionByName(lengths), members
 
 
 def build_index(docs: DataFrame, id_col: str, tokens: Column, only: DataFrame | None = None) -> Index:
@@ -48,9 +76,101 @@ def _matched(index: Index, wanted: DataFrame) -> DataFrame:
     return wanted.join(index.terms, "term").crossJoin(F.broadcast(index.corpus)).join(index.postings, "term")
 
 
+def _idf(full_text: bool) -> Column:
+    plain = (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)
+    return F.greatest(F.lit(1e-6), F.log(plain)) if full_text else F.log(1 + plain)
+
+
+def best_in_shard(terms: list[tuple[float, np.ndarray, np.ndarray, float]], allowed: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """(places, scores, blocks probed) of allowed documents (a flag for each of the shard) that may be among the k best of one query: all that are, and others.
+
+    terms: (idf, places, weights, the most a weight can be). Blocks are taken by falling bound. Once what is left can't lift a new document to
+    the k-th best score so far, only documents that still can reach it are looked up in the blocks that follow, and documents that fall behind are dropped.
+    """
+    terms = sorted(terms, key=lambda t: -t[0] * t[3])
+    left = np.concatenate([np.cumsum([t[0] * t[3] for t in terms][::-1])[::-1], [0.0]])
+    score, n = np.zeros(len(allowed)), int(allowed.sum())
+    bar, at = 0.0, 0
+    while at < len(terms) and left[at] >= bar:
+        idf, places, weights, _ = terms[at]
+        score[places] += idf * weights
+        at += 1
+        if n > k and (at % 4 == 0 or at == len(terms)):
+            bar = float(np.partition(score[allowed], n - k)[n - k]) - 1e-8
+    near = np.flatnonzero(allowed & (score > 0) & (score + left[at] >= bar))
+    got, probed = score[near], len(terms) - at
+    for i in range(at, len(terms)):
+        idf, places, weights, _ = terms[i]
+        spot = np.minimum(np.searchsorted(places, near), len(places) - 1)
+        got = got + np.where(places[spot] == near, idf * weights[spot], 0)
+        if len(got) > k:
+            bar = max(bar, float(np.partition(got, len(got) - k)[len(got) - k]) - 1e-8)
+        keep = got + left[i + 1] >= bar
+        near, got = near[keep], got[keep]
+    return near, got, probed
+
+
+def best_documents(index: Index, wanted: DataFrame, k: int, full_text: bool = False, k1: float | None = None, b: float = 0.75, digits: int = 9, only: DataFrame | None = None) -> DataFrame:
+    """(query, doc, score, rank): the k best documents of each query, as top_k(bm25(...)) and top_k(full_text_bm25(...)) give them, from the index's blocks. ``only`` (doc): the documents that may be found; statistics cover all.
+
+    A task holds a shard's blocks for a few queries and hands on the k best documents of each: no row is made of a posting or of another pair.
+    """
+    k1 = k1 if k1 is not None else 1.2 if full_text else 1.5
+    scored = wanted.join(index.terms, "term").crossJoin(F.broadcast(index.corpus)).select("query", "term", _idf(full_text).alias("idf"), "avg_dl")
+    deal = F.pmod(F.xxhash64("query"), F.greatest(F.lit(1), F.ceil(F.col("_m") / QUERIES)))
+    many = wanted.agg(F.count_distinct("query").alias("_m"))
+    dealt = scored.crossJoin(F.broadcast(many)).select("query", "term", "idf", "avg_dl", deal.cast("int").alias("deal"))
+    asked = dealt.groupBy("deal", "term").agg(F.collect_list("query").alias("queries"), F.first("idf").alias("idf"), F.first("avg_dl").alias("avg_dl"))  # QUERIES, about
+    columns = ["shard", "deal", "docs", "tfs", "most_tf", "least_dl", "queries", "idf", "avg_dl"]
+    met = index.blocks.where("term IS NOT NULL").join(asked, "term").select(*columns)
+    lengths = index.blocks.where("term IS NULL")
+    if only is not None:
+        chosen = index.members.join(only.select("doc").distinct(), "doc", "left_semi").groupBy("shard").agg(F.collect_list("place").alias("_chosen"))
+        lengths = lengths.join(chosen, "shard", "left").withColumn("docs", F.coalesce("_chosen", F.array().cast("array<int>"))).select(*index.blocks.columns)
+    lengths = lengths.crossJoin(F.broadcast(dealt.select("deal").distinct()))  # a row for QUERIES queries
+    none = F.lit(None)
+    rows = met.unionByName(lengths.select("shard", "deal", "docs", "tfs", "most_tf", "least_dl", none.cast(met.schema["queries"].dataType).alias("queries"), none.cast("double").alias("idf"), none.cast("double").alias("avg_dl")))
+    kind = wanted.schema["query"].dataType
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        shard = table.column("shard")[0].as_py()
+        column = {c: table.column(c).chunk(0) for c in ("docs", "tfs", "queries")}
+        idf, average, most, least = (table.column(c).to_numpy(zero_copy_only=False) for c in ("idf", "avg_dl", "most_tf", "least_dl"))
+        numbers = lambda c, i: column[c][i].values.to_numpy(zero_copy_only=False)
+        own = next(i for i in range(len(idf)) if not column["queries"][i].is_valid)
+        dl = numbers("tfs", own).astype(float)
+        allowed = np.zeros(len(dl), bool)
+        allowed[numbers("docs", own)] = True
+        terms: dict = {}
+        for i in range(len(idf)):
+            if i != own:
+                places, tf = numbers("docs", i), numbers("tfs", i)
+                weights = tf * (k1 + 1) / (tf + k1 * (1 - b + b * dl[places] / average[i]))
+                bound = most[i] * (k1 + 1) / (most[i] + k1 * (1 - b + b * least[i] / average[i]))
+                for q in column["queries"][i].as_py():
+                    terms.setdefault(q, []).append((idf[i], places, weights, bound))
+        out: list[tuple] = []
+        for q, its in terms.items():
+            places, score, _ = best_in_shard(its, allowed, k)
+            score = np.round(score, digits)
+            top = np.lexsort((places, -score))[:k]
+            out.append((q, places[top], score[top]))
+        sizes = [len(p) for _, p, _ in out]
+        each = pa.array([q for q, _, _ in out], table.schema.field("queries").type.value_type).take(pa.array(np.repeat(np.arange(len(out)), sizes))) if out else pa.array([], table.schema.field("queries").type.value_type)
+        join = lambda j, t: pa.array(np.concatenate([x[j] for x in out]) if out else [], t)
+        return pa.table({"query": each, "shard": pa.array([shard] * sum(sizes), pa.int32()), "place": join(1, pa.int32()), "score": join(2, pa.float64())})
+
+    found = rows.groupBy("shard", "deal").applyInArrow(run, f"query {kind.simpleString()}, shard int, place int, score double")
+    # ids are in the order of their places within a shard alone
+    first = W.partitionBy("query").orderBy(F.col("score").desc())
+    near = found.withColumn("_r", F.rank().over(first)).where(F.col("_r") <= k).drop("_r")
+    return top_k(near.join(index.members.select("shard", "place", "doc"), ["shard", "place"]).select("query", "doc", "score"), k)
+
+
 def bm25(index: Index, wanted: DataFrame, k1: float = 1.5, b: float = 0.75, digits: int | None = 9) -> DataFrame:
     """(query, doc, score) of documents that hold a term: ln(1 + ...) idf."""
-    idf = F.log(1 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = _idf(False)
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
     total = F.sum(idf * weight)
     return _matched(index, wanted).groupBy("query", "doc").agg((F.round(total, digits) if digits is not None else total).alias("score"))
@@ -58,7 +178,7 @@ def bm25(index: Index, wanted: DataFrame, k1: float = 1.5, b: float = 0.75, digi
 
 def full_text_bm25(index: Index, wanted: DataFrame, k1: float = 1.2, b: float = 0.75, digits: int | None = 9) -> DataFrame:
     """(query, doc, score) with the floored idf of full-text indexes."""
-    idf = F.greatest(F.lit(1e-6), F.log((F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    idf = _idf(True)
     weight = F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avg_dl")))
     total = F.sum(idf * weight)
     return _matched(index, wanted).groupBy("query", "doc").agg((F.round(total, digits) if digits is not None else total).alias("score"))

@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from docloom.operators import lexical, lineage, metrics
 from docloom.plans.catalogue import query, read
-from docloom.plans.retrieval import _BM25_SQL, _keyword
+from docloom.plans.retrieval import _BM25_SQL, _keyword_top
 
 
 def _ranked(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.top_k(_keyword(spark, sf), 10)
+    return _keyword_top(spark, sf, 10)
 
 
 def _gold(spark: SparkSession, sf: str) -> DataFrame:

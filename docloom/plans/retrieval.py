@@ -33,6 +33,11 @@ def _keyword(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.bm25(_index(spark, sf), _terms(spark, sf))
 
 
+def _keyword_top(spark: SparkSession, sf: str, k: int = DEPTH, only: DataFrame | None = None) -> DataFrame:
+    """The k best documents of each query, from the index's blocks."""
+    return lexical.best_documents(_index(spark, sf), _terms(spark, sf), k, only=only)
+
+
 def _vector(spark: SparkSession, sf: str, measure: str = "l2") -> DataFrame:
     """The DEPTH nearest. The vector of the same number stands for the embedding of a query text."""
     items = read(spark, sf, "benchmark").select(F.col("item_id").alias("vec_id"))
@@ -56,9 +61,15 @@ l2 AS (SELECT q.vec_id AS query, d.vec_id AS doc, round(list_sum([((d.embedding[
 vec AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score, doc)::INT AS rank FROM l2) WHERE rank <= 50)"""
 
 
+@query("stored_index_terms", f"WITH {_BM25_SQL} SELECT term, df FROM df")
+def stored_index_terms(spark: SparkSession, sf: str) -> DataFrame:
+    """The terms of the stored index: the first query of an application pays for writing it."""
+    return _index(spark, sf).terms.select("term", "df")
+
+
 @query("bm25_topk", f"WITH {_BM25_SQL} SELECT query, doc, round(score, 6) AS score, rank FROM kw")
 def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.top_k(_keyword(spark, sf), DEPTH).select("query", "doc", F.round("score", 6).alias("score"), "rank")
+    return _keyword_top(spark, sf).select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
 @query(
@@ -66,7 +77,7 @@ def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
     f"WITH {_BM25_SQL}, f AS (SELECT query, doc, round(sum(greatest(1e-6::DOUBLE, ln((n_docs - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE))) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avg_dl))), 9) AS score FROM qt JOIN df USING (term), corpus, post WHERE post.term = qt.term GROUP BY query, doc) SELECT query, doc, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)::INT AS rank FROM f) WHERE rank <= 50",
 )
 def fts_bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.top_k(lexical.full_text_bm25(_index(spark, sf), _terms(spark, sf)), DEPTH).select("query", "doc", F.round("score", 6).alias("score"), "rank")
+    return lexical.best_documents(_index(spark, sf), _terms(spark, sf), DEPTH, full_text=True).select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
 @query("l2_topk", f"WITH {_VEC_SQL} SELECT query, doc, round(score, 6) AS score, rank FROM vec")
@@ -83,7 +94,7 @@ def cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _lists(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    return lexical.top_k(_keyword(spark, sf), DEPTH), lexical.top_k(_vector(spark, sf), DEPTH, descending=False)
+    return _keyword_top(spark, sf), lexical.top_k(_vector(spark, sf), DEPTH, descending=False)
 
 
 @query("rrf_fuse", f"WITH {_BM25_SQL}, {_VEC_SQL}, s AS (SELECT query, doc, round(sum(1.0::DOUBLE / (60 + rank)), 12) AS score FROM (SELECT query, doc, rank FROM kw UNION ALL SELECT query, doc, rank FROM vec) GROUP BY query, doc) SELECT query, doc, score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)::INT AS rank FROM s")
@@ -122,7 +133,7 @@ def scoped_rank_per_group(spark: SparkSession, sf: str) -> DataFrame:
 @query("global_stats_scoped_bm25", f"WITH {_BM25_SQL}, s AS (SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)::INT AS rank FROM bm JOIN documents ON doc_id = doc WHERE lang = 'en') SELECT * FROM s WHERE rank <= 10")
 def global_stats_scoped_bm25(spark: SparkSession, sf: str) -> DataFrame:
     scope = _docs(spark, sf).where("lang = 'en'").select(F.col("doc_id").alias("doc"))
-    return lexical.top_k(_keyword(spark, sf).join(scope, "doc", "left_semi"), 10).select("query", "doc", F.round("score", 6).alias("score"), "rank")
+    return _keyword_top(spark, sf, 10, scope).select("query", "doc", F.round("score", 6).alias("score"), "rank")
 
 
 @query("bm25_with_unmatched", f"WITH {_BM25_SQL}, one AS (SELECT * FROM bm), z AS (SELECT q.query, d.doc_id AS doc, coalesce(one.score, 0) AS score FROM (SELECT DISTINCT item_id AS query FROM benchmark) q CROSS JOIN documents d LEFT JOIN one ON one.query = q.query AND one.doc = d.doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)::INT AS rank FROM z) SELECT query, doc, round(score, 6) AS score, rank FROM r WHERE rank <= 400")
@@ -153,7 +164,7 @@ def eligible_before_worklist(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _with_source(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.top_k(_keyword(spark, sf), DEPTH).join(_docs(spark, sf).select(F.col("doc_id").alias("doc"), F.col("source").alias("card"), "text"), "doc")
+    return _keyword_top(spark, sf).join(_docs(spark, sf).select(F.col("doc_id").alias("doc"), F.col("source").alias("card"), "text"), "doc")
 
 
 @query("round_robin_balance", f"WITH {_BM25_SQL}, g AS (SELECT query, doc, source AS card, row_number() OVER (PARTITION BY query, source ORDER BY rank, doc)::INT AS turn FROM kw JOIN documents ON doc_id = doc) SELECT query, doc, card, row_number() OVER (PARTITION BY query ORDER BY turn, card, doc)::INT AS rank FROM g")

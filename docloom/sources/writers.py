@@ -151,11 +151,15 @@ def write_postings(docs: DataFrame, id_col: str, tokens: Column, root: str) -> l
     postings = spark.read.parquet(f"{root}/postings")
     postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{root}/terms")
     built.corpus.write.mode("overwrite").parquet(f"{root}/corpus")
+    stored = lexical.Index(*(spark.read.parquet(f"{root}/{t}") for t in ("postings", "terms", "corpus")))
+    blocks, members = lexical.blocked(stored)
+    members.write.mode("overwrite").parquet(f"{root}/members")
+    blocks.repartitionByRange("term", "shard").sortWithinPartitions("term", "shard").write.mode("overwrite").parquet(f"{root}/blocks")
     return read_postings(spark, root)
 
 
 #: The layout of stored postings; a change of tables or columns takes a new number.
-POSTINGS_FORMAT = 3
+POSTINGS_FORMAT = 4
 
 
 def _items(seq) -> list:
@@ -204,7 +208,7 @@ def stored_postings(docs: DataFrame, id_col: str, tokens: Column, folder: str) -
 
 
 def read_postings(spark: SparkSession, root: str) -> lexical.Index:
-    return lexical.Index(*(spark.read.parquet(f"{root}/{t}") for t in ("postings", "terms", "corpus")))
+    return lexical.Index(*(spark.read.parquet(f"{root}/{t}") for t in ("postings", "terms", "corpus", "blocks", "members")))
 
 
 def embed_missing(rows: DataFrame, embed, model: str, dims: int, text: str = "text") -> DataFrame:
