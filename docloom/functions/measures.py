@@ -6,7 +6,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,8 +74,8 @@ def long_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else string_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
-#: Cells up to which the built-in distance is the faster one.
-CELLS = 100_000
+#: Cells up to which the built-in distance is the faster one (measured: 10,000 by 10,000 characters).
+CELLS = 100_000_000
 
 
 def text_distance(a: Column, b: Column) -> Column:
@@ -106,6 +106,13 @@ def normalized_distance(reference: Column, given: Column) -> Column:
     return error_rate(text_distance(a, b), F.greatest(F.length(a), F.length(b)))
 
 
+def with_distance(pairs: DataFrame, reference: str, given: str) -> DataFrame:
+    """pairs with ``distance``, ``reference_size`` and ``given_size``, blanks left out: what all rates of characters are made of, computed once."""
+    dense = pairs.withColumns({c: F.regexp_replace(c, r"(?U)\s+", "") for c in (reference, given)})
+    told = dense.withColumn("distance", text_distance(F.col(reference), F.col(given)))
+    return told.withColumns({"reference_size": F.length(reference), "given_size": F.length(given)})
+
+
 def word_errors(reference: Column, given: Column) -> Column:
     words = lambda x: F.filter(F.split(x, r"(?U)\s+"), lambda w: w != "")
     return error_rate(list_distance(words(reference), words(given)), F.size(words(reference)))

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
@@ -22,7 +23,7 @@ def ascii_tokens(text: Column) -> Column:
 
 @dataclass
 class Index:
-    """postings (term, doc, tf, dl), terms (term, df), and the one-row corpus (n_docs, avg_dl); where they are made, blocks and members (see blocked)."""
+    """postings (term, doc, tf, dl), terms (term, df), and the one-row corpus (n_docs, avg_dl); where they are made, blocks (see blocked) and members (shard, place, doc, dl)."""
 
     postings: DataFrame
     terms: DataFrame
@@ -35,24 +36,51 @@ class Index:
 SHARD_DOCS, QUERIES = 2048, 64
 
 
-def blocked(index: Index) -> tuple[DataFrame, DataFrame]:
-    """blocks (shard, term, docs, tfs, most_tf, least_dl): the postings of a term in a shard of documents, with what bounds their contributions; members (shard, place, doc, dl).
+def blocked(index: Index) -> DataFrame:
+    """blocks (shard, term, docs, tfs, most_tf, least_dl, ids): the postings of a term in a shard of documents, with what bounds their contributions.
 
-    A shard is a hash of the document, its documents are numbered in order of their ids, and a block lists these numbers in order. A
-    row of blocks without a term holds the lengths of all documents of the shard.
+    A shard is a hash of the document and holds SHARD_DOCS of them, about; its documents are numbered in order of their ids, and a block lists these numbers in order. The
+    one row of a shard without a term holds the lengths and the ids of its documents. The postings are dealt by shard once.
     """
     shards = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / SHARD_DOCS)).cast("long")
-    docs = index.postings.select("doc", "dl").distinct().crossJoin(F.broadcast(index.corpus.select(shards.alias("_n"))))  # one row
-    numbered = docs.select("doc", "dl", F.pmod(F.xxhash64("doc"), F.col("_n")).cast("int").alias("shard"))
-    members = numbered.withColumn("place", F.row_number().over(W.partitionBy("shard").orderBy("doc")) - 1).select("shard", "place", "doc", "dl")
-    met = index.postings.select("term", "doc", "tf").join(members, "doc")
-    pairs = F.array_sort(F.collect_list(F.struct("place", F.col("tf").cast("int").alias("tf"))))
-    blocks = met.groupBy("shard", "term").agg(pairs.alias("_p"), F.max("tf").cast("int").alias("most_tf"), F.min("dl").cast("int").alias("least_dl"))
-    blocks = blocks.select("shard", "term", F.transform("_p", lambda p: p["place"]).alias("docs"), F.transform("_p", lambda p: p["tf"]).alias("tfs"), "most_tf", "least_dl")
-    lengths = members.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("place", F.col("dl").cast("int").alias("dl")))).alias("_p"))
-    none = F.lit(None).cast("int")
-    lengths = lengths.select("shard", F.lit(None).cast("string").alias("term"), F.transform("_p", lambda p: p["place"]).alias("docs"), F.transform("_p", lambda p: p["dl"]).alias("tfs"), none.alias("most_tf"), none.alias("least_dl"))
-    return blocks.unionByName(lengths), members
+    dealt = index.postings.crossJoin(F.broadcast(index.corpus.select(shards.alias("_n"))))  # one row
+    dealt = dealt.select(F.pmod(F.xxhash64("doc"), F.col("_n")).cast("int").alias("shard"), "term", "doc", F.col("tf").cast("int").alias("tf"), F.col("dl").cast("int").alias("dl"))
+    kind = index.postings.schema["doc"].dataType.simpleString()
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        shard = table.column("shard")[0].as_py()
+        doc = table.column("doc").chunk(0).dictionary_encode()
+        order = pc.array_sort_indices(doc.dictionary).to_numpy()  # the shard's documents in order of their ids
+        place_of = np.empty(len(order), np.int32)
+        place_of[order] = np.arange(len(order), dtype=np.int32)
+        place = place_of[doc.indices.to_numpy()]
+        tf, dl = (table.column(c).to_numpy().astype(np.int32) for c in ("tf", "dl"))
+        term = table.column("term").chunk(0).dictionary_encode()
+        code = term.indices.to_numpy()
+        by = np.lexsort((place, code))
+        code, place, tf, dl = code[by], place[by], tf[by], dl[by]
+        begins = np.flatnonzero(np.diff(code, prepend=-1))
+        lengths = np.zeros(len(order), np.int32)
+        lengths[place] = dl
+        offsets = [*begins, len(code), len(code) + len(order)]
+        lists = lambda x, own: pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate([x, own])))
+        every = np.arange(len(order), dtype=np.int32)
+        names = pa.concat_arrays([term.dictionary.take(pa.array(code[begins])), pa.array([None], term.dictionary.type)])
+        most = pa.concat_arrays([pa.array(np.maximum.reduceat(tf, begins)), pa.array([None], pa.int32())])
+        least = pa.concat_arrays([pa.array(np.minimum.reduceat(dl, begins)), pa.array([None], pa.int32())])
+        ids = pa.nulls(len(begins), pa.list_(doc.dictionary.type))
+        own = pa.ListArray.from_arrays(pa.array([0, len(order)], pa.int32()), doc.dictionary.take(pa.array(order)))
+        return pa.table({"shard": pa.array([shard] * len(names), pa.int32()), "term": names, "docs": lists(place, every), "tfs": lists(tf, lengths), "most_tf": most, "least_dl": least, "ids": pa.concat_arrays([ids, own])})
+
+    packed = dealt.groupBy("shard").applyInArrow(run, f"shard int, term string, docs array<int>, tfs array<int>, most_tf int, least_dl int, ids array<{kind}>")
+    return packed
+
+
+def members_of(packed: DataFrame) -> DataFrame:
+    """(shard, place, doc, dl) of the rows of blocks that hold a shard's documents."""
+    whole = packed.where("term IS NULL").select("shard", F.posexplode(F.arrays_zip("ids", "tfs")).alias("place", "_x"))
+    return whole.select("shard", "place", F.col("_x.ids").alias("doc"), F.col("_x.tfs").alias("dl"))
 
 
 def build_index(docs: DataFrame, id_col: str, tokens: Column, only: DataFrame | None = None) -> Index:
@@ -126,7 +154,7 @@ def best_documents(index: Index, wanted: DataFrame, k: int, full_text: bool = Fa
     lengths = index.blocks.where("term IS NULL")
     if only is not None:
         chosen = index.members.join(only.select("doc").distinct(), "doc", "left_semi").groupBy("shard").agg(F.collect_list("place").alias("_chosen"))
-        lengths = lengths.join(chosen, "shard", "left").withColumn("docs", F.coalesce("_chosen", F.array().cast("array<int>"))).select(*index.blocks.columns)
+        lengths = lengths.join(chosen, "shard", "left").withColumn("docs", F.coalesce("_chosen", F.array().cast("array<int>")))
     lengths = lengths.crossJoin(F.broadcast(dealt.select("deal").distinct()))  # a row for QUERIES queries
     none = F.lit(None)
     rows = met.unionByName(lengths.select("shard", "deal", "docs", "tfs", "most_tf", "least_dl", none.cast(met.schema["queries"].dataType).alias("queries"), none.cast("double").alias("idf"), none.cast("double").alias("avg_dl")))

@@ -159,8 +159,9 @@ c AS (SELECT doc_id, source, regexp_replace(reference, '[\t\n ]+', '', 'g') AS a
 
 @query("levenshtein_cer", f"WITH {_LABELS} SELECT doc_id, round(levenshtein(a, b) / nullif(length(a), 0), 6) AS cer, round(levenshtein(a, b) / nullif(greatest(length(a), length(b)), 0), 6) AS distance FROM c")
 def levenshtein_cer(spark: SparkSession, sf: str) -> DataFrame:
-    a, b = F.col("reference"), F.col("given")
-    return _labels(spark, sf).select("doc_id", F.round(measures.character_errors(a, b), 6).alias("cer"), F.round(measures.normalized_distance(a, b), 6).alias("distance"))
+    told = measures.with_distance(_labels(spark, sf), "reference", "given")
+    rate = lambda of: F.round(measures.error_rate(F.col("distance"), of), 6)
+    return told.select("doc_id", rate(F.col("reference_size")).alias("cer"), rate(F.greatest("reference_size", "given_size")).alias("distance"))
 
 
 @query("wer")
@@ -171,10 +172,9 @@ def wer(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("micro_error_rates", f"WITH {_LABELS} SELECT source, round(sum(levenshtein(a, b)) / sum(length(a)), 6) AS cer, round(greatest(0, 1 - sum(levenshtein(a, b)) / sum(greatest(length(a), length(b)))), 6) AS similarity FROM c GROUP BY source")
 def micro_error_rates(spark: SparkSession, sf: str) -> DataFrame:
-    dense = lambda c: F.regexp_replace(c, "[\\t\\n ]+", "")
-    rows = _labels(spark, sf).select("source", dense("reference").alias("a"), dense("given").alias("b"))
-    rows = rows.select("source", "a", "b", measures.text_distance(F.col("a"), F.col("b")).alias("d"))
-    return rows.groupBy("source").agg(F.round(F.sum("d") / F.sum(F.length("a")), 6).alias("cer"), F.round(F.greatest(F.lit(0.0), 1 - F.sum("d") / F.sum(F.greatest(F.length("a"), F.length("b")))), 6).alias("similarity"))
+    rows = measures.with_distance(_labels(spark, sf), "reference", "given")
+    longest = F.sum(F.greatest("reference_size", "given_size"))
+    return rows.groupBy("source").agg(F.round(F.sum("distance") / F.sum("reference_size"), 6).alias("cer"), F.round(F.greatest(F.lit(0.0), 1 - F.sum("distance") / longest), 6).alias("similarity"))
 
 
 @query(

@@ -152,14 +152,13 @@ def write_postings(docs: DataFrame, id_col: str, tokens: Column, root: str) -> l
     postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{root}/terms")
     built.corpus.write.mode("overwrite").parquet(f"{root}/corpus")
     stored = lexical.Index(*(spark.read.parquet(f"{root}/{t}") for t in ("postings", "terms", "corpus")))
-    blocks, members = lexical.blocked(stored)
-    members.write.mode("overwrite").parquet(f"{root}/members")
-    blocks.repartitionByRange("term", "shard").sortWithinPartitions("term", "shard").write.mode("overwrite").parquet(f"{root}/blocks")
+    lexical.blocked(stored).write.mode("overwrite").parquet(f"{root}/blocks")
+    lexical.members_of(spark.read.parquet(f"{root}/blocks")).write.mode("overwrite").parquet(f"{root}/members")
     return read_postings(spark, root)
 
 
 #: The layout of stored postings; a change of tables or columns takes a new number.
-POSTINGS_FORMAT = 4
+POSTINGS_FORMAT = 5
 
 
 def _items(seq) -> list:
