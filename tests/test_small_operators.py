@@ -1,5 +1,8 @@
 """Operators of a few lines each, on hand-made rows."""
 
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from docloom.functions import text
@@ -83,9 +86,62 @@ def test_the_active_release_follows_its_pointer(spark, tmp_path):
 
 
 def test_fragments_are_put_right(spark):
-    rows = [("abc abc", "abc", 4, 7), ("abc abd", "abd", 0, 3), ("abc abc", "abc", 1, 4), ("abc", "x", 0, 1), ("aaa", "aa", 5, 7), ("abc", "", 0, 0)]
+    cases = [
+        ("abc abc", "abc", 4, 7, (4, 7)),  # as given
+        ("abc abd", "abd", 0, 3, (4, 7)),  # shifted
+        ("abc abc", "abc", 1, 4, "ambiguous"),
+        ("abc", "x", 0, 1, "unresolved"),
+        ("aaa", "aa", 5, 7, (0, 2)),
+        ("abc", "", 0, 0, "unresolved"),
+        ("할인 10 %", "할인10%", 9, 9, (0, 7)),  # other blanks
+        ("ＡＢＣ １０％ 할인", "10%할인", -1, 3, (4, 10)),  # wide letters
+        ("①번 ‘혜택’", "1번 '혜택'", 0, 0, (0, 7)),
+        ("10 20 10 20", "10 20", 0, 0, "ambiguous"),
+        ("10  20", "10 20", 0, 0, (0, 6)),
+        ("10 20", "1020", 0, 0, "unresolved"),  # blanks part numbers
+        ("## 제목 글", "• 제목글", 0, 0, (3, 7)),
+        ("가 나 가나", "가  나", 0, 0, "unresolved"),  # twice in the presentation form
+        ("x할인y", "할인", 1, 3, (1, 3)),
+        (None, "x", 0, 1, "unresolved"),
+    ]
+    rows = [c[:4] for c in cases]
     got = told(spark, lines.fragment_range(F.col("l"), F.col("f"), F.col("s"), F.col("e")), rows, "l string, f string, s int, e int")
-    assert [x and tuple(x) for x in got] == [(4, 7), (4, 7), None, None, None, (0, 0)]
+    assert [(x["start"], x["end"]) if x["error"] is None else x["error"] for x in got] == [c[4] for c in cases]
+    allowed = F.array(F.struct(F.lit(4).alias("start"), F.lit(7).alias("end")))
+    got = told(spark, lines.fragment_range(F.col("l"), F.col("f"), F.col("s"), F.col("e"), allowed), [("abc abc", "abc", 0, 3), ("abc abd", "abc", 0, 3), ("a b a b", "ab", 0, 3)], "l string, f string, s int, e int")
+    assert [(x["start"], x["end"]) if x["error"] is None else x["error"] for x in got] == [(4, 7), "unresolved", (4, 7)]
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_nearest_siblings_in_one_group_of_ties(spark, partitions):
+    draw = random.Random(partitions)
+    rows = [("hot", i, draw.choice([1, 5, 5, 5, 9, 30])) for i in range(80)] + [(None, 200 + i, i % 3) for i in range(9)] + [(f"s{i % 4}", 100 + i, draw.randrange(6)) for i in range(40)] + [("alone", 999, 1)]
+    got = {}
+    for r in lines.nearest(spark.createDataFrame(rows, "p string, own int, at int").repartition(partitions), "p", "own", "at", 3).collect():
+        got.setdefault(r["own"], []).append((r["n"], r["neighbour"]))
+    want = {}
+    for p, n, at in rows:
+        near = sorted((abs(a - at), a, m) for q, m, a in rows if q == p and m != n)[:3]
+        if near:
+            want[n] = [(i, m) for i, (_, _, m) in enumerate(near, 1)]
+    assert {k: sorted(v) for k, v in got.items()} == want
+
+
+def test_children_of_many_paragraphs(spark):
+    """One row of 10,000 paragraphs: every one is in a child, in order, and none is too long."""
+    words = [f"p{i} " + "x" * (i % 90) for i in range(10_000)]
+    got = chunks.children(spark.createDataFrame([(1, "\n\n".join(words))], "id int, text string"), "id").orderBy("part").collect()
+    assert [r["part"] for r in got] == list(range(len(got))) and all(len(r["text"]) <= 1600 for r in got)
+    seen = [p for r in got for p in r["text"].split("\n\n")]
+    at = 0
+    for w in words:
+        at = seen.index(w.strip(), at) + 1
+
+
+def test_alignment_by_pairs(spark):
+    pages = [(1, ["a b c", "heading one", "x", "heading two", "heading one"], ["heading one", "heading two", "heading one", "", "none of it"]), (2, [], ["x"]), (3, ["x"], []), (4, ["alpha beta", "alpha betb"], ["alpha betz", "alpha betz"])]
+    got = sorted((r["page"], r["heading"], r["paragraph"]) for r in chunks.aligned_headings(spark.createDataFrame(pages, "page int, paragraphs array<string>, headings array<string>"), ["page"]).collect())
+    assert got == [(1, 0, 1), (1, 1, 3), (1, 2, 4), (4, 0, 0), (4, 1, 1)]
 
 
 def test_bindings(spark):
