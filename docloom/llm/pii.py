@@ -84,7 +84,7 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 #: Kind, what a text must hold for the pattern to match at all, and the pattern. Tokens run to their end, however long.
 _GENERATORS: tuple[tuple[str, str, re.Pattern], ...] = (
-    ("address", "at", re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]{1,64}\s?(?:\[at\]|\(at\)|(?<=\s)at(?=\s))\s?[A-Za-z0-9-]{1,63}(?:\s?(?:\[dot\]|\(dot\)|(?<=\s)dot(?=\s)|\.)\s?[A-Za-z]{2,24})+", re.I)),
+    ("address", "at", re.compile(r"(?<![\w.%+-])[A-Za-z0-9._%+-]++\s?(?:\[at\]|\(at\)|(?<=\s)at(?=\s))\s?[A-Za-z0-9-]++(?:\s?(?:\[dot\]|\(dot\)|(?<=\s)dot(?=\s)|\.)\s?[A-Za-z]{2,}+)+", re.I)),
     ("number", "digit", re.compile(r"(?<![\w.+])\(?[0-9]{2,4}\)?(?:[-. /][0-9]{2,4}){1,4}(?![\w])")),
     ("number", "digit", re.compile(r"(?<![\w.+])0[0-9]{8,11}(?!\w)")),
     ("identity", "digit", re.compile(r"(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-])")),
