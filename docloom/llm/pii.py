@@ -191,12 +191,14 @@ def _examples(n: int, seed: int) -> tuple[list[tuple[str, str, int, int]], np.nd
     low, hexa, base64, caps = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
     word = lambda: chars(int(draw.integers(2, 9)), low)
     cue = lambda *w: pick([*w, *w, word()])
+    local = lambda: "".join(word() for _ in range(pick([1, 1, 2, 12])))
+    gap = lambda: pick([" ", " ", ""])
     true = (
         lambda: (cue("phone", "call", "tel:", "mobile"), f"({digits(3)}) {digits(3)}-{digits(4)}"),
         lambda: (cue("phone", "call", "tel:", "contact"), f"{digits(3)}-{digits(3)}-{digits(4)}"),
         lambda: (cue("tel:", "fax", "mobile"), f"0{digits(3)} {digits(3)} {digits(4)}"),
-        lambda: (cue("mail", "write to", "email"), f"{word()}{pick(['.', '_', ''])}{word()} [at] {word()} [dot] {pick(['com', 'org', 'net', 'de'])}"),
-        lambda: (cue("mail", "reach me", "email"), f"{word()}(at){word()}.{pick(['com', 'org', 'net'])}"),
+        lambda: (cue("mail", "write to", "email"), f"{local()}{pick(['.', '_', ''])}{word()}{(g := gap())}[at]{g}{word()}{g}[dot]{g}{pick(['com', 'org', 'net', 'de'])}"),
+        lambda: (cue("mail", "reach me", "email"), f"{local()}(at){word()}.{pick(['com', 'org', 'net'])}"),
         lambda: (cue("mail", "email"), f"{word()} at {word()} dot {pick(['com', 'org', 'net'])}"),
         lambda: (cue("ssn", "social"), f"{digits(3)}-{digits(2)}-{digits(4)}"),
         lambda: (cue("iban", "account"), f"{pick(['DE', 'FR', 'ES', 'GB'])}{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}"),
