@@ -74,8 +74,8 @@ def long_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else string_distance(x, y) for x, y in zip(a, b, strict=True)], dtype="Int32")
 
 
-#: Cells up to which the built-in distance is the faster one (measured: 10,000 by 10,000 characters).
-CELLS = 100_000_000
+#: Cells up to which the built-in distance is the faster one.
+CELLS = 100_000
 
 
 def text_distance(a: Column, b: Column) -> Column:
