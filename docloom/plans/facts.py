@@ -61,9 +61,10 @@ def fact_errors(spark: SparkSession, sf: str) -> DataFrame:
 @query("typed_columns", "SELECT l_orderkey AS document_id, l_linenumber AS fact, round(round(l_discount * 100), 6) AS percent, (round(l_quantity) * 10000)::BIGINT AS spend, (l_linenumber * 10000)::BIGINT AS cap FROM lineitem")
 def typed_columns(spark: SparkSession, sf: str) -> DataFrame:
     """Rates, spending and caps as columns with a state of their own."""
-    rows = _typed(_facts(spark, sf))
     percent, spend, cap = structured.percent_column(F.col("value"), F.col("unit"), F.col("value_literals")), structured.spend_column(F.col("condition"), F.col("condition_literals")), structured.cap_column(F.col("cap"), F.col("cap_literals"))
-    return rows.select("document_id", "fact", F.round(percent["value"], 6).alias("percent"), spend["value"].alias("spend"), cap["value"].alias("cap"))
+    fields = ["value", "unit", "condition", "cap"]
+    typed = lambda w: _typed(w).select(*fields, F.round(percent["value"], 6).alias("percent"), spend["value"].alias("spend"), cap["value"].alias("cap_krw"))
+    return structured.by_wording(_facts(spark, sf), fields, typed).select("document_id", "fact", "percent", "spend", F.col("cap_krw").alias("cap"))
 
 
 @query(
