@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -126,8 +127,10 @@ def alpha_fuse_minmax(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("scoped_rank_per_group", f"WITH {_BM25_SQL}, s AS (SELECT query, doc, round(score, 6) AS score, source, row_number() OVER (PARTITION BY query, source ORDER BY score DESC, doc)::INT AS rank FROM bm JOIN documents ON doc_id = doc WHERE source IN ('src1', 'src2', 'src3')) SELECT * FROM s WHERE rank <= 5")
 def scoped_rank_per_group(spark: SparkSession, sf: str) -> DataFrame:
-    scope = _docs(spark, sf).where(F.col("source").isin("src1", "src2", "src3")).select(F.col("doc_id").alias("doc"), "source")
-    return ranking.scoped_ranks(_keyword(spark, sf).join(scope, "doc"), "source", 5).select("query", "doc", F.round("score", 6).alias("score"), "source", "rank")
+    """The best of each scope from the index's blocks: no row is made of a posting."""
+    scope = lambda s: _docs(spark, sf).where(F.col("source") == s).select(F.col("doc_id").alias("doc"))
+    best = [_keyword_top(spark, sf, 5, scope(s)).withColumn("source", F.lit(s)) for s in ("src1", "src2", "src3")]
+    return reduce(DataFrame.unionByName, best).select("query", "doc", F.round("score", 6).alias("score"), "source", "rank")
 
 
 @query("global_stats_scoped_bm25", f"WITH {_BM25_SQL}, s AS (SELECT query, doc, round(score, 6) AS score, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)::INT AS rank FROM bm JOIN documents ON doc_id = doc WHERE lang = 'en') SELECT * FROM s WHERE rank <= 10")
