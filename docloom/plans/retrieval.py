@@ -30,10 +30,6 @@ def _terms(spark: SparkSession, sf: str) -> DataFrame:
     return lexical.query_terms(read(spark, sf, "benchmark"), "item_id", lexical.ascii_tokens(F.col("text")))
 
 
-def _keyword(spark: SparkSession, sf: str) -> DataFrame:
-    return lexical.bm25(_index(spark, sf), _terms(spark, sf))
-
-
 def _keyword_top(spark: SparkSession, sf: str, k: int = DEPTH, only: DataFrame | None = None) -> DataFrame:
     """The k best documents of each query, from the index's blocks."""
     return lexical.best_documents(_index(spark, sf), _terms(spark, sf), k, only=only)
@@ -141,7 +137,8 @@ def global_stats_scoped_bm25(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("bm25_with_unmatched", f"WITH {_BM25_SQL}, one AS (SELECT * FROM bm), z AS (SELECT q.query, d.doc_id AS doc, coalesce(one.score, 0) AS score FROM (SELECT DISTINCT item_id AS query FROM benchmark) q CROSS JOIN documents d LEFT JOIN one ON one.query = q.query AND one.doc = d.doc_id), r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc)::INT AS rank FROM z) SELECT query, doc, round(score, 6) AS score, rank FROM r WHERE rank <= 400")
 def bm25_with_unmatched(spark: SparkSession, sf: str) -> DataFrame:
-    scored = _keyword(spark, sf)
+    # scores are above 0: a query with fewer than 400 scored documents has them all among its best
+    scored = _keyword_top(spark, sf, 400)
     asked = read(spark, sf, "benchmark").select(F.col("item_id").alias("query"))
     both = lexical.with_unmatched(scored, asked, _docs(spark, sf).select(F.col("doc_id").alias("doc")), 400)
     return lexical.top_k(both, 400).select("query", "doc", F.round("score", 6).alias("score"), "rank")
