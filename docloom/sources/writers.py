@@ -144,21 +144,18 @@ def roll_back(spark: SparkSession, root: str, release_id: str) -> None:
 
 
 def write_postings(docs: DataFrame, id_col: str, tokens: Column, root: str) -> lexical.Index:
-    """The inverted index as tables; postings are laid out by term."""
-    built = lexical.build_index(docs, id_col, tokens)
-    built.postings.repartitionByRange("term").sortWithinPartitions("term", "doc").write.mode("overwrite").parquet(f"{root}/postings")
+    """The inverted index as tables: blocks of postings by shard, from which everything else is read. Texts are shuffled once."""
     spark = docs.sparkSession
-    postings = spark.read.parquet(f"{root}/postings")
-    postings.groupBy("term").agg(F.count(F.lit(1)).alias("df")).write.mode("overwrite").parquet(f"{root}/terms")
-    built.corpus.write.mode("overwrite").parquet(f"{root}/corpus")
-    stored = lexical.Index(*(spark.read.parquet(f"{root}/{t}") for t in ("postings", "terms", "corpus")))
-    lexical.blocked(stored).write.mode("overwrite").parquet(f"{root}/blocks")
-    lexical.members_of(spark.read.parquet(f"{root}/blocks")).write.mode("overwrite").parquet(f"{root}/members")
+    lexical.corpus_of(docs, tokens).write.mode("overwrite").parquet(f"{root}/corpus")
+    lexical.blocked(docs, id_col, tokens, spark.read.parquet(f"{root}/corpus")).write.mode("overwrite").parquet(f"{root}/blocks")
+    blocks = spark.read.parquet(f"{root}/blocks")
+    blocks.where("term IS NOT NULL").groupBy("term").agg(F.sum(F.size("docs")).alias("df")).write.mode("overwrite").parquet(f"{root}/terms")
+    lexical.members_of(blocks).write.mode("overwrite").parquet(f"{root}/members")
     return read_postings(spark, root)
 
 
 #: The layout of stored postings; a change of tables or columns takes a new number.
-POSTINGS_FORMAT = 5
+POSTINGS_FORMAT = 6
 
 
 def _items(seq) -> list:
@@ -207,7 +204,8 @@ def stored_postings(docs: DataFrame, id_col: str, tokens: Column, folder: str) -
 
 
 def read_postings(spark: SparkSession, root: str) -> lexical.Index:
-    return lexical.Index(*(spark.read.parquet(f"{root}/{t}") for t in ("postings", "terms", "corpus", "blocks", "members")))
+    terms, corpus, blocks, members = (spark.read.parquet(f"{root}/{t}") for t in ("terms", "corpus", "blocks", "members"))
+    return lexical.Index(lexical.postings_of(blocks, members), terms, corpus, blocks, members)
 
 
 def embed_missing(rows: DataFrame, embed, model: str, dims: int, text: str = "text") -> DataFrame:
