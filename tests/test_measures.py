@@ -1,6 +1,10 @@
 import random
+import re
+from collections import Counter
 from functools import lru_cache
 
+import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -30,6 +34,50 @@ def test_string_distance(a, b):
     assert measures.string_distance("x" + a + "yy", "x" + b + "yy") == plain_distance(a, b)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.one_of(st.none(), st.tuples(st.lists(st.integers(0, 3), max_size=140), st.lists(st.integers(0, 4), max_size=140))), max_size=12), st.sampled_from([1, 4, 40]))
+def test_distances_of_many_pairs_at_once(pairs, wide):
+    """Of none, some and several blocks of 64, in groups of any width and one by one."""
+    own = [None if p is None else tuple(np.array(x, np.int64) for x in p) for p in pairs]
+    want = [None if p is None else plain_distance(*p) for p in pairs]
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(measures, "WIDE", wide)
+        for least in (1, 1 << 20):
+            m.setattr(measures, "LEAST", least)
+            assert measures.code_distances(own) == want
+        m.setattr(measures, "LEAST", 1)
+        m.setattr(measures, "TABLE", 40)
+        assert measures.code_distances(own) == want
+    spread = [None if p is None else tuple(np.array([x * 70_001 for x in y], np.int64) for y in p) for p in pairs]
+    assert measures.code_distances(spread) == want
+
+
+def test_words_are_split_at_unicode_blanks(spark):
+    texts = ["a\x1cb c", "a\u3000b\xa0c", " a  b ", "", "a\u200bb", None]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    got = df.select(measures.word_distance(F.col("t"), F.lit("")).alias("d"), F.filter(F.split("t", r"(?U)\s+"), lambda w: w != "").alias("w")).collect()
+    assert [(r["d"]["distance"], r["d"]["size"]) if r["w"] is not None else None for r in got] == [(len(r["w"]),) * 2 if r["w"] is not None else None for r in got]
+
+
+def test_pairs_of_texts_are_dealt_to_several_tasks(spark, tmp_path):
+    """Not to as many as the ids fill, and shared tokens are counted without a row for each."""
+    from docloom.plans import lane_queries
+
+    rows = [(i, None if i == 9 else f"Tok{i % 4} tok1, tok1" if i % 5 else "!", "en", f"s{i % 3}", 0) for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert lane_queries._following(spark, str(tmp_path)).rdd.getNumPartitions() == tasks
+    overlap = lane_queries.token_multiset_overlap(spark, str(tmp_path))
+    assert "Generate" not in overlap._jdf.queryExecution().executedPlan().toString()
+    want = {}
+    for i, t, *_ in rows[:57]:
+        if rows[i + 3][1] is not None:
+            a, b = (Counter(re.findall("[0-9a-z]+", (x or "").lower())) for x in (t, rows[i + 3][1]))
+            if a or b:
+                want[i] = ((a & b).total(), a.total(), b.total())
+    assert {r[0]: tuple(r[1:]) for r in overlap.collect()} == want
+
+
 def test_text_distance_of_short_and_long_texts(spark, monkeypatch):
     draw = random.Random(4)
     rows = [("".join(draw.choice("abcé") for _ in range(n)), "".join(draw.choice("abcé") for _ in range(m))) for n, m in ((0, 0), (0, 5), (30, 20), (400, 300), (700, 1), (350, 350))] + [(None, "a"), ("a", None), ("a" * 2000, "a" * 1999 + "b")]
