@@ -103,6 +103,16 @@ def test_fallback_and_scope(spark):
     assert got == {(10, 2), (11, 1), (11, 2)}
 
 
+def test_few_runs_of_a_question_become_rows(spark):
+    """A row of each place of a text would be 2,000 here; all starts of names are among those made, long and short ones and beyond the first plane."""
+    text = "".join(chr(97 + i * i % 23) for i in range(1000)) + "bluecardplus\U0001f600\U0001f601\U0001f602xgold"
+    asked = spark.createDataFrame([(1, text), (2, ""), (3, "abc")], "query int, text string")
+    starts = spark.createDataFrame([("bluecard",), ("gold",), ("\U0001f600\U0001f601\U0001f602x",), ("none",)], "start string")
+    got = [tuple(r) for r in structured._begun(asked, starts, (4, 8)).collect()]
+    assert {(1, "bluecard"), (1, "gold"), (1, "\U0001f600\U0001f601\U0001f602x")} <= set(got) and len(got) == len(set(got)) < 20
+    assert not structured._begun(asked, starts.where("false"), (4, 8)).count()
+
+
 def test_repairs(spark):
     evidence = lambda *fields: {f: [("P0001-L0001", "리터당 10포인트")] for f in fields}
     scope = ("bounded_block", ["P0001-L0001"], [])
