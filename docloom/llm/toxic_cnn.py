@@ -4,7 +4,7 @@ A word is a run of letters, digits and bytes from 0x80, A-Z lower-cased. Its vec
 its first four and five bytes, so that unseen forms of a known stem are known. Filters of one, two and three words pass over
 the whole text; each filter's highest answer, rectified, feeds a logistic output. The network is trained by stochastic
 steps in numpy on all labelled documents: they are dealt by the hash of the id to parts of about ``PART`` documents or
-``WORDS`` words, each part trains a copy, and after each epoch the copies are averaged, an embedding over those that
+``WORDS`` words, each part trains a copy, and after each half of the epochs the copies are averaged, an embedding over those that
 met it. Documents of no more than one part are learnt from on the driver, one copy over all epochs. A quarter of the documents is left out of training and sets the thresholds, by counts of all its
 answers in steps of 1/``GRAIN``: one for each language of which it holds ``FEW`` toxic and ``FEW`` clean texts, else the one of all. The language is guessed from the
 function words of the text itself. A score is a logistic function of the network's output less the threshold, so 0.5 is the threshold of each language.
@@ -33,6 +33,8 @@ from docloom.llm.shingles import mixed, powers
 PART, WORDS = 7500, 8_000_000
 #: Steps of an answer counted apart, and the answer beyond which it counts as this one; cells that weights are averaged in.
 GRAIN, FAR, CELLS = 256, 64, 16
+#: How often the copies are averaged, and bits of the set by which documents without a label stay out of the shuffle.
+ROUNDS, ID_BITS = 2, 1 << 25
 BUCKETS, SIZE, WIDTHS, FILTERS = 1 << 16, 16, (1, 2, 3), 8
 EPOCHS, BATCH, FEW = 6, 32, 20
 PREFIXES = (4, 5)
@@ -358,6 +360,15 @@ def _answers(rows: DataFrame, net: Network) -> DataFrame:
     return rows.select("y", "words").mapInArrow(run, "lang int, y int, at int").groupBy("lang", "y", "at").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _maybe_in(named: DataFrame, given: DataFrame) -> DataFrame:
+    """The rows of named whose id may be in given, by bits of its hash; ID_BITS of them at most are sent about."""
+    bit = F.pmod(F.xxhash64("id", F.lit(71)), F.lit(ID_BITS))
+    sets = given.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("_bits"))
+    at = named.withColumn("_bit", bit).withColumns({"_bucket": F.bitmap_bucket_number("_bit"), "_at": F.bitmap_bit_position("_bit")})
+    byte = F.conv(F.hex(F.expr("substring(_bits, cast(_at div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    return at.join(F.broadcast(sets), "_bucket").where(F.getbit(byte, (F.col("_at") % 8).cast("int")) == 1).select(*named.columns)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", toxic: int | None = None, clean: int | None = None, words: int | None = None) -> Toxicity:
     """Fit on all labelled documents of labels (doc_id, toxic), or if asked on so many toxic and clean ones, of so many words together."""
     first = F.xxhash64("id", F.lit(31))
@@ -370,7 +381,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", toxic: int |
         some = lambda y, n: there.where(f"y = {y}") if n is None else there.where(f"y = {y}").orderBy(first, "id").limit(n)
         given = some(1, toxic).unionByName(some(0, clean))
     # of the rows of an id one is learnt from
-    rows = staged(with_words(named.join(given, "id")).groupBy("id", "y").agg(F.min("words").alias("words")), "toxic")
+    rows = staged(with_words(_maybe_in(named, given).join(given, "id")).groupBy("id", "y").agg(F.min("words").alias("words")), "toxic")
     if words is not None:
         sizes = rows.select("id", F.length("words").alias("n")).withColumn("all", F.sum("n").over(W.orderBy(first, "id")))
         rows = rows.join(sizes.where(F.col("all") <= words * 2 * (1 + len(PREFIXES))).select("id"), "id")
@@ -394,7 +405,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", toxic: int |
     dealt = train.withColumn("part", F.pmod(F.xxhash64("id", F.lit(43)), F.lit(parts)))
     share = class_weights(there, totals)
     model.network = Network()
-    for epochs in (range(e, e + 1) for e in range(EPOCHS)):
+    for epochs in (range(e, e + EPOCHS // ROUNDS) for e in range(0, EPOCHS, EPOCHS // ROUNDS)):
         model.network = _epochs(dealt, model.network, parts, np.sqrt(share), epochs)
     got = _answers(rest, model.network).orderBy("lang", "y", "at").collect()  # steps of an answer, however many documents
     lang, y, at, many = (np.array([r[c] for r in got]) for c in ("lang", "y", "at", "n"))

@@ -142,13 +142,19 @@ def test_every_label_is_learnt_from(spark, monkeypatch):
     epochs = tc._epochs
     monkeypatch.setattr(tc, "_epochs", lambda rows, net, parts, *a: learnt.append((rows.count(), parts)) or epochs(rows, net, parts, *a))
     model = tc.fit(docs.select("doc_id", "text"), docs.select("doc_id", "toxic"))
-    assert len(learnt) == tc.EPOCHS and all(2100 < n < 2400 and parts == 4 for n, parts in learnt)
+    assert len(learnt) == tc.ROUNDS and all(2100 < n < 2400 and parts == 4 for n, parts in learnt)
     again = tc.fit(docs.repartition(5).select("doc_id", "text"), docs.select("doc_id", "toxic"))
     assert np.array_equal(model.network.emb, again.network.emb) and np.array_equal(model.cuts, again.cuts)
     score, y = model.score([t.encode() for _, t, _ in made(400, seed=5)]), np.array([r[2] for r in made(400, seed=5)])
     assert (score[y == 1] >= 0.5).mean() >= 0.8 and (score[y == 0] < 0.5).mean() >= 0.9
 
 
+def test_no_labelled_document_is_left_out_of_the_join(spark):
+    ids = spark.range(0, 30_000).select((F.col("id") * 7919).alias("id"))
+    got = tc._maybe_in(ids, ids.where("id % 5 = 0"))
+    assert got.where("id % 5 = 0").count() == 6000 and got.count() < 6200
+
+
 def test_bounded_sample(spark):
     rows = made(300)
     docs = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
