@@ -11,7 +11,7 @@ from contextlib import contextmanager
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,26 +34,43 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Hand rows to Python in batches of so many at most: texts and sets are long, and a batch is held on both sides."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A setting of the session for a while."""
     before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    spark.conf.set(key, value)
     try:
         yield
     finally:
         spark.conf.set(key, before)
 
 
+def arrow_rows(spark: SparkSession, rows: int = 1000):
+    """Hand rows to Python in batches of so many at most: texts and sets are long, and a batch is held on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = int(spark.conf.get(key))
+    return setting(spark, key, str(min(rows, before) if before > 0 else rows))
+
+
+def shuffles_dropped(spark: SparkSession):
+    """A job's shuffle files go when it ends, not when the driver happens to collect its garbage: small jobs leave hundreds of files each."""
+    return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df to a table of its own in the shared folder and read it back: lineage ends here, and rows stay as they are when tasks are rerun."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
-    with arrow_rows(spark):
+    with arrow_rows(spark), shuffles_dropped(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def collected(df: DataFrame) -> list[Row]:
+    """The few rows of df."""
+    with shuffles_dropped(df.sparkSession):
+        return df.select("*").collect()  # a plan keeps the setting it was made under
+
+
 def row_keyed(docs: DataFrame, id_col: str = "doc_id", key: str = "row_key") -> DataFrame:
     """docs with a long ``key`` unique to each row: the id itself where ids are whole, else a number written beside the row."""
     n, distinct = docs.agg(F.count(F.lit(1)), F.count_distinct(id_col)).first()

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window as W
 
-from docloom.llm.common import released, set_aside, slices, staged, utf8
+from docloom.llm.common import collected, released, set_aside, slices, staged, utf8
 from docloom.llm.shingles import mixed, powers
 
 PART, WORDS = 7500, 8_000_000
@@ -285,16 +285,16 @@ class Toxicity:
 
 
 def with_words(docs: DataFrame) -> DataFrame:
-    """(id, y, words): packed word buckets of (id, y, text)."""
+    """(id, words): packed word buckets of (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             ids, begins = word_ids(list(utf8(batch.column("text"))))
             words = pa.array([ids[a:b].tobytes() for a, b in zip(begins[:-1].tolist(), begins[1:].tolist(), strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("y"), words], ["id", "y", "words"])
+            yield pa.RecordBatch.from_arrays([batch.column("id"), words], ["id", "words"])
 
     kind = docs.schema["id"].dataType.simpleString()
-    return docs.select("id", "y", "text").mapInArrow(run, f"id {kind}, y int, words binary")
+    return docs.select("id", "text").mapInArrow(run, f"id {kind}, words binary")
 
 
 def _epochs(rows: DataFrame, net: Network, parts: int, balance: np.ndarray, epochs: range) -> Network:
@@ -337,7 +337,7 @@ def _epochs(rows: DataFrame, net: Network, parts: int, balance: np.ndarray, epoc
 
     dealt = rows.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", F.xxhash64("id", F.lit(37)), "id")
     copies = dealt.select("part", "y", "words").mapInArrow(run, "part long, cell int, n long, sums binary")
-    got = copies.repartitionById(CELLS + 1, "cell").sortWithinPartitions("cell", "part").select("cell", "n", "sums").mapInArrow(summed, "cell int, n long, sums binary").collect()  # one network
+    got = collected(copies.repartitionById(CELLS + 1, "cell").sortWithinPartitions("cell", "part").select("cell", "n", "sums").mapInArrow(summed, "cell int, n long, sums binary"))  # one network
     *cells, last = sorted(got, key=lambda r: r["cell"])
     table = np.concatenate([np.frombuffer(r["sums"], "<f4") for r in cells]).reshape(BUCKETS, SIZE + 2)
     met = table[:, -1:] > 0
@@ -380,8 +380,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", toxic: int |
         there = given.join(named.select("id"), "id", "left_semi")
         some = lambda y, n: there.where(f"y = {y}") if n is None else there.where(f"y = {y}").orderBy(first, "id").limit(n)
         given = some(1, toxic).unionByName(some(0, clean))
-    # of the rows of an id one is learnt from
-    rows = staged(with_words(_maybe_in(named, given).join(given, "id")).groupBy("id", "y").agg(F.min("words").alias("words")), "toxic")
+    # of the rows of an id one is learnt from; words are made ahead of the join, so that the grouping needs no shuffle of its own
+    rows = staged(with_words(_maybe_in(named, given)).join(given, "id").groupBy("id", "y").agg(F.min("words").alias("words")), "toxic")
     if words is not None:
         sizes = rows.select("id", F.length("words").alias("n")).withColumn("all", F.sum("n").over(W.orderBy(first, "id")))
         rows = rows.join(sizes.where(F.col("all") <= words * 2 * (1 + len(PREFIXES))).select("id"), "id")

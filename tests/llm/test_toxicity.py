@@ -1,4 +1,7 @@
+import contextlib
+import io
 import random
+import re
 
 import numpy as np
 import pytest
@@ -162,3 +165,23 @@ def test_bounded_sample(spark):
     assert few.prior == 0.2
     a, b = (tc.fit(d.select("doc_id", "text"), docs.select("doc_id", "toxic")).score([b"the red herring", b""]) for d in (docs, docs.repartition(9)))
     assert np.array_equal(a, b)
+
+
+def test_words_are_dealt_once(spark, monkeypatch):
+    """The words of labelled documents are grouped where the join has put them, without a second shuffle; of several rows of an id one is learnt from."""
+    rows = made(80)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(0, "zz"), (0, "aa")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int")
+    plans = []
+    monkeypatch.setattr(tc, "staged", lambda df, name: plans.append(df) or df)
+    monkeypatch.setattr(tc.Toxicity, "__init__", lambda self, texts, *_: setattr(self, "texts", texts))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        model = tc.fit(docs, labels)
+        out = io.StringIO()
+        with contextlib.redirect_stdout(out):
+            plans[0].explain()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "MapInArrow" in out.getvalue() and not re.search(r"hashpartitioning\(id#\d+L?, y#", out.getvalue())
+    assert len(model.texts) == len(rows)
