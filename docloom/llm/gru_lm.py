@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import row_keyed, slices, staged, utf8
+from docloom.llm.common import collected, row_keyed, slices, staged, utf8
 
 HEAD, KNOWN, CLASSES, HIDDEN = 1 << 17, 2048, 48, 16
 #: One document in SHARE is trained on, dealt over ROUNDS rounds.
@@ -69,14 +69,29 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word string, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
+class Places(dict):
+    """Place by word; ``none`` for any other."""
+
+    def __init__(self, none: int, places: dict[bytes, int]):
+        super().__init__(places)
+        self.none = none
+
+    def __missing__(self, word: bytes) -> int:
+        return self.none
+
+    def __reduce__(self):
+        return Places, (self.none, dict(self))
+
+
 class Words:
     """The head of the vocabulary: place by word, counts, the network's classes. Place 0 is the end token; tokens from ``known`` on are in the last class."""
 
     def __init__(self, words: list[str], counts: list[int], total: int, distinct: int, known: int, classes: int):
-        self.place = {w.encode(): i for i, w in enumerate(words)}
+        self.place = Places(len(words), {w.encode(): i for i, w in enumerate(words)})
         self.counts = np.array(counts, float)
         self.total, self.distinct = total, distinct
         self.known = min(known, len(words))
+        self.own = Places(self.known, {w.encode(): i for i, w in enumerate(words[: self.known])})
         c = self.counts[: self.known] + 0.5
         mass = np.cumsum(c) / c.sum() if len(c) else c
         cut = np.minimum((mass * classes - 1e-9).astype(int), classes - 1) if len(c) else np.zeros(0, int)
@@ -90,14 +105,18 @@ class Words:
         self.word_bias = np.log(c)
         self.log_count = np.log10(self.counts + 0.5)
 
+    def own_ids(self, text: bytes) -> np.ndarray:
+        """Places of a text's tokens, the end last, ``known`` for all but the network's own."""
+        words = text.lower().split()
+        words.append(b"")
+        return np.fromiter(map(self.own.__getitem__, words), np.int32, len(words))
+
     def ids(self, text: bytes) -> tuple[np.ndarray, list[bytes]]:
         """Places of a text's tokens, the end last, len(place) for those beyond the head, and these."""
         words = text.lower().split()
-        none = len(self.place)
-        get = self.place.get
-        got = np.fromiter((get(w, none) for w in words), np.int32, len(words))
-        beyond = [words[i] for i in np.flatnonzero(got == none).tolist()]
-        return np.append(got, np.int32(self.place.get(b"", none))), beyond
+        words.append(b"")
+        got = np.fromiter(map(self.place.__getitem__, words), np.int32, len(words))
+        return got, [words[i] for i in np.flatnonzero(got[:-1] == len(self.place)).tolist()]
 
 
 class Network:
@@ -129,106 +148,140 @@ class Network:
 
     def forward(self, h: np.ndarray, X: np.ndarray, reset: np.ndarray, keep: bool = False):
         """States (steps, lanes, hidden) for inputs X; lanes are reset where told. With ``keep`` what backpropagation needs."""
+        out, h, kept = self.states(h, X, reset, keep)
+        return out.transpose(1, 2, 0), h, kept
+
+    def states(self, h: np.ndarray, X: np.ndarray, reset: np.ndarray, keep: bool = False):
+        """As forward(), the states as (hidden, steps, lanes): lanes run along the last axis, so each gate is rows of memory."""
         H, (steps, lanes) = self.hidden, X.shape
-        U, G = self.p["U"], self.p["E"][X]
-        G += self.p["B"]
-        out = np.empty((steps, lanes, H), np.float32)
+        U = np.ascontiguousarray(self.p["U"].T)
+        E = np.ascontiguousarray((self.p["E"] + self.p["B"]).T)
+        out = np.empty((H, steps, lanes), np.float32)
         kept = []
         any_reset = reset.any(axis=1)
+        h, half = np.ascontiguousarray(h.T), np.float32(0.5)
         for t in range(steps):
             if any_reset[t]:
-                h = h * ~reset[t][:, None]
-            g = h @ U
-            zr = 0.5 * np.tanh(0.5 * (G[t, :, : 2 * H] + g[:, : 2 * H])) + 0.5
-            n = np.tanh(G[t, :, 2 * H :] + zr[:, H:] * g[:, 2 * H :])
+                h = h * ~reset[t]
+            g = U @ h
+            G = np.take(E, X[t], axis=1, mode="clip")
+            zr, n = G[: 2 * H], G[2 * H :]
+            zr += g[: 2 * H]
+            zr *= half
+            np.tanh(zr, out=zr)
+            zr *= half
+            zr += half
+            n += zr[H:] * g[2 * H :]
+            np.tanh(n, out=n)
             if keep:
-                kept.append((h, g[:, 2 * H :], zr, n))
-            h = n + zr[:, :H] * (h - n)
-            out[t] = h
-        return out, h, kept
-
-    def output(self, S: np.ndarray, Y: np.ndarray, gradient: bool = False):
-        """Natural log probabilities of the targets Y (class and place within; tokens of the last class: of the class alone) given states S; optionally gradients of their sum, in terms of -sum. Rows are worked on in order of their class, each class as one slice."""
-        words, p = self.words, self.p
+                kept.append((h, g[2 * H :], zr, n))
+            h = h - n
+            h *= zr[:H]
+            h += n
+            out[:, t] = h
+        return out, h.T, kept
+
+    def output(self, S: np.ndarray, Y: np.ndarray) -> np.ndarray:
+        """Natural log probabilities of the targets Y (class and place within; tokens of the last class: of the class alone) given states S (rows, hidden)."""
+        return self.answers(S.T, Y)
+
+    def answers(self, S: np.ndarray, Y: np.ndarray, gradient: bool = False):
+        """As output(), given states (hidden, rows); optionally gradients of their sum, in terms of -sum. Rows are worked on in order of their class, each class as one slice."""
+        words, p, H = self.words, self.p, self.hidden
         cls = words.of[Y]
-        order = np.argsort(cls, kind="stable")
-        cls, own, s = cls[order], Y[order], np.ascontiguousarray(S[order].T)  # a column a row: sums over words run along the rows
+        order = np.argsort(cls.astype(np.uint16), kind="stable")  # of few bits: no comparisons
+        cls, own = cls[order], Y[order]
+        kind = np.result_type(S, p["Wo"])
+        s = np.ones((H + 1, len(Y)), kind)  # a column a row; ones stand for the bias
+        s[:H] = S[:, order]
         rows = np.arange(len(Y))
         grads: dict[str, np.ndarray] = {}
-
-        def softmax(W: np.ndarray, b: np.ndarray, s: np.ndarray, its: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """log P of its, and P less one there."""
-            x = W @ s
-            x += b[:, None]
-            x -= x.max(axis=0)
-            r = rows[: len(its)]
+        logp, dS = np.zeros(len(Y), kind), np.zeros((H, len(Y)), kind)
+
+        def softmax(W: np.ndarray, lo: int, hi: int, its: np.ndarray, far: bool) -> np.ndarray | None:
+            """Adds log P of its to logp; with gradients their part to dS, and returns that of W. The sum of a row is divided by at the narrow side of each product."""
+            part, r = s[:, lo:hi], rows[: hi - lo]
+            x = W @ part
+            if far:  # beyond what exp holds
+                x -= x.max(axis=0)
             hit = x[its, r]
             np.exp(x, out=x)
-            total = x.sum(axis=0)
-            if gradient:
-                x /= total
-                x[its, r] -= 1
-            return hit - np.log(total), x
-
-        Wc = np.ascontiguousarray(p["Wc"].T)
-        logp, x = softmax(Wc, p["bc"], s, cls)
+            total = ones[: len(x)] @ x
+            logp[lo:hi] += hit - np.log(total)
+            if not gradient:
+                return None
+            x[its, r] -= total
+            total = 1 / total
+            dS[:, lo:hi] += (W[:, :H].T @ x) * total
+            return x @ (part * total).T
+
+        weights = [np.concatenate([p["Wc"].T, p["bc"][:, None]], axis=1), np.concatenate([p["Wo"], p["bo"][:, None]], axis=1)]
+        reach = [float(np.abs(w).sum(axis=1).max(initial=0)) > 60 for w in weights]  # states are within -1 and 1
+        ones = np.ones(max(map(len, weights)), kind)
+        got = softmax(weights[0], 0, len(Y), cls, reach[0])
         if gradient:
-            grads["Wc"], grads["bc"] = s @ x.T, x.sum(axis=1)
-            dS = p["Wc"] @ x
-            grads["Wo"], grads["bo"] = np.zeros_like(p["Wo"]), np.zeros_like(p["bo"])
+            grads["Wc"], grads["bc"] = np.ascontiguousarray(got[:, :H].T), np.ascontiguousarray(got[:, H])
+            of_words = np.zeros_like(weights[1])
         bounds = np.searchsorted(cls, np.arange(words.classes + 1)).tolist()
         starts = words.starts.tolist()
         for c in range(words.classes):
             a, b, lo, hi = starts[c], starts[c + 1], bounds[c], bounds[c + 1]
             if b - a < 2 or lo == hi:
                 continue
-            W, its = p["Wo"][a:b], s[:, lo:hi]
-            log_word, x = softmax(W, p["bo"][a:b], its, own[lo:hi] - a)
-            logp[lo:hi] += log_word
+            got = softmax(weights[1][a:b], lo, hi, own[lo:hi] - a, reach[1])
             if gradient:
-                grads["Wo"][a:b] = x @ its.T
-                grads["bo"][a:b] = x.sum(axis=1)
-                dS[:, lo:hi] += W.T @ x
+                of_words[a:b] = got
         back = np.empty_like(logp)
         back[order] = logp
         if not gradient:
             return back
-        unsorted = np.empty((len(Y), self.hidden), np.float32)
-        unsorted[order] = dS.T
+        grads["Wo"], grads["bo"] = np.ascontiguousarray(of_words[:, :H]), np.ascontiguousarray(of_words[:, H])
+        unsorted = np.empty_like(dS)
+        unsorted[:, order] = dS
         return back, unsorted, grads
 
     def gradients(self, h: np.ndarray, X: np.ndarray, Y: np.ndarray, reset: np.ndarray):
         """Gradients of the mean loss of one window, backpropagated to its first step; the state after it."""
         H, (steps, lanes) = self.hidden, X.shape
-        S, last, kept = self.forward(h, X, reset, keep=True)
-        logp, dS, grads = self.output(S.reshape(-1, H), Y.ravel(), gradient=True)
-        full = dS.reshape(steps, lanes, H)
-        U = self.p["U"]
-        dG = np.zeros((steps, lanes, 3 * H), np.float32)
-        dU = np.zeros_like(U)
-        dh = np.zeros((lanes, H), np.float32)
+        S, last, kept = self.states(h, X, reset, keep=True)
+        logp, dS, grads = self.answers(S.reshape(H, -1), Y.ravel(), gradient=True)
+        full = dS.reshape(H, steps, lanes)
+        U = np.ascontiguousarray(self.p["U"])
+        dG = np.empty((3 * H, steps, lanes), np.float32)
+        dU = np.zeros((3 * H, H), np.float32)
+        dh, one = np.zeros((H, lanes), np.float32), np.float32(1)
         for t in range(steps - 1, -1, -1):
             before, gn, zr, n = kept[t]
-            z, r = zr[:, :H], zr[:, H:]
-            dh = dh + full[t]
-            dn = dh * (1 - z) * (1 - n * n)
-            dz = dh * (before - n) * z * (1 - z)
-            dr = dn * gn * r * (1 - r)
-            dG[t, :, :H], dG[t, :, H : 2 * H], dG[t, :, 2 * H :] = dz, dr, dn
-            dg = np.concatenate([dz, dr, dn * r], axis=1)
-            dU += before.T @ dg
-            dh = dh * z + dg @ U.T
-            dh[reset[t]] = 0
-        grads["U"], grads["B"] = dU, dG.sum(axis=(0, 1))
+            z, r = zr[:H], zr[H:]
+            dh += full[:, t]
+            its = np.empty((3 * H, lanes), np.float32)
+            back = dh * z
+            dn = dh - back  # dh * (1 - z)
+            np.multiply(back, before - n, out=its[:H])
+            its[:H] *= one - z
+            dn *= one - n * n
+            dr = dn * r
+            dg = its.copy()
+            dg[2 * H :] = dr
+            dr *= gn
+            dr *= one - r
+            its[H : 2 * H] = dg[H : 2 * H] = dr
+            its[2 * H :] = dn
+            dG[:, t] = its
+            dU += dg @ before.T
+            dh = U @ dg
+            dh += back
+            dh[:, reset[t]] = 0
+        grads["U"], grads["B"] = np.ascontiguousarray(dU.T), dG.sum(axis=(1, 2))
         x = X.ravel()
-        order = np.argsort(x, kind="stable")
+        order = np.argsort(x.astype(np.uint16) if len(self.p["E"]) < 1 << 16 else x, kind="stable")
         first = np.flatnonzero(np.diff(x[order], prepend=-1))
         grads["E"] = dE = np.zeros_like(self.p["E"])
-        dE[x[order[first]]] = np.add.reduceat(dG.reshape(-1, 3 * H)[order], first, axis=0)
+        dE[x[order[first]]] = np.add.reduceat(np.take(dG.reshape(3 * H, -1), order, axis=1, mode="clip"), first, axis=1).T
         scale = np.float32(1.0 / Y.size)
         for g in grads.values():
             g *= scale
-        return grads, last, float(-logp.sum())
+        return grads, last, float(-logp.sum(dtype=float))
 
 
 class Trainer:
@@ -328,7 +381,7 @@ def averaged(docs: DataFrame, net: Network, parts: int, expected: float, cells:
                     if trainer is not None:
                         yield weights(now, trainer)
                     now, trainer = part, Trainer(Network(words, hidden).load(flat), expected, lanes)
-                trainer.add(np.minimum(words.ids(t)[0], words.known))
+                trainer.add(words.own_ids(t))
         if trainer is not None:
             yield weights(now, trainer)
 
@@ -349,7 +402,7 @@ def averaged(docs: DataFrame, net: Network, parts: int, expected: float, cells:
     # a partition a part: dealing by the part's hash would put several into one task
     dealt = docs.select(F.pmod(F.xxhash64("row_key", F.lit(43)), F.lit(parts)).alias("part"), "row_key", "text").repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "row_key")
     copies = dealt.select("part", "text").mapInArrow(run, "part long, cell int, tokens long, weights binary")
-    rows = copies.repartitionById(cells, "cell").sortWithinPartitions("cell", "part").select("cell", "tokens", "weights").mapInArrow(summed, "cell int, weights binary").collect()  # the weights of one network
+    rows = collected(copies.repartitionById(cells, "cell").sortWithinPartitions("cell", "part").select("cell", "tokens", "weights").mapInArrow(summed, "cell int, weights binary"))  # the weights of one network
     if len(rows) < cells:
         return None
     return np.concatenate([np.frombuffer(r["weights"], "<f4") for r in sorted(rows, key=lambda r: r["cell"])])
@@ -409,10 +462,10 @@ class Scorer:
         window = max(SCORE_WINDOW, SCORE_WINDOW * self.lanes // len(lanes))
         for a in range(0, steps, window):
             w = slice(a, a + window)
-            S, h, _ = self.net.forward(h, X[w], start[w])
+            S, h, _ = self.net.states(h, X[w], start[w])
             live = doc[w] >= 0
             its = doc[w][live] - first
-            sums += np.bincount(its, self.net.output(S[live], Y[w][live]), len(sums))
+            sums += np.bincount(its, self.net.answers(S[:, live], Y[w][live]), len(sums))
             seen[its] = True
         self.h[lanes] = h
         for k in np.flatnonzero(seen).tolist():

@@ -156,3 +156,35 @@ def test_state_is_carried_across_windows(small, monkeypatch):
     assert early and sorted(got) == list(range(len(many)))
     assert np.allclose([got[i] for i in range(len(many))], [gru_lm.score_documents(small, [x])[0] for x in many], atol=1e-3)
     assert np.allclose([gru_lm.score_documents(small, [x])[0] for x in ids], whole, atol=1e-4)
+
+
+def test_states_and_answers_by_hand(small):
+    """Gates and softmaxes whose arrays run along the lanes, against single rows; answers beyond what exp holds; words among the network's own."""
+    draw = np.random.default_rng(6)
+    X, Y = draw.integers(0, 9, (5, 3)), draw.integers(0, 9, (5, 3))
+    h, reset = draw.standard_normal((3, 4)) / 3, X == 0
+    S, last, _ = small.states(h, X, reset)
+    p, words = small.p, small.words
+    for lane in range(3):
+        now = h[lane]
+        for t in range(5):
+            now = now * (not reset[t, lane])
+            x, g = p["E"][X[t, lane]] + p["B"], now @ p["U"]
+            z, r = (1 / (1 + np.exp(-(x[a : a + 4] + g[a : a + 4]))) for a in (0, 4))
+            n = np.tanh(x[8:] + r * g[8:])
+            now = n + z * (now - n)
+            assert np.allclose(S[:, t, lane], now, atol=1e-5)
+        assert np.allclose(last[lane], now, atol=1e-5)
+    for far in (1, 400):
+        small.p = p | {"Wo": p["Wo"] * far, "Wc": p["Wc"] * far}
+        for s, y, got in zip(S.reshape(4, -1).T, Y.ravel(), small.answers(S.reshape(4, -1), Y.ravel()), strict=True):
+            c = words.of[y]
+            logits = s @ small.p["Wc"] + p["bc"]
+            want = logits[c] - np.logaddexp.reduce(logits)
+            if c < words.classes:
+                its = slice(words.starts[c], words.starts[c + 1])
+                logits = small.p["Wo"][its] @ s + p["bo"][its]
+                want += logits[y - words.starts[c]] - np.logaddexp.reduce(logits)
+            assert np.isclose(got, want, rtol=1e-4, atol=1e-4)
+    for text in (b"", b"a B zz", b"h i j k a"):
+        assert (words.own_ids(text) == np.minimum(words.ids(text)[0], words.known)).all()
