@@ -1,9 +1,9 @@
 """Byte-level BPE: encoding with a queue of merge ranks over a linked symbol list, and decoding.
 
 The vocabulary is read once on the driver (its path is a parameter) and broadcast: its size is that
-of the vocabulary file, whatever the corpus. Text is cut into chunks of one blank and a run of
-non-blanks, or of blanks, which no pre-token crosses; the ids of a chunk are kept in a bounded
-cache of the worker, so most chunks cost one look-up.
+of the vocabulary file, whatever the corpus. Texts of Latin letters are cut into pre-tokens at once;
+others into chunks of one blank and a run of non-blanks, or of blanks, which no pre-token crosses. The
+ids of a pre-token or chunk are kept in a bounded cache of the worker, so most cost one look-up.
 
 Defined cases: a null text counts as an empty one; an empty text has no ids and decodes to ''; the
 strings of special tokens in a text become these tokens; rows with the same id stay separate rows;
@@ -30,8 +30,12 @@ _BLANK = "\t-\r \x85\xa0  -     　"
 _CHUNK = re.compile(f" ?[^{_BLANK}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 #: Fixed value: the pre-token pattern of the published byte-level vocabularies.
 _PIECE = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_BLANK}\p{{L}}\p{{N}}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+"
-#: Chunks and pre-tokens in a generation of a worker's cache, and the longest kept: an entry has some 300 bytes, and there are two generations.
-CACHE, CACHE_CHARS = 100_000, 48
+#: The letters and numbers up to U+024F, and what is not a character up to there or of general punctuation.
+_LETTER, _NUMBER, _OTHER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", re.compile("[^\x00-\u024f\u2010-\u2027\u2030-\u205e]")
+#: The same pre-tokens in a text without _OTHER, by a pattern that needs no table of Unicode.
+_LATIN = re.compile(f" ?[{_LETTER}]+| ?[{_NUMBER}]+|'(?:[stmd]|re|ve|ll)| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
+#: Chunks and pre-tokens in a generation of a worker's cache, and the longest kept: an entry has some 250 bytes, and there are two generations.
+CACHE, CACHE_CHARS = 200_000, 48
 
 
 def byte_characters() -> list[str]:
@@ -53,6 +57,11 @@ def refuse_others(spec: dict) -> None:
         raise ValueError("not a plain byte-level BPE vocabulary: " + ", ".join(odd))
 
 
+def cut(text: str) -> list[str]:
+    """The pre-tokens of a text of Latin letters, the chunks of another."""
+    return (_CHUNK if _OTHER.search(text) else _LATIN).findall(text)
+
+
 class Coder(dict):
     """Maps a chunk of text to its packed ids (little-endian uint32), computing what is not cached."""
 
@@ -116,7 +125,7 @@ class Coder(dict):
 
     def __missing__(self, chunk: str) -> bytes:
         if (packed := self.old.get(chunk)) is None:
-            whole = chunk.isascii() and (chunk.isalpha() or (chunk[0] == " " and chunk[1:].isalpha()))  # one pre-token, seen at a glance
+            whole = _LATIN.fullmatch(chunk) and not _OTHER.search(chunk)  # one pre-token, seen at a glance
             if whole or len(pieces := self.pieces(chunk)) == 1:
                 ids = self.merged(chunk.encode())
                 packed = pack(f"<{len(ids)}I", *ids)
@@ -132,8 +141,8 @@ class Coder(dict):
     def encode(self, text: str) -> bytes:
         look = self.__getitem__
         if self.at_special is None or not self.at_special.search(text):
-            return b"".join(map(look, _CHUNK.findall(text)))
-        return b"".join(self.special[part] if part in self.special else b"".join(map(look, _CHUNK.findall(part))) for part in self.at_special.split(text))
+            return b"".join(map(look, cut(text)))
+        return b"".join(self.special[part] if part in self.special else b"".join(map(look, cut(part))) for part in self.at_special.split(text))
 
     def decode(self, packed: bytes) -> str:
         return b"".join(map(self.strings.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")

@@ -89,3 +89,16 @@ def test_id_array(spark):
     df = bpe.encode(spark.createDataFrame([("hello world",), (None,)], "text string"), PATH)
     got = [r["a"] for r in df.select(bpe.id_array().alias("a")).collect()]
     assert got == [REAL.encode("hello world").ids, []]
+
+
+def test_latin_texts_are_cut_into_pretokens():
+    """No chunk with its punctuation is kept beside its pre-tokens, and the pattern for Latin letters cuts as that of the vocabularies."""
+    own = bpe.Coder(open(PATH, encoding="utf-8").read())
+    text = "été, l'été&&& 12½ x²—’n\t\n  don't"
+    assert own.encode(text) == real(text)[0]
+    assert set(own) == set(own.pieces(text)) and "été," not in own
+    draw = random.Random(4)
+    signs = [*map(chr, range(0x250)), *"–—’…“”", *("     '''stmdrevl \n\t\xa0" * 8)]
+    for _ in range(3000):
+        odd = "".join(draw.choices(signs, k=draw.randrange(1, 14)))
+        assert (bpe._OTHER.search(odd) or bpe.cut(odd) == own.pieces(odd)) and OWN.encode(odd) == real(odd)[0]
