@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -56,10 +58,56 @@ def shuffles_dropped(spark: SparkSession):
     return setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
+#: Tables that staged() wrote within the innermost passing().
+_passing: ContextVar[list[str] | None] = ContextVar("passing", default=None)
+
+
+def tables_of(df: DataFrame) -> set[str]:
+    """The tables of staged() that df reads."""
+    return {m[0] for f in df.inputFiles() if (m := re.match(r".*/docloom-[^/]+-[0-9a-f]{32}(?=/)", f))}
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)  # noqa: SLF001
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Delete tables as staged() gave them, which nothing reads any more."""
+    for table in tables:
+        for path in tables_of(table):
+            _delete(table.sparkSession, path)
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables staged within go at the end, save what stays(df), the function given, was told of; that is left to a passing() around this one."""
+    own: list[str] = []
+    kept: set[str] = set()
+    outer = _passing.get()
+
+    def stays(df: DataFrame) -> DataFrame:
+        kept.update(t.rpartition("/")[2] for t in tables_of(df))
+        return df
+
+    before = _passing.set(own)
+    try:
+        yield stays
+    finally:
+        _passing.reset(before)
+        for path in own:
+            if path.rpartition("/")[2] not in kept:
+                _delete(spark, path)
+            elif outer is not None:
+                outer.append(path)
+
+
 def staged(df: DataFrame, name: str = "stage") -> DataFrame:
     """Write df to a table of its own in the shared folder and read it back: lineage ends here, and rows stay as they are when tasks are rerun."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
+    if (own := _passing.get()) is not None:
+        own.append(path)
     with arrow_rows(spark), shuffles_dropped(spark):
         df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

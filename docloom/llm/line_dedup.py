@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from docloom.llm.common import JAVA_WORD, row_keyed, set_aside, staged
+from docloom.llm.common import JAVA_WORD, dropped, passing, row_keyed, set_aside, staged
 
 #: Runs of so many lines, and single lines of so many words, are deleted where they are repeated.
 MIN_LINES, MIN_WORDS = 2, 50
@@ -73,20 +73,23 @@ def salts(members: str) -> Column:
 
 def suffix_intervals(docs: DataFrame, min_words: int = MIN_WORDS) -> list[tuple[int, DataFrame]]:
     """For each depth reached, (row_key, place, line_no, wide, rank, n, first): suffixes that share ``depth`` lines with others have one rank, their number n > 1 and their first member. Doubling goes on until no suffix shares more."""
-    keyed = staged(all_lines(docs, min_words), "lines")
-    counts = keyed.groupBy("h", "c", "k").agg(F.count(F.lit(1)).alias("n"), F.min(at()).alias("first")).where("n > 1")
-    numbers = ranked(counts, ["h", "c", "k"], "numbers")
+    spark = docs.sparkSession
     columns = ("row_key", "place", "line_no", "wide", "rank", "n", "first")
-    now = staged(keyed.join(numbers, ["h", "c", "k"]).select(*columns), "suffixes")
+    with passing(spark) as stays:
+        keyed = staged(all_lines(docs, min_words), "lines")
+        counts = keyed.groupBy("h", "c", "k").agg(F.count(F.lit(1)).alias("n"), F.min(at()).alias("first")).where("n > 1")
+        numbers = ranked(counts, ["h", "c", "k"], "numbers")
+        now = stays(staged(keyed.join(numbers, ["h", "c", "k"]).select(*columns), "suffixes"))
     out, depth = [], 1
     while not now.isEmpty():
         out.append((depth, now))
         here = W.partitionBy("row_key").orderBy("place").rangeBetween(depth, depth)
         pairs = now.withColumn("r2", F.first("rank").over(here)).where("r2 IS NOT NULL").select("row_key", "place", "line_no", "wide", F.col("rank").alias("r1"), "r2", F.col("n").alias("n1"), salt("n").alias("salt"))
-        pairs = staged(pairs, "pairs")
-        same = pairs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min(at()).alias("first"), F.max("n1").alias("n1")).where("n > 1")
-        known = ranked(same, ["r1", "r2"], "ranks").withColumn("salt", salts("n1")).drop("n1")
-        now = staged(pairs.join(known, ["r1", "r2", "salt"]).select(*columns), "suffixes")
+        with passing(spark) as stays:
+            pairs = staged(pairs, "pairs")
+            same = pairs.groupBy("r1", "r2").agg(F.count(F.lit(1)).alias("n"), F.min(at()).alias("first"), F.max("n1").alias("n1")).where("n > 1")
+            known = ranked(same, ["r1", "r2"], "ranks").withColumn("salt", salts("n1")).drop("n1")
+            now = stays(staged(pairs.join(known, ["r1", "r2", "salt"]).select(*columns), "suffixes"))
         depth *= 2
     return out
 
@@ -98,17 +101,21 @@ def shared_lengths(intervals: list[tuple[int, DataFrame]]) -> DataFrame:
     known: DataFrame | None = None  # suffixes that share two lines or more
     for i in range(len(intervals) - 1, -1, -1):
         depth, table = intervals[i]
-        if known is not None:
-            known = _tried(known, depth, table)
-        if i:
-            own = table.where(F.col("first") != at())
-            if i + 1 < len(intervals):  # those that share twice as many lines are known
-                deeper = intervals[i + 1][1]
-                own = own.join(deeper.where(F.col("first") != at()).select("row_key", "place").hint("merge"), ["row_key", "place"], "left_anti")
-            own = own.select("row_key", "place", F.lit(depth).cast("long").alias("len"), F.col("first").alias("source"), F.col("n").alias("m"))
-            known = own if known is None else known.unionByName(own)
-        if known is not None:
-            known = staged(known, "shared")
+        last = known
+        with passing(table.sparkSession) as stays:
+            if known is not None:
+                known = _tried(known, depth, table)
+            if i:
+                own = table.where(F.col("first") != at())
+                if i + 1 < len(intervals):  # those that share twice as many lines are known
+                    deeper = intervals[i + 1][1]
+                    own = own.join(deeper.where(F.col("first") != at()).select("row_key", "place").hint("merge"), ["row_key", "place"], "left_anti")
+                own = own.select("row_key", "place", F.lit(depth).cast("long").alias("len"), F.col("first").alias("source"), F.col("n").alias("m"))
+                known = own if known is None else known.unionByName(own)
+            if known is not None:
+                known = stays(staged(known, "shared"))
+        if last is not None:
+            dropped(last)
     if known is None:
         return single
     return single.join(known.select("row_key", "place").hint("merge"), ["row_key", "place"], "left_anti").unionByName(known.drop("m"))
@@ -152,8 +159,9 @@ def dedup_lines(docs: DataFrame, min_lines: int = MIN_LINES, id_col: str = "doc_
     """docs with ``text`` less its later copies of repeated runs, and n_lines, n_deleted, and n_runs, the maximal runs of which these are copies."""
     docs, restored = set_aside(docs.drop("n_lines", "n_deleted", "n_runs"), "row_key", "_gone", "_lines")
     keyed = row_keyed(docs, id_col)
-    gone = copied_lines(keyed.select("row_key", F.col(text).alias("text")), min_lines, min_words).groupBy("row_key").agg(F.collect_set("line_no").alias("_gone"), F.count_if("opens").cast("long").alias("n_runs"))
-    gone = staged(gone, "gone")
+    with passing(docs.sparkSession) as stays:
+        gone = copied_lines(keyed.select("row_key", F.col(text).alias("text")), min_lines, min_words).groupBy("row_key").agg(F.collect_set("line_no").alias("_gone"), F.count_if("opens").cast("long").alias("n_runs"))
+        gone = stays(staged(gone, "gone"))
     # places that stay are found by a hash set, so a text of many lines and deletions takes linear time
     places = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "_gone")
     kept = F.array_join(F.transform(places, lambda i: F.get("_lines", i)), "\n")

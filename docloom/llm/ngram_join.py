@@ -34,16 +34,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docloom.llm.common import arrow_rows, by_id, row_keyed, set_aside, slices, staged, utf8
-from docloom.llm.components import components
+from docloom.llm.common import arrow_rows, by_id, collected, passing, row_keyed, set_aside, slices, staged, utf8
+from docloom.llm.components import stars
 from docloom.llm.shingles import shingle_sets
 
 #: Buckets up to so many groups give all their pairs; so many rounds of leaders go before the rest is paired.
 SMALL, ROUNDS = 16, 2
 #: Rows of a large bucket that one task pairs with those outside the bucket's largest component.
 SALT_ROWS = 4096
-#: Bits of a bit set (a broadcast of 8 MB); more keys than bits only let more rows pass.
-SET_BITS = 26
+#: Most bits of a bit set (a broadcast of 8 MB); more keys than bits only let more rows pass. Few keys get fewer: at least so many for each.
+SET_BITS, KEY_BITS = 26, 128
 #: Cells of the frequency sketch, in parts that are summed apart.
 CELLS, PARTS = 1 << 20, 64
 
@@ -117,7 +117,7 @@ def measured(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
 
     both = staged(docs.select("row_key", "text").mapInArrow(run, "row_key long, n long, digest binary, part int, counts binary"), "sets")
     levels = np.zeros((PARTS, per_part), np.uint8)
-    for row in both.where("part IS NOT NULL").select("part", "counts").repartition(PARTS, "part").mapInArrow(summed, "part int, levels binary").collect():  # one byte a cell
+    for row in collected(both.where("part IS NOT NULL").select("part", "counts").repartition(PARTS, "part").mapInArrow(summed, "part int, levels binary")):  # one byte a cell
         levels[row["part"]] = np.frombuffer(row["levels"], np.uint8)
     return both.where("part IS NULL").select("row_key", "n", "digest"), levels.reshape(-1)
 
@@ -128,20 +128,26 @@ def in_order(s: np.ndarray, levels: np.ndarray) -> np.ndarray:
 
 
 def bit_set(cells: DataFrame) -> np.ndarray:
-    """The bits of one column of long, modulo 2**SET_BITS, packed; made in the tasks, merged by blocks of 4 KB."""
+    """The bits of one column of long, modulo a power of two up to 2**SET_BITS, packed; made in the tasks, merged by blocks of 4 KB.
+
+    Every executor and worker keeps a set that is broadcast, in memory and on disk, so one of few keys is folded.
+    """
     cell = F.pmod(F.col(cells.columns[0]), F.lit(1 << SET_BITS)) + 1
     blocks = cells.select(cell.alias("c")).groupBy(F.bitmap_bucket_number("c").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("c")).alias("bits"))
     out = np.zeros(1 << SET_BITS - 3, np.uint8)
     with arrow_rows(cells.sparkSession):
-        rows = blocks.collect()  # 2**SET_BITS bits at most
+        rows = collected(blocks)  # 2**SET_BITS bits at most
     for row in rows:
         at = (row["block"] - 1) * 4096
         out[at : at + 4096] = np.frombuffer(row["bits"], np.uint8)
+    n = int(np.bitwise_count(out).sum())
+    while len(out) > 64 and n * KEY_BITS <= 4 * len(out):
+        out = out[: len(out) // 2] | out[len(out) // 2 :]
     return out
 
 
 def in_set(bits: np.ndarray, cells: np.ndarray) -> np.ndarray:
-    c = cells.astype(np.int64) & ((1 << SET_BITS) - 1)
+    c = cells.astype(np.int64) & (8 * len(bits) - 1)
     return (bits[c >> 3] >> (c & 7).astype(np.uint8) & 1).astype(bool)
 
 
@@ -276,8 +282,6 @@ def verified(pairs: DataFrame, prefixed: DataFrame, docs: DataFrame, words: int,
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     met = pairs.join(one, "a").join(two, "b").where(limit.sizes(F.col("an"), F.col("bn"))).select("a", "b", "ap", "bp", (F.col("an") + F.col("bn")).alias("both"))
-    pairs = staged(met.mapInArrow(near, "a long, b long"), "pairs")
-
     def make(row_keys: pa.Array, sets: list[np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_pydict({"row_key": row_keys, "hashes": pa.array([packed48(s) for s in sets], pa.binary())})
 
@@ -297,10 +301,11 @@ def verified(pairs: DataFrame, prefixed: DataFrame, docs: DataFrame, words: int,
             if found:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([f[0] for f in found], pa.int64()), "b": pa.array([f[1] for f in found], pa.int64())})
 
-    sides = pairs.select(F.explode(F.array("a", "b")).alias("row_key"), "a", "b")
-    sets = texts_in(docs, sides.select("row_key").distinct(), words, "row_key long, hashes binary", make)
-    met = sets.join(sides.hint("merge"), "row_key").select("a", "b", "hashes")
-    return staged(met.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(compare, "a long, b long"), "links")
+    with passing(docs.sparkSession) as stays:
+        sides = staged(met.mapInArrow(near, "a long, b long"), "pairs").select(F.explode(F.array("a", "b")).alias("row_key"), "a", "b")
+        sets = texts_in(docs, sides.select("row_key"), words, "row_key long, hashes binary", make)
+        both = sets.join(sides.hint("merge"), "row_key").select("a", "b", "hashes")
+        return stays(staged(both.repartition("a", "b").sortWithinPartitions("a", "b").mapInArrow(compare, "a long, b long"), "links"))
 
 
 def _pair(a: str, b: str) -> tuple[Column, Column]:
@@ -314,6 +319,8 @@ def led(rows: DataFrame, labels: DataFrame | None, turn: int, limit: Threshold)
     """
     own = F.col("key") if labels is None else F.coalesce("label", "key")
     now = (rows if labels is None else rows.join(labels, rows["key"] == labels["node"], "left")).select("token", "key", "n", "copies", own.alias("label"))
+    if labels is not None:
+        now = staged(now, "labelled")  # read twice
     drawn = F.xxhash64("key", F.lit(turn))
     first = F.min(F.struct((F.struct(-F.col("copies"), drawn) if turn == 0 else F.struct(F.lit(0).cast("long"), drawn)).alias("h"), "key", "n", "label"))
     # written, so that the join deals rows anew and a frequent token's can be split
@@ -362,7 +369,14 @@ def unlike(a, b) -> Column:
 
 
 def links(docs: DataFrame, words: int, limit: Threshold) -> tuple[DataFrame, DataFrame]:
-    """(row_key, n, rep) of every document of (row_key, text), and (node, label) components of linked representatives. Representatives are the smallest keys of equal sets."""
+    """(row_key, n, rep) of every document of (row_key, text), and (node, label) of linked representatives that are not their component's smallest. Representatives are the smallest keys of equal sets."""
+    with passing(docs.sparkSession) as stays:
+        classes, labels = _links(docs, words, limit)
+        return stays(classes), stays(labels)
+
+
+def _links(docs: DataFrame, words: int, limit: Threshold) -> tuple[DataFrame, DataFrame]:
+    spark = docs.sparkSession
     sets, levels = measured(docs, words)
     # only copies need their representative looked up; written, so that the join deals rows anew and those of one text can be split
     reps = staged(sets.where("n > 0").groupBy("digest").agg(F.min("row_key").alias("rep"), F.count(F.lit(1)).alias("many")).where("many > 1").select("digest", "rep"), "reps")
@@ -372,13 +386,15 @@ def links(docs: DataFrame, words: int, limit: Threshold) -> tuple[DataFrame, Dat
     prefixed = staged(prefixes(docs, own, words, limit, levels), "prefixes")
     copies = classes.where("rep IS NOT NULL").groupBy(F.col("rep").alias("key")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
     anchored = prefixed.select("anchors", F.col("row_key").alias("key"), "n").join(copies.hint("merge"), "key", "left").select(F.explode("anchors").alias("token"), "key", "n", F.coalesce("copies", F.lit(1)).alias("copies"))
+    anchored = staged(anchored, "anchored")  # each round reads it twice
     found: DataFrame | None = None
     labels: DataFrame | None = None
     for turn in range(ROUNDS):
-        more = verified(led(anchored, labels, turn, limit), prefixed, docs, words, limit)
-        if labels is None or not more.isEmpty():
-            found = more if found is None else found.unionByName(more)
-            labels = components(found)
+        with passing(spark) as stays:
+            more = stays(verified(led(anchored, labels, turn, limit), prefixed, docs, words, limit))
+            if labels is None or not more.isEmpty():
+                found = more if found is None else found.unionByName(more)
+                labels = stays(stars(found))
     # groups of one prefix and size, and the components of their members
     marked = prefixed.select("row_key", F.xxhash64("prefix", "n").alias("mark"))
     shared_marks = marked.groupBy("mark").agg(F.count(F.lit(1)).alias("k"), F.min("row_key").alias("gid")).where("k > 1").select("mark", "gid")
@@ -390,11 +406,12 @@ def links(docs: DataFrame, words: int, limit: Threshold) -> tuple[DataFrame, Dat
     # tokens in more than one prefix, then those in groups of different components
     often = tokens_of(prefixed).groupBy("token").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("token")
     shared = bit_set(often)
-    tokens = tokens_of(prefixed, shared).join(groups.select("gid", "low", "high").hint("merge"), "gid")
-    tokens = staged(tokens, "tokens")
-    mixed = staged(tokens.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.count(F.lit(1)).alias("many")).where("l <> h").select("token", "many"), "mixed")
-    # open rows carry the parity bits, so that pairs are made only where these agree
-    tokens = staged(tokens.join(mixed.hint("merge"), "token").join(groups.select("gid", *SKETCH).hint("merge"), "gid"), "open")
+    with passing(spark) as stays:
+        tokens = tokens_of(prefixed, shared).join(groups.select("gid", "low", "high").hint("merge"), "gid")
+        tokens = staged(tokens, "tokens")
+        mixed = staged(tokens.groupBy("token").agg(F.min("low").alias("l"), F.max("high").alias("h"), F.count(F.lit(1)).alias("many")).where("l <> h").select("token", "many"), "mixed")
+        # open rows carry the parity bits, so that pairs are made only where these agree
+        tokens = stays(staged(tokens.join(mixed.hint("merge"), "token").join(groups.select("gid", *SKETCH).hint("merge"), "gid"), "open"))
     few = tokens.where(F.col("many") <= SMALL)
     l, r = few.alias("l"), few.alias("r")
     a, b = (lambda c: F.col(f"l.{c}")), (lambda c: F.col(f"r.{c}"))
@@ -415,7 +432,7 @@ def links(docs: DataFrame, words: int, limit: Threshold) -> tuple[DataFrame, Dat
     names = state.select("row_key", "label")
     parted = pairs.join(names.select(F.col("row_key").alias("a"), F.col("label").alias("la")), "a").join(names.select(F.col("row_key").alias("b"), F.col("label").alias("lb")), "b").where("la <> lb").select("a", "b")
     more = verified(parted, prefixed, docs, words, limit)
-    return classes, labels if more.isEmpty() else components(found.unionByName(more))
+    return classes, labels if more.isEmpty() else stars(found.unionByName(more))
 
 
 def similar_documents(docs: DataFrame, words: int = 5, p: int = 80, q: int = 100, id_col: str = "doc_id") -> DataFrame:
