@@ -1,8 +1,9 @@
 """Vectors packed into blocks, and a query set against all blocks.
 
-A block is one row that holds up to a few thousand vectors; query blocks are dealt to every shard of
-vector blocks by an equi-join on the shard number, so rows of pairs are never made: each joined row
-is a block against a block, and gives the best few of each query in that block.
+A block is one row that holds up to a few thousand vectors. Blocks are dealt to a few shards a core, and a copy of
+the query blocks to every shard; a task holds the query blocks and sees the vector blocks of its shard go by, so rows
+of pairs are never made, and no side is broadcast: Spark would judge the copies by the size of one. What is shuffled
+grows with the vectors, and with the queries times the cores; beyond so many query blocks, tasks take a part of them each.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Vectors and queries in a block.
-ROWS, QUERY_ROWS = 4096, 512
+#: Vectors and queries in a block, shards a core, and query blocks that a task holds.
+ROWS, QUERY_ROWS, SHARDS, QUERY_BLOCKS = 4096, 512, 2, 128
 _PACKED = "dims int, ids binary, matrix binary"
 
 
@@ -58,22 +59,35 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, best: Callable, score
     id the least vector is taken; repeated candidate rows each take a place.
     """
     n, m = vectors.count(), queries.count()
-    shards = max(1, math.ceil(n / ROWS))
-    table = pack(vectors.repartition(shards), id_col, vector_col, ROWS, zeros).withColumn("shard", F.spark_partition_id())
-    asked = queries.groupBy(id_col).agg(F.min(vector_col).alias(vector_col)).repartition(max(1, math.ceil(m / QUERY_ROWS)))
-    asked = pack(asked, id_col, vector_col, QUERY_ROWS, zeros).select("dims", F.col("ids").alias("query_ids"), F.col("matrix").alias("query_matrix"), F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    asked_blocks = max(1, math.ceil(m / QUERY_ROWS))
+    parts = math.ceil(asked_blocks / QUERY_BLOCKS)
+    shards = max(1, min(math.ceil(n / ROWS), math.ceil(SHARDS * vectors.sparkSession.sparkContext.defaultParallelism / parts)))
+    cell = lambda shard, part: (shard * parts + part).cast("int").alias("cell")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_to")
+    own = lambda k: F.pmod(F.spark_partition_id(), F.lit(k)).alias("_own")
+    table = pack(vectors.repartition(shards), id_col, vector_col, ROWS, zeros).select("dims", "ids", "matrix", own(shards), every(parts)).select(cell(F.col("_own"), F.col("_to")), F.lit(1).alias("turn"), "dims", "ids", "matrix")
+    asked = pack(queries.groupBy(id_col).agg(F.min(vector_col).alias(vector_col)).repartition(asked_blocks), id_col, vector_col, QUERY_ROWS, zeros)
+    asked = asked.select("dims", "ids", "matrix", own(parts), every(shards)).select(cell(F.col("_to"), F.col("_own")), F.lit(0).alias("turn"), "dims", "ids", "matrix")
     arrow_score = pa.int64() if score_type == "long" else pa.float64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        here = None
         for batch in batches:
             for row in range(batch.num_rows):
-                dims, ids, matrix, qids, qmatrix = (batch.column(c)[row].as_py() for c in range(5))
+                at, turn, dims, ids, matrix = (batch.column(c)[row].as_py() for c in range(5))
+                if at != here:
+                    held, here = {}, at
                 ids, X = unpack(ids, matrix, dims)
-                qids, Q = unpack(qids, qmatrix, dims)
-                qi, di, score = best(ids, X, qids, Q)
-                yield pa.RecordBatch.from_pydict({"query_id": pa.array(qids[qi]), "vec_id": pa.array(ids[di]), "score": pa.array(score, arrow_score)})
+                if not turn:
+                    held.setdefault(dims, []).append((ids, X))
+                    continue
+                for qids, Q in held.get(dims, ()):
+                    qi, di, score = best(ids, X, qids, Q)
+                    yield pa.RecordBatch.from_pydict({"query_id": pa.array(qids[qi]), "vec_id": pa.array(ids[di]), "score": pa.array(score, arrow_score)})
 
-    found = table.join(asked, ["dims", "shard"]).select("dims", "ids", "matrix", "query_ids", "query_matrix").mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
+    dealt = table.unionByName(asked).repartitionById(shards * parts, "cell").sortWithinPartitions("cell", "turn")
+    found = dealt.mapInArrow(run, f"query_id long, vec_id long, score {score_type}")
     order = W.partitionBy("query_id").orderBy(F.col("score").asc() if ascending else F.col("score").desc(), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pyarrow.parquet as pq
 import pytest
@@ -118,3 +120,25 @@ def test_op6_is_exact(spark):
     for r in op6_topk(spark, SF).orderBy("query_id", "rank").collect():
         got.setdefault(r["query_id"], []).append((r["vec_id"], -float(r["score"])))
     assert got == want
+
+
+def cells(df) -> int:
+    """Cells that a plan without a join deals blocks to: there is a copy of a query block for each shard."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan
+    return int(re.search(r"RepartitionByExpression \[direct_shuffle_partition_id\(cell#\d+\)\], (\d+)", plan)[1])
+
+
+@pytest.mark.parametrize("name", ["ann", "maxscore"])
+def test_copies_of_queries_are_not_broadcast_nor_as_many_as_blocks(spark, monkeypatch, name):
+    monkeypatch.setattr(blocks, "ROWS", 10)
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1000)], "vec_id long, embedding array<double>")
+    found = {"ann": ann.nearest, "maxscore": maxscore.top_k}[name](rows, rows.where("vec_id % 50 = 0"), k=3)
+    assert cells(found) <= blocks.SHARDS * spark.sparkContext.defaultParallelism < 100
+    assert found.count() == 60
+
+
+def test_tasks_that_hold_parts_of_the_queries(spark, monkeypatch):
+    for name, value in (("ROWS", 30), ("QUERY_ROWS", 4), ("QUERY_BLOCKS", 2)):
+        monkeypatch.setattr(blocks, name, value)
+    test_op6_is_exact(spark)
