@@ -220,7 +220,8 @@ class PivotTable:
                         yield given()
             yield given()
 
-        joined = self.table.join(asked, ["dims", "shard"]).select("dims", "ids", "labels", "matrix", "distances", "q_ids", "q_labels", "q_matrix", "q_distances", "q_ranges")
+        # not broadcast: Spark would judge the copies of the anchors by the size of one
+        joined = self.table.join(asked.hint("merge"), ["dims", "shard"]).select("dims", "ids", "labels", "matrix", "distances", "q_ids", "q_labels", "q_matrix", "q_distances", "q_ranges")
         found = joined.mapInArrow(run, "anchor long, slot int, vec_id long, score long")
         order = W.partitionBy("anchor", "slot").orderBy(F.col("score").desc(), "vec_id")
         return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

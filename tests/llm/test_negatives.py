@@ -85,3 +85,10 @@ def test_shards_hold_all_rows(spark, sf):
     table = PivotTable(rows)
     assert table.table.agg(F.sum(F.length("ids") / 8)).first()[0] == rows.count() == table.n
     assert len(table.pivots) == pivots.PIVOTS
+
+
+def test_copies_of_anchors_are_not_broadcast(spark):
+    rows = taking_part(spark.createDataFrame([(i, i % 2, [float(i), 1.0]) for i in range(40)], SCHEMA), "vec_id", "label", "embedding")
+    ranges = F.array(F.lit(float("-inf")), F.lit(float("inf")))
+    found = PivotTable(rows, pivots=2).best(rows.withColumn("ranges", ranges), 1, True, 3)
+    assert "strategy=merge" in found._jdf.queryExecution().optimizedPlan().toString() and found.count() == 120
