@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-#: Vectors and queries in a block, shards a core, and query blocks that a task holds.
+#: Vectors (about) and queries in a block, shards a core, and query blocks that a task holds.
 ROWS, QUERY_ROWS, SHARDS, QUERY_BLOCKS = 4096, 512, 2, 128
 _PACKED = "dims int, ids binary, matrix binary"
 
@@ -62,10 +62,12 @@ def search(vectors: DataFrame, queries: DataFrame, k: int, best: Callable, score
     asked_blocks = max(1, math.ceil(m / QUERY_ROWS))
     parts = math.ceil(asked_blocks / QUERY_BLOCKS)
     shards = max(1, min(math.ceil(n / ROWS), math.ceil(SHARDS * vectors.sparkSession.sparkContext.defaultParallelism / parts)))
+    # a shard's blocks are of a size, with room for rows that are dealt unevenly: a block costs its queries the same if it is small
+    rows = math.ceil(1.05 * n / (shards * max(1, round(n / (shards * ROWS))))) + 16
     cell = lambda shard, part: (shard * parts + part).cast("int").alias("cell")
     every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias("_to")
     own = lambda k: F.pmod(F.spark_partition_id(), F.lit(k)).alias("_own")
-    table = pack(vectors.repartition(shards), id_col, vector_col, ROWS, zeros).select("dims", "ids", "matrix", own(shards), every(parts)).select(cell(F.col("_own"), F.col("_to")), F.lit(1).alias("turn"), "dims", "ids", "matrix")
+    table = pack(vectors.repartition(shards), id_col, vector_col, rows, zeros).select("dims", "ids", "matrix", own(shards), every(parts)).select(cell(F.col("_own"), F.col("_to")), F.lit(1).alias("turn"), "dims", "ids", "matrix")
     asked = pack(queries.groupBy(id_col).agg(F.min(vector_col).alias(vector_col)).repartition(asked_blocks), id_col, vector_col, QUERY_ROWS, zeros)
     asked = asked.select("dims", "ids", "matrix", own(parts), every(shards)).select(cell(F.col("_to"), F.col("_own")), F.lit(0).alias("turn"), "dims", "ids", "matrix")
     arrow_score = pa.int64() if score_type == "long" else pa.float64()

@@ -142,3 +142,17 @@ def test_tasks_that_hold_parts_of_the_queries(spark, monkeypatch):
     for name, value in (("ROWS", 30), ("QUERY_ROWS", 4), ("QUERY_BLOCKS", 2)):
         monkeypatch.setattr(blocks, name, value)
     test_op6_is_exact(spark)
+
+
+def test_a_shard_just_above_the_size_of_a_block_is_one(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(1000)], "vec_id long, embedding array<double>").repartition(4)
+    monkeypatch.setattr(blocks, "ROWS", 120)
+    monkeypatch.setattr(blocks, "SHARDS", 2)
+    count = spark.sparkContext.accumulator(0)
+
+    def best(ids, X, qids, Q):
+        count.add(1)
+        return np.zeros(1, np.int64), np.zeros(1, np.int64), np.zeros(1)
+
+    got = blocks.search(rows, rows.where("vec_id = 0"), 1, best, "double", True)
+    assert got.count() == 1 and count.value == cells(got) == 8
